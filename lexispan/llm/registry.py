@@ -1,9 +1,13 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
 from .bpe import op4_bpe_round_trip
+from .language import op2_language_id
+from .mixing import op1_mix_sources
 from .token_files import op6_token_files
 
 QUERIES = {
+    "op1_mix_sources": op1_mix_sources,
+    "op2_language_id": op2_language_id,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_token_files": op6_token_files,
 }
