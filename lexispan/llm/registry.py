@@ -1,6 +1,7 @@
 """Queries and oracle SQL of this subpackage, by name."""
 
 from .bpe import op4_bpe_round_trip
+from .jaccard import op9_jaccard_join
 from .language import op2_language_id
 from .mixing import op1_mix_sources
 from .nearest import op10_nearest
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_max_score": op5_max_score,
     "op6_token_files": op6_token_files,
     "op8_warc": op8_warc,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_nearest": op10_nearest,
 }
 
