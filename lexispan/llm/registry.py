@@ -3,6 +3,7 @@
 from .bpe import op4_bpe_round_trip
 from .jaccard import op9_jaccard_join
 from .language import op2_language_id
+from .licenses import op3_license_scan
 from .mixing import op1_mix_sources
 from .nearest import op10_nearest
 from .substrings import op7_suffix_dedup
@@ -13,6 +14,7 @@ from .warc import OP8_SQL, op8_warc
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_language_id": op2_language_id,
+    "op3_license_scan": op3_license_scan,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_max_score": op5_max_score,
     "op6_token_files": op6_token_files,
