@@ -4,14 +4,14 @@ A document's set is its distinct word shingles.  Documents with equal sets are o
 A set's prefix, in an order that puts shingles in many documents last, must share a
 shingle with the prefix of every set similar enough.  Items with equal prefix and size
 form a group and go through the index as one; a run is the list of groups that share a
-prefix shingle.  Runs of one item are dropped.  The others are expanded to items, and
-pairs are filtered by size and by parity signatures (each element of the symmetric
-difference flips at most one bit, so no link is lost).  What passes is verified on
-the sets themselves.
-
-Only components are asked for, so a first round verifies the nearest candidate of each
-item in each run; a second verifies all candidates between components that are then
-still apart.  Copies and dense groups of near copies therefore never make all pairs.
+prefix shingle.  Runs of one item are dropped.  Small runs make their pairs of groups,
+each once for all its shingles; pairs are expanded to items and filtered by size and by
+parity signatures (each element of the symmetric difference flips at most one bit, so
+no link is lost).  What passes is verified on the sets themselves.
+
+Only components are asked for, so in large runs a first round verifies the nearest
+candidate of each item; a second verifies all candidates between components that are
+then still apart.  Copies and dense groups of near copies therefore never make all pairs.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +32,10 @@ from .shingles import shingle_sets
 
 #: Bits of a signature; sets of candidate pairs verified in one cell.
 BITS, CELL_PAIRS = 512, 4096
+#: Runs of up to so many groups make all their pairs of like size at once.
+SMALL = 8
+#: A group's low bits hold its sets' size, up to this.
+_SIZES = 0xFFFF
 #: Counters of the order's sketch for each document, and their number's bounds (powers of two).
 PER_DOC, LEAST_BITS, MOST_BITS = 4, 14, 24
 _CHUNK = 1 << 14
@@ -98,7 +103,8 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 length = n - (percent * n + 99) // 100 + 1
                 ranked = held[np.argsort(order[(held >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")]
                 prefix = ranked[:length].view(np.int64)
-                group = int.from_bytes(hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest()[:8], "little", signed=True)
+                name = int.from_bytes(hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest()[:8], "little", signed=True)
+                group = name & ~_SIZES | min(n, _SIZES)
                 rows.append((doc_id, n, digest, group, prefix, _signature(held)))
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -107,17 +113,40 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grp long, prefix array<long>, signature binary"), "jaccard-sets")
 
 
-def _multiple(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a partition's (token, grp) rows the distinct ones whose token has several groups."""
-    table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("grp", pa.int64())]))
-    token, group = (np.asarray(table.column(c)) for c in ("token", "grp"))
-    order = np.lexsort((group, token))
-    token, group = token[order], group[order]
-    fresh = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))[: len(token)]
-    token, group = token[fresh], group[fresh]
-    same = token[1:] == token[:-1]
-    keep = np.append(same, False)[: len(token)] | np.append(False, same)[: len(token)]
-    yield pa.RecordBatch.from_arrays([pa.array(token[keep]), pa.array(group[keep])], names=["token", "grp"])
+def _like(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the sizes in two groups' low bits allow a link."""
+    x, y = a & _SIZES, b & _SIZES
+    return 100 * np.minimum(x, y) >= percent * np.maximum(x, y)
+
+
+def _shared(percent: int):
+    """Of a partition's (token, grp) rows the pairs of groups in small runs, and the rows of larger runs (without second group)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("grp", pa.int64())]))
+        token, group = (np.asarray(table.column(c)) for c in ("token", "grp"))
+        order = np.lexsort((group, token))
+        token, group = token[order], group[order]
+        fresh = np.append(True, (token[1:] != token[:-1]) | (group[1:] != group[:-1]))[: len(token)]
+        token, group = token[fresh], group[fresh]
+        firsts, lasts = runs(token)
+        many = np.repeat(lasts - firsts, lasts - firsts)
+        left = np.repeat(lasts, lasts - firsts) - np.arange(len(token)) - 1  # rows after this one in its run
+        pairs = []
+        for d in range(1, SMALL):
+            at = np.flatnonzero((many <= SMALL) & (left >= d))
+            at = at[_like(group[at], group[at + d], percent)]
+            pairs.append(np.stack([group[at], group[at + d], token[at]]))
+        a, b, t = np.concatenate(pairs, axis=1)
+        order = np.lexsort((t, b, a))
+        a, b, t = a[order], b[order], t[order]
+        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
+        a, b, t = a[fresh], b[fresh], t[fresh]
+        big = many > SMALL
+        none = pa.array([None] * int(big.sum()), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((t, token[big]))), pa.array(np.concatenate((a, group[big]))), pa.concat_arrays([pa.array(b), none])], names=["token", "grp", "other"])
+
+    return run
 
 
 def _candidates(percent: int, first: bool):
@@ -166,6 +195,22 @@ def _candidates(percent: int, first: bool):
     return run
 
 
+def _close(percent: int):
+    """Whether sizes and signatures of two sets allow a link."""
+
+    @F.pandas_udf("boolean")
+    def close(nx: pd.Series, sx: pd.Series, ny: pd.Series, sy: pd.Series) -> pd.Series:
+        if not len(nx):
+            return pd.Series([], dtype=bool)
+        bits = [np.frombuffer(b"".join(s), np.uint64).reshape(len(s), BITS // 64) for s in (sx, sy)]
+        total = (nx + ny).to_numpy()
+        apart = np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1)
+        like = 100 * np.minimum(nx, ny).to_numpy() >= percent * np.maximum(nx, ny).to_numpy()
+        return pd.Series(like & (apart <= total - 2 * -(-percent * total // (100 + percent))))
+
+    return close
+
+
 def _pairs(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
     columns = list(zip(*out)) or [(), (), ()]
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "a", "b"])
@@ -206,19 +251,29 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     items = held.where("grp is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grp", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("item"), "x.n", "x.grp", "x.signature")
     items = stage(items, "jaccard-items")
     tokens = held.where("grp is not null and doc_id is not null").select(F.explode("prefix").alias("token"), "grp")
-    shared = tokens.repartition("token").mapInArrow(_multiple, "token long, grp long")
-    crowded = items.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select(F.col("grp").alias("token"), "grp")
-    shared = stage(shared.union(crowded), "jaccard-runs")
-
-    def round_of(labelled: DataFrame, first: bool) -> DataFrame:
-        rows = shared.join(labelled, "grp").select("token", "item", "n", "component", "signature").repartition("token")
-        pairs = rows.mapInArrow(_candidates(percent, first), "token long, a long, b long").groupBy("a", "b").agg(F.min("token").alias("token"))
-        return stage(_verified(docs, stage(pairs, "jaccard-pairs"), size, percent), "jaccard-links")
-
-    links = round_of(items.withColumn("component", F.col("item")), True)
+    shared = stage(tokens.repartition("token").mapInArrow(_shared(percent), "token long, grp long, other long"), "jaccard-runs")
+    crowded = items.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # groups of several items: few, or a large run of their own
+    inner = crowded.where(F.col("m") <= SMALL).select(F.col("grp").alias("token"), "grp", F.col("grp").alias("other"))
+    large = shared.where("other is null").select("token", "grp").union(crowded.where(F.col("m") > SMALL).select(F.col("grp").alias("token"), "grp"))
+    small = shared.where("other is not null").union(inner).groupBy("grp", "other").agg(F.min("token").alias("token"))
+    x = items.select("grp", F.col("item").alias("x"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
+    y = items.select(F.col("grp").alias("other"), F.col("item").alias("y"), F.col("n").alias("ny"), F.col("signature").alias("sy"))
+    close = small.join(x, "grp").join(y, "other").where("x != y").where(_close(percent)("nx", "sx", "ny", "sy"))
+    close = close.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+    def candidates(labelled: DataFrame, first: bool) -> DataFrame:
+        rows = large.join(labelled, "grp").select("token", "item", "n", "component", "signature").repartition("token")
+        return rows.mapInArrow(_candidates(percent, first), "token long, a long, b long")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        once = stage(pairs.groupBy("a", "b").agg(F.min("token").alias("token")), "jaccard-pairs")
+        return stage(_verified(docs, once, size, percent), "jaccard-links")
+
+    links = verified(close.union(candidates(items.withColumn("component", F.col("item")), True)))
     parts = stage(components(links), "jaccard-components")
     labelled = items.join(parts, F.col("item") == F.col("id"), "left").withColumn("component", F.coalesce("component", "item"))
-    links = links.union(round_of(labelled, False))
+    links = links.union(verified(candidates(labelled, False)))
     parts = components(links)
     # documents of equal sets: the smallest doc_id of each set, then its component
     same = held.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))

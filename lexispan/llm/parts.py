@@ -13,7 +13,7 @@ import re
 from collections.abc import Callable, Iterable, Iterator
 
 #: Parts whose ids a worker keeps between corpora.
-CACHE_PARTS = 500_000
+CACHE_PARTS = 250_000
 
 #: A text without these has no space beside another white-space character.
 _UNEVEN = ("  ", " \n", "\n ", *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"))

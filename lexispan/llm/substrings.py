@@ -27,9 +27,9 @@ from .suffixes import same_prefix, suffix_array
 
 PIECE = 20
 #: Bytes of contexts in one suffix array; places between sampled common prefixes.
-SHARD_BYTES, SAMPLE = 4 << 20, 16
+SHARD_BYTES, SAMPLE = 3 << 19, 16
 #: log2 bits of the filter of repeated anchors, and contexts a task keeps to collapse at once.
-ANCHOR_BITS, CORPUS_BYTES = 26, 16 << 20
+ANCHOR_BITS, CORPUS_BYTES = 26, 6 << 20
 
 
 def piece_hashes(data: np.ndarray) -> np.ndarray:

@@ -34,7 +34,7 @@ from .parts import PartEncoder
 MAGIC = b"LXPF0001"
 BLOCK = 8192
 PERCENTILE = 95
-CORPUS_BYTES = 16 << 20
+CORPUS_BYTES = 6 << 20
 _HEAD = struct.Struct("<IIBxH")
 _TAIL = struct.Struct("<QQQ8s")
 _NULL_ID = -(1 << 63)
