@@ -30,14 +30,14 @@ def split(text: str) -> list[str]:
 class PartEncoder:
     """Encodes texts by their distinct parts; ``resolve`` gives the packed ids of strings."""
 
-    def __init__(self, resolve: Callable[[list[str]], list[bytes]]):
-        self.resolve = resolve
+    def __init__(self, resolve: Callable[[list[str]], list[bytes]], most: int = CACHE_PARTS):
+        self.resolve, self.most = resolve, most
         self.known: dict[str, bytes] = {}
 
     def encode(self, blocks: list[Iterable[str | None]]) -> Iterator[list[bytes]]:
         """Packed ids of each text, block by block; all blocks are one corpus."""
         known = self.known
-        if len(known) > CACHE_PARTS:
+        if len(known) > self.most:
             known.clear()
         fresh: set[str] = set()
         heads: set[str] = set()

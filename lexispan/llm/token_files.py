@@ -35,6 +35,8 @@ MAGIC = b"LXPF0001"
 BLOCK = 8192
 PERCENTILE = 95
 CORPUS_BYTES = 6 << 20
+#: Parts whose ids a writer keeps between corpora, and parts that the library gets as one string.
+CACHE_PARTS, JOINED = 600_000, 128
 _HEAD = struct.Struct("<IIBxH")
 _TAIL = struct.Struct("<QQQ8s")
 _NULL_ID = -(1 << 63)
@@ -153,9 +155,10 @@ def library_encoder(path: str) -> PartEncoder:
     """Encoder by the tokenizers library; one for each worker process and file.
 
     The file must split with the byte-level pattern and add no prefix space; strings of
-    special tokens in a text are ordinary text.  Parts without a line feed are encoded
-    many at a time with line feeds between them: a line feed before a space is a
-    match, and an id, of its own.
+    special tokens in a text are ordinary text.  A part that is a space and then begins and
+    ends with other characters is a run of whole matches wherever it follows another
+    such part, so many are encoded as one string; each character of a token stands for a
+    byte, and the parts' lengths in bytes say where one's ids end.
     """
     if path not in _ENCODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -164,27 +167,33 @@ def library_encoder(path: str) -> PartEncoder:
         tokenizer = Tokenizer.from_file(path)
         tokenizer.encode_special_tokens = True
         encode = tokenizer.encode_batch_fast
-        feed = encode(["\n"], add_special_tokens=False)[0].ids
+        vocabulary = tokenizer.get_vocab(with_added_tokens=False)
+        n_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            n_bytes[i] = len(token)
 
         def one_by_one(strings: list[str]) -> list[bytes]:
             return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(strings), 512) for e in encode(strings[a : a + 512], add_special_tokens=False)]
 
+        def together(strings: list[str]) -> list[bytes]:
+            ids = np.array(encode(["".join(strings)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in strings])
+            if len(ids) and ids.max() < len(n_bytes):
+                reached = np.cumsum(n_bytes[ids])
+                cuts = np.searchsorted(reached, ends)
+                if reached[-1] == ends[-1] and (reached[cuts] == ends).all():
+                    packed, cuts = ids.tobytes(), (4 * (cuts + 1)).tolist()
+                    return [packed[i:j] for i, j in zip([0, *cuts], cuts)]
+            return one_by_one(strings)  # tokens that are not bytes one for one
+
         def resolve(strings: list[str]) -> list[bytes]:
-            joined = [s[:1] == " " and len(s) > 1 and not s[1].isspace() and not s[-1].isspace() and "\n" not in s and len(s) < 200 and len(feed) == 1 for s in strings]
+            joined = [s[:1] == " " and 1 < len(s) < 200 and not (s[1].isspace() or s[-1].isspace()) for s in strings]
             many = [s for s, j in zip(strings, joined) if j]
-            out: list[bytes] = []
-            for a in range(0, len(many), 1024):
-                ids = np.array(encode(["\n".join(many[a : a + 1024])], add_special_tokens=False)[0].ids, "<u4")
-                cuts = np.flatnonzero(ids == feed[0])
-                if len(cuts) + 1 != len(many[a : a + 1024]):  # a vocabulary that merges line feeds otherwise
-                    out += one_by_one(many[a : a + 1024])
-                    continue
-                packed = ids.tobytes()
-                out += [packed[4 * i : 4 * j] for i, j in zip([0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)])]
-            together, alone = iter(out), iter(one_by_one([s for s, j in zip(strings, joined) if not j]))
-            return [next(together) if j else next(alone) for j in joined]
-
-        _ENCODERS[path] = PartEncoder(resolve)
+            parts = iter([x for a in range(0, len(many), JOINED) for x in together(many[a : a + JOINED])])
+            alone = iter(one_by_one([s for s, j in zip(strings, joined) if not j]))
+            return [next(parts) if j else next(alone) for j in joined]
+
+        _ENCODERS[path] = PartEncoder(resolve, CACHE_PARTS)
     return _ENCODERS[path]
 
 
