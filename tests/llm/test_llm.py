@@ -271,3 +271,19 @@ def test_shingles_and_words():
     texts = ["A b\tc d e f", None, "", "a b", "a  b c d e f"]
     got = shingles.shingle_sets(pa.array(texts), 5)
     assert [len(x) for x in got] == [2, 0, 0, 1, 2] and (got[0] == got[4]).all()
+
+
+def test_library_encoder_equals_library():
+    """Parts encoded together give the ids of whole texts, whatever the white space, special tokens and characters."""
+    import random
+
+    import public_tokenizers as tokenizers
+    from tokenizers import Tokenizer
+
+    path, draw = tokenizers.path("byte_bpe_50k.json"), random.Random(3)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    atoms = ["a", "foo", "Bar", "'s", " ", "  ", "\n", "\t", "　", "\x1c", "\x85", "é", "ñ", "漢字", "🙂", "12", "3.4", "...", "<|endoftext|>", "​", "\r\n", "x" * 250]
+    texts = [None, "", *("".join(draw.choices(atoms, k=draw.randint(1, 25))) for _ in range(3000))]
+    found = next(token_files.library_encoder(path).encode([texts]))
+    assert found == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
