@@ -112,6 +112,13 @@ def test_licenses(spark, docs, none):
     assert licenses.scan_licenses(docs).count() == 0 == licenses.scan_licenses(none).count()
 
 
+def test_license_wordings_alone_on_a_line(spark):
+    wanted = licenses.templates() + [("all-rights-reserved", "", "All rights reserved."), ("CC-BY-4.0", "", "CC BY 4.0"), ("CC-BY-SA-3.0", "", "Creative Commons Attribution-ShareAlike 3.0 International")]
+    rows = [(i, f"{prose(20)}\n{wording}\n{prose(20)}") for i, (_, _, wording) in enumerate(wanted)]
+    found = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (found[i].license, found[i].n_differences) for i in found} == {i: (name, 0) for i, (name, _, _) in enumerate(wanted)}
+
+
 def test_bpe(docs, none):
     import public_tokenizers as P
     import tiktoken
