@@ -119,6 +119,33 @@ def test_license_wordings_alone_on_a_line(spark):
     assert {i: (found[i].license, found[i].n_differences) for i in found} == {i: (name, 0) for i, (name, _, _) in enumerate(wanted)}
 
 
+def test_licenses_wrapped_in_long_lines_and_side_by_side(spark):
+    def wrapped(text, width):
+        out = [""]
+        for w in text.split(" "):
+            out.append(w) if len(out[-1]) + len(w) > width else out.append(f"{out.pop()} {w}".strip())
+        return "\n".join(f" * {x}" for x in out)
+
+    wanted = [x for x in licenses.templates() if len(x[2].split()) > 2]
+    rows, names = [], []
+    for name, _, wording in wanted:
+        rows += [wrapped(wording, 30), wrapped(wording.upper(), 60)]
+        names += [[name]] * 2
+    long_one = next(x for x in wanted if x[0] == "GPL-3-or-later")
+    for n in range(0, 200, 10):  # statements at all places of a long line
+        rows.append(f"{prose(n)} {long_one[2]} {prose(60)} {wanted[0][2]} {prose(200 - n)}")
+        names.append([long_one[0], "MIT"])
+    rows.append("This work is licensed under the GNU General Public License, version 1. Parts are licensed under the MIT License.")
+    names.append(["MIT"])
+    rows.append("\n".join(f"{prose(2)} {w}" for _, _, w in wanted))
+    names.append([x for x, _, _ in wanted])
+    found = collections.defaultdict(list)
+    for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).orderBy("doc_id", "start").collect():
+        found[r.doc_id].append(r.license)
+        assert rows[r.doc_id][r.start : r.start + r.length] == r.wording and r.n_differences == 0
+    assert dict(found) == dict(enumerate(names))
+
+
 def test_bpe(docs, none):
     import public_tokenizers as P
     import tiktoken
