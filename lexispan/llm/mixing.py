@@ -24,8 +24,6 @@ from .common import stage
 
 #: Budgets up to this many words are fitted exactly.
 DP_WORDS = 1 << 16
-#: Distinct sizes that the program considers, smallest first.
-DP_SIZES = 256
 
 
 def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -33,7 +31,8 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
 
     ``sizes`` are distinct and positive.  A proportional share of each size is taken
     first; then the largest sizes fill up until the rest is below ``DP_WORDS``; then the
-    program over (size, number left) closes the rest.
+    program over (size, number left) closes the rest.  All sizes take part, so no
+    document that is left is as small as what is missing.
     """
     order = np.argsort(sizes)
     sizes, counts = sizes[order].astype(np.int64), counts[order].astype(np.int64)
@@ -48,25 +47,30 @@ def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndar
         if more > 0:
             taken[i] += more
             rest -= more * int(sizes[i])
-    use = [i for i in range(len(sizes)) if counts[i] > taken[i] and sizes[i] <= rest][:DP_SIZES]
+    use = [i for i in range(len(sizes)) if counts[i] > taken[i] and sizes[i] <= rest]
     mask = (1 << (rest + 1)) - 1
     reach, steps = 1, []  # bit s: the sum s can be made
+    made_by = np.zeros(rest + 1, np.int64)  # the first step that makes a sum
     for i in use:
         left, power = int(counts[i] - taken[i]), 1
         left = min(left, rest // int(sizes[i]))
         while left > 0 and not reach >> rest & 1:
             n = min(power, left)
-            steps.append((i, n, reach))
-            reach = (reach | reach << (n * int(sizes[i]))) & mask
+            fresh = reach << (n * int(sizes[i])) & mask & ~reach
+            if fresh:
+                bits = np.frombuffer(fresh.to_bytes(rest // 8 + 1, "little"), np.uint8)
+                made_by[np.flatnonzero(np.unpackbits(bits, bitorder="little"))] = len(steps)
+                steps.append((i, n))
+                reach |= fresh
             left -= n
             power *= 2
         if reach >> rest & 1:
             break
     at = reach.bit_length() - 1
-    for i, n, before in reversed(steps):
-        if not before >> at & 1:
-            at -= n * int(sizes[i])
-            taken[i] += n
+    while at:
+        i, n = steps[made_by[at]]
+        at -= n * int(sizes[i])
+        taken[i] += n
     out = np.empty_like(taken)
     out[order] = taken
     return out

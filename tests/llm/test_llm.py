@@ -89,6 +89,17 @@ def test_subset_counts():
             assert (sizes * taken).sum() == budget
 
 
+def test_subset_counts_of_many_sizes():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        sizes = rng.choice(np.arange(1, rng.choice([900, 20000])) * rng.choice([1, 2]), rng.integers(280, 800), replace=False)
+        counts = rng.integers(1, 4, len(sizes))
+        budget = int(rng.integers(0, (sizes * counts).sum()))
+        taken = mixing.subset_counts(sizes, counts, budget)
+        gap = budget - (sizes * taken).sum()
+        assert (taken >= 0).all() and (taken <= counts).all() and 0 <= gap < sizes[taken < counts].min()
+
+
 def test_language(spark, none):
     rows = [(i, "the cat and the dog of it" if i % 2 else "der hund und die katze ist", "en" if i % 2 else "de", "x") for i in range(40)]
     rows += [(90, None, "en", "x"), (91, "", "de", "x"), (92, "123 !", None, "x")]
