@@ -2,55 +2,168 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import STOPWORDS
+from ..llm.common import text_blocks
 
 
-def weights(docs: DataFrame, features: int, least_df: int, most_df: float) -> DataFrame:
-    """(doc_id, term, w): sublinear tf-idf, rows of norm 1, of the commonest terms within the document frequencies."""
-    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda x: ~x.isin(STOPWORDS))
-    tf = docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
-    n_docs = docs.count()
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("total")).where((F.col("df") >= least_df) & (F.col("df") <= most_df * n_docs))
-    vocabulary = df.orderBy(F.desc("total"), "term").limit(features)
-    w = tf.join(F.broadcast(vocabulary), "term").withColumn("w", (1 + F.log("n")) * (F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + 1))
-    norms = w.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, "doc_id").select("doc_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
-
-def factorise(docs: DataFrame, topics: int = 15, features: int = 500, rounds: int = 6, seed: int = 42) -> tuple[list[str], np.ndarray]:
-    """Terms and the topic-term matrix H; document weights stay on the executors and only sums of size topics * features reach the driver."""
-    rows = weights(docs, features, 5, 0.95).groupBy("doc_id").agg(F.collect_list("term").alias("terms"), F.collect_list("w").alias("ws")).persist()
-    terms = sorted(r[0] for r in rows.select(F.explode("terms").alias("t")).distinct().limit(features).collect())
-    place = {t: i for i, t in enumerate(terms)}
-    h = np.random.default_rng(seed).random((topics, max(1, len(terms)))) + 0.1
-    for _ in range(rounds):
-
-        def sums(frames: Iterator[pd.DataFrame], h=h) -> Iterator[pd.DataFrame]:
-            top, square = np.zeros_like(h), np.zeros((topics, topics))
-            gram = h @ h.T
-            for frame in frames:
-                x = np.zeros((len(frame), h.shape[1]))
-                for i, (own, ws) in enumerate(zip(frame["terms"], frame["ws"])):
-                    x[i, [place[t] for t in own]] = ws
-                w = np.full((len(x), topics), 0.1)
-                for _ in range(10):
-                    w *= (x @ h.T) / np.maximum(w @ gram, 1e-9)
-                top += w.T @ x
-                square += w.T @ w
-            yield pd.DataFrame({"top": [top.tobytes()], "square": [square.tobytes()]})
-
-        parts = rows.select("terms", "ws").mapInPandas(sums, "top binary, square binary").collect()
-        top = sum(np.frombuffer(p["top"]).reshape(h.shape) for p in parts)
-        square = sum(np.frombuffer(p["square"]).reshape(topics, topics) for p in parts)
-        h = h * top / np.maximum(square @ h, 1e-9)
-    rows.unpersist()
+#: A round that lowers the squared error by less than this share of the first one is the last.
+TOLERANCE = 1e-5
+#: Rounds that find the singular vectors of the start, and vectors beyond the topics that they carry.
+POWER, SPARE = 7, 10
+
+
+def words(docs: DataFrame) -> DataFrame:
+    """One row a document: its words without stopwords, in order, lower case, as an array."""
+    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda x: ~x.isin(STOPWORDS))
+    return docs.select(F.coalesce(found, F.array().cast("array<string>")).alias("words"))
+
+
+def vocabulary(held: DataFrame, features: int, least_df: int, most_df: float) -> tuple[list[str], np.ndarray]:
+    """The commonest words and pairs of neighbouring words within the document frequencies, sorted, and their idf."""
+    n_docs = held.count()
+    rest = F.greatest(F.size("words") - 1, F.lit(0))
+    pairs = F.zip_with(F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest), lambda x, y: F.concat(x, F.lit(" "), y))
+    ordered = held.select(F.sort_array(F.concat("words", pairs)).alias("terms"))
+    first = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == x), 0).otherwise(1).alias("first")))
+    counts = ordered.select(F.inline(first)).groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
+    rows = counts.where((F.col("df") >= least_df) & (F.col("df") <= most_df * n_docs)).orderBy(F.desc("total"), "term").limit(features).collect()
+    found = sorted((r["term"], r["df"]) for r in rows)
+    return [t for t, _ in found], np.log((1 + n_docs) / (1 + np.array([n for _, n in found], float))) + 1
+
+
+def weights(held: DataFrame, terms: list[str], idf: np.ndarray) -> DataFrame:
+    """Blocks of documents: sizes (terms of each), terms and w (their places and sublinear tf-idf, rows of norm 1), as bytes."""
+    given = held.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, idf))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, scale = given.value
+        get = place.get
+        for block in text_blocks(batches, "words"):
+            sizes, at, tf = [], [], []
+            for text in block.column("words").to_pylist():
+                own = text.split(" ")
+                counts = Counter(map(get, own))
+                counts.update(map(get, map(" ".join, zip(own, own[1:]))))
+                counts.pop(None, None)
+                sizes.append(len(counts))
+                at += counts.keys()
+                tf += counts.values()
+            sizes, at = np.array(sizes, np.int32), np.array(at, np.int32)
+            w = (1 + np.log(np.array(tf, float))) * scale[at]
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            w /= np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
+            yield pa.RecordBatch.from_pydict({"sizes": [sizes.tobytes()], "terms": [at.tobytes()], "w": [w.astype(np.float32).tobytes()]}, pa.schema([(c, pa.binary()) for c in ("sizes", "terms", "w")]))
+
+    return held.select(F.array_join("words", " ").alias("words")).mapInArrow(run, "sizes binary, terms binary, w binary")
+
+
+class Rows:
+    """A block's matrix, documents by terms."""
+
+    def __init__(self, sizes: bytes, terms: bytes, w: bytes, n_terms: int):
+        self.sizes, self.terms, self.w, self.n_terms = np.frombuffer(sizes, np.int32), np.frombuffer(terms, np.int32), np.frombuffer(w, np.float32).astype(float), n_terms
+        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def times(self, m: np.ndarray) -> np.ndarray:
+        """Transposed product with (vectors, terms): (vectors, documents)."""
+        return np.array([np.bincount(self.row, v[self.terms] * self.w, len(self.sizes)) for v in m])
+
+    def across(self, m: np.ndarray) -> np.ndarray:
+        """(vectors, documents) times the block: (vectors, terms)."""
+        return np.array([np.bincount(self.terms, v[self.row] * self.w, self.n_terms) for v in m])
+
+
+def shares(a: np.ndarray, gram: np.ndarray, sweeps: int = 200) -> np.ndarray:
+    """Non-negative least squares, W of (topics, documents) from H X' and H H', by coordinate descent."""
+    w = np.zeros_like(a)
+    for _ in range(sweeps):
+        moved = 0.0
+        for j in np.flatnonzero(gram.diagonal() > 0):
+            new = np.maximum(0, w[j] + (a[j] - gram[j] @ w) / gram[j, j])
+            moved += np.abs(new - w[j]).sum()
+            w[j] = new
+        if moved <= 1e-3 * w.sum():
+            break
+    return w
+
+
+def factorise(docs: DataFrame, topics: int = 15, features: int = 5000, rounds: int = 500, seed: int = 42) -> tuple[list[str], np.ndarray]:
+    """Terms and the topic-term matrix H of the tf-idf of words and word pairs.
+
+    H starts from singular vectors (nndsvda).  Each round solves the documents' weights for
+    H on the executors and H for the weights on the driver, until the error falls no
+    further; only sums of size (topics + SPARE) * features reach the driver.
+    """
+    held = words(docs)
+    terms, idf = vocabulary(held, features, 5, 0.95)
+    n = len(terms)
+    if not n:
+        return terms, np.zeros((topics, 0))
+    # few tasks, as each sends its sums to the driver
+    rows = weights(held, terms, idf).coalesce(max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def summed(of, *given: np.ndarray) -> list[np.ndarray]:
+        """Sums over all blocks of the arrays that ``of(block, *given)`` has."""
+        sent = docs.sparkSession.sparkContext.broadcast(given)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                for r in batch.to_pylist():
+                    own = of(Rows(r["sizes"], r["terms"], r["w"], n), *sent.value)
+                    total = own if total is None else [x + y for x, y in zip(total, own)]
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": [[x.tobytes() for x in total]]}, pa.schema([("sums", pa.list_(pa.binary()))]))
+
+        total = None
+        for p in rows.mapInArrow(run, "sums array<binary>").collect():
+            own = [np.frombuffer(x) for x in p["sums"]]
+            total = own if total is None else [x + y for x, y in zip(total, own)]
+        sent.unpersist()
+        return total
+
+    try:
+        kept = min(topics, n)
+        q = np.linalg.qr(np.random.default_rng(seed).standard_normal((n, min(n, topics + SPARE))))[0]
+        for _ in range(POWER):
+            q = np.linalg.qr(summed(lambda x, v: [x.across(x.times(v))], q.T)[0].reshape(q.shape[::-1]).T)[0]
+        gram = summed(lambda x, v: [(y := x.times(v)) @ y.T], q.T)[0].reshape(q.shape[1], -1)
+        values, turned = np.linalg.eigh(gram)
+        s = np.sqrt(np.maximum(values[::-1][:kept], 0))
+        v = (q @ turned[:, ::-1][:, :kept]).T
+        up, down, weight, square, n_docs = summed(lambda x, v: [((y := x.times(v)).clip(0) ** 2).sum(1), ((-y).clip(0) ** 2).sum(1), np.array([x.w.sum()]), np.array([(x.w**2).sum()]), np.array([float(len(x.sizes))])], v)
+        h = np.zeros((topics, n))
+        for j in range(kept):
+            positive, negative = v[j].clip(0), (-v[j]).clip(0)
+            side, u = (positive, up[j]) if np.linalg.norm(positive) ** 2 * up[j] >= np.linalg.norm(negative) ** 2 * down[j] else (negative, down[j])
+            if j == 0:
+                h[0] = np.sqrt(s[0]) * np.abs(v[0])
+            elif s[j] > 0 and (size := np.linalg.norm(side)):
+                h[j] = np.sqrt(s[j] * (np.sqrt(u) / s[j]) * size) * side / size
+        h[h < 1e-6] = weight[0] / (n_docs[0] * n)
+        before = first = np.inf
+        for _ in range(rounds):
+            top, both = summed(lambda x, h: [x.across(w := shares(x.times(h), h @ h.T)), w @ w.T], h)
+            top, both = top.reshape(h.shape), both.reshape(topics, topics)
+            error = square[0] - 2 * (top * h).sum() + (both * (h @ h.T)).sum()
+            first = error if first == np.inf else first
+            if before - error <= TOLERANCE * first:
+                break
+            before = error
+            for _ in range(10):
+                for j in np.flatnonzero(both.diagonal() > 0):
+                    h[j] = np.maximum(0, h[j] + (top[j] - both[j] @ h) / both[j, j])
+    finally:
+        rows.unpersist()
     return terms, h
 
 
