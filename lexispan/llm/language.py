@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import text_blocks
@@ -106,6 +106,17 @@ def _counts(rows: list) -> dict[str, dict[str, int]]:
     return out
 
 
+def _pieces(word: Column, n: int) -> Column:
+    """All n-grams of a word; a shorter word itself."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - (n - 1), F.lit(1))), lambda i: F.substring(word, i, F.lit(n)))
+
+
+def _commonest(counts: DataFrame, by: list[str], item: str, most: int) -> DataFrame:
+    """Rows (by, item, n) of the ``most`` items of largest n for each ``by``."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("n"), item))
+    return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
+
+
 def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS, grams: int = GRAMS) -> LanguageModel:
     """Model from rows (doc_id, text, lang); null texts and labels teach nothing.
 
@@ -120,12 +131,12 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS,
     each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
         langs = [r[0] for r in each.select("lang").distinct().orderBy("lang").limit(LANGS).collect()]
-        by_word = each.where("n > 1").select("lang", "word", "n").orderBy(F.desc("n"), "word", "lang").limit(words * max(1, len(langs))).collect()
+        by_word = _commonest(each.where("n > 1").select("lang", "word", "n"), ["lang"], "word", words).collect()
         padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
-        at = F.transform(F.array(*[F.struct(F.lit(n).alias("k"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))), lambda i, n=n: F.substring(padded, i, F.lit(n))).alias("grams")) for n in LENGTHS]), lambda x: x)
+        at = F.array(*[F.struct(F.lit(n).alias("k"), _pieces(padded, n).alias("grams")) for n in LENGTHS])
         cut = each.select("lang", "n", F.explode(at).alias("c")).select("lang", "n", "c.k", F.explode("c.grams").alias("gram")).where(F.length("gram") == F.col("k"))
         grams_n = cut.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where("n > 2")
-        by_gram = grams_n.orderBy(F.desc("n"), "gram", "lang").limit(grams * len(LENGTHS) * max(1, len(langs))).collect()
+        by_gram = _commonest(grams_n, ["lang", "k"], "gram", grams).collect()
     finally:
         each.unpersist()
     return LanguageModel(langs, _counts(by_word), {n: _counts([(r["lang"], r["gram"], r["n"]) for r in by_gram if r["k"] == n]) for n in LENGTHS})

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -113,6 +114,15 @@ def test_language(spark, none):
     assert language.fit(none).langs == [] and language.predict(none, language.fit(none)).count() == 0
 
 
+def test_language_of_few_documents_keeps_its_words(spark):
+    names = ["".join(x) for x in itertools.product("abcde", repeat=3)]
+    rows = [(i, " ".join(names), "en") for i in range(30)] + [(90 + i, "zuv zuv wyx wyx", "de") for i in range(2)]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=20, grams=15)
+    assert {"zuv", "wyx"} <= set(model.words) and len(model.words) == 22
+    assert {" zuv ", " wyx "} <= set(model.grams[5]) and {" zuv", "zuv "} <= set(model.grams[4])
+    assert model.predict("zuv")[0] == "de" and model.predict("abc")[0] == "en"
+
+
 def test_licenses(spark, docs, none):
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0"}
     rows = [(i, f"{prose(30)}\n{line}\n{prose(5)}") for i, line in enumerate(lines)] + [(8, prose(400) + " Licensed under the Apache License, Version 2.0. " + prose(400)), (9, "a license to speak of, no more"), (10, None)]
