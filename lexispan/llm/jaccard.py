@@ -81,7 +81,8 @@ def _signature(held: np.ndarray) -> bytes:
 def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row per document that has a set: doc_id, n, digest, group, prefix and signature.
 
-    Within a task, all but one of the documents with equal sets go without prefix.
+    Within a task, all but one of the documents with equal sets go without prefix, and
+    those with null doc_id, which link with nothing.
     """
     classes, bits = _order(docs, size)
     held_classes = docs.sparkSession.sparkContext.broadcast(classes)
@@ -94,8 +95,8 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for doc_id, held in zip(ids, sets):
                 n = len(held)
                 digest = hashlib.md5(held.tobytes()).digest()
-                if not n or digest in seen:
-                    rows.append((doc_id, n, digest if n else None, None, None, None))
+                if not n or doc_id is None or digest in seen:
+                    rows.append((doc_id, n, digest if n and doc_id is not None else None, None, None, None))
                     continue
                 if len(seen) > _SEEN:
                     seen.clear()

@@ -282,6 +282,13 @@ def test_jaccard(docs, none, spark):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_null_id_first(spark):
+    rows = [(None, BASE), (2, BASE), (1, BASE), (3, edited(BASE, 0.01)), (None, None)]
+    found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert sorted((r.doc_id or 0, r.component_id) for r in found if r.doc_id) == [(1, 1), (2, 1), (3, 1)]
+    assert [r.component_id for r in found if r.doc_id is None] == [None, None]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 7), (200, 201), (5, 5)]
     found = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
