@@ -28,7 +28,7 @@ def p_value(a: np.ndarray, b: np.ndarray, u: float) -> float:
     return min(1.0, math.erfc(max(0.0, abs(u - n * m / 2) - 0.5) / math.sqrt(variance) / math.sqrt(2)))
 
 
-def compare(frame: pd.DataFrame, resamples: int = 400, least: int = 5, seed: int = 42) -> pd.DataFrame:
+def compare(frame: pd.DataFrame, resamples: int = 2000, least: int = 5, seed: int = 42) -> pd.DataFrame:
     frame = frame.sort_values("id")
     a, b = (frame.loc[frame["g"] == g, "v"].to_numpy() for g in (0, 1))
     row = {"metric": frame["metric"].iloc[0], "n_a": len(a), "n_b": len(b)}
@@ -41,6 +41,6 @@ def compare(frame: pd.DataFrame, resamples: int = 400, least: int = 5, seed: int
     return pd.DataFrame([row]).reindex(columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
 
-def compare_groups(values: DataFrame, resamples: int = 400, least: int = 5) -> DataFrame:
+def compare_groups(values: DataFrame, resamples: int = 2000, least: int = 5) -> DataFrame:
     """Rows (metric, g 0 or 1, id, v) to a comparison of each metric; a resample needs a metric's values together."""
     return values.groupBy("metric").applyInPandas(lambda f: compare(f, resamples, least), SCHEMA)

@@ -31,6 +31,17 @@ def test_python_queries(spark):
     assert QUERIES["pca_2d"](spark, DATA).count() == 500
 
 
+def test_bootstrap_draws_2000_resamples():
+    import pandas as pd
+
+    v = np.random.default_rng(2).integers(0, 9, 40).astype(float)
+    frame = pd.DataFrame({"metric": "x", "g": np.arange(40) % 2, "id": np.arange(40), "v": v})
+    a, b, rng = v[::2], v[1::2], np.random.default_rng(42)
+    effects = [1 - 2 * inference.u_statistic(rng.choice(a, 20), rng.choice(b, 20)) / 400 for _ in range(2000)]
+    row = inference.compare(frame).iloc[0]
+    assert [row.effect_ci_low, row.effect_ci_high] == list(np.percentile(effects, [2.5, 97.5]))
+
+
 def test_topics_of_words_and_pairs(spark):
     rng = np.random.default_rng(8)
     kinds = [[f"w{k}{a}{b}" for a in "abcdefghij" for b in "abcdefghij"] for k in range(3)]
