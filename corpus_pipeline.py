@@ -33,10 +33,16 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group that 5-word shingles link at a similarity of 0.75; repeated rows once."""
-    parts = jaccard.jaccard_components(docs.select("doc_id", "text"))
-    first = parts.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """The row of smallest id of each group that 5-word shingles link at a similarity of 0.75.
+
+    Rows are judged one by one, whether their id is null (last in its group) or repeated;
+    of rows equal in all columns one stays.
+    """
+    docs = stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "copies-input")
+    parts = jaccard.jaccard_components(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
+    first = docs.join(parts, "row").groupBy("component_id").agg(F.min(rank).alias("x")).select("x.row")
+    return docs.join(first, "row", "left_semi").select(*COLUMNS).dropDuplicates()
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +53,10 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of the mix, as often as it takes each."""
-    docs = stage(docs.select(*COLUMNS), "mix-input")
-    mixed = mixing.mix(docs).where("taken > 0").select("doc_id", F.expr("taken div size").alias("times"))
-    repeated = docs.join(mixed, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
+    """Rows of the mix, as often as it takes each; ids may be null or repeated."""
+    docs = stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "mix-input")
+    mixed = mixing.mix(docs, keep=["row"]).where("taken > 0").select("row", F.expr("taken div size").alias("times"))
+    repeated = docs.join(mixed, "row").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))))
     return repeated.select(*COLUMNS)
 
 
@@ -78,5 +84,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Learning, suffix arrays and the merges are not expressible in SQL; the pipeline is tested against a brute-force version.
+#: Learning, suffix arrays and the merges are not expressible in SQL; tests/llm compares each later stage with a brute-force version.
 ORACLE_SQL = None

@@ -99,17 +99,17 @@ def budgets(sources: DataFrame, weights: Sequence[int], share: float, most: floa
     return rated.select("source", "source_size", F.least("full", F.coalesce(F.col("rate") * F.col("weight"), F.col("full"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, slots: int | None = None) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, slots: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Words that a mix takes from each document.
 
-    Returns doc_id, size, source_size, target and taken (words, repeats counted: 0, size
+    Returns doc_id, the columns ``keep``, size, source_size, target and taken (words, repeats counted: 0, size
     or 2 * size ...; at most ``most`` rounded up times the size).  A null text has size
     0; a null source is a source.  Rows that repeat a doc_id count each for themselves.
     Reruns agree: order is by a seeded hash, then doc_id.
     """
     spark = docs.sparkSession
     slots = slots or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sized = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
+    sized = docs.select("doc_id", *keep, "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
     sized = stage(sized.withColumn("slot", F.pmod("order", F.lit(slots)).cast("int")), "mix-sizes")
     target = stage(budgets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
 
@@ -140,7 +140,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     t = target.alias("t")
     return (
         chosen.join(t, F.col("d.source").eqNullSafe(F.col("t.source")))
-        .select("doc_id", "d.size", "source_size", "target", (F.col("d.size") * F.coalesce(F.col("passes") + (F.col("place") <= F.col("extra")).cast("long"), F.lit(0))).alias("taken"))
+        .select("doc_id", *keep, "d.size", "source_size", "target", (F.col("d.size") * F.coalesce(F.col("passes") + (F.col("place") <= F.col("extra")).cast("long"), F.lit(0))).alias("taken"))
     )
 
 

@@ -327,6 +327,56 @@ def test_pipeline(spark, tmp_path):
     assert {r.doc_id: r.n_tokens > 0 for r in docs.collect()} and kept[3][1] == kept[4][1]
 
 
+def test_pipeline_by_brute_force(spark, tmp_path):
+    import corpus_pipeline as pipeline
+    import public_tokenizers as P
+    import tiktoken
+
+    def bag(rows):
+        return collections.Counter((r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in rows)
+
+    own = ["the {} and of {} it ".format(*random.choices(WORDS, k=2)) + prose(random.randint(8, 40)) for _ in range(30)]
+    passage = prose(80)
+    own += [f"{prose(40)} {passage} {prose(30)}", f"{prose(35)} {passage} {prose(45)}", edited(own[3], 0), own[5], own[5], own[6].upper()]
+    ids = [*range(25), None, None, 7, 7, 8, 50, 51, 3, None, 5, None]
+    rows = [(i, t, "en", f"src{k % 2}", len(t)) for k, (i, t) in enumerate(zip(ids, own))]
+    docs = spark.createDataFrame(rows + rows[:1] + rows[25:26], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    given = pipeline.stage(docs, "t").collect()
+    # near copies: of each linked group the smallest id, null last
+    left = pipeline.stage(pipeline.near_copies(spark, docs, ""), "t")
+    sets = [shingle_set(r.text) for r in given]
+    group = list(range(len(given)))
+    for i in range(len(given)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    least = [min(((r.doc_id is None, r.doc_id or 0) for r, g in zip(given, group) if g == x)) for x in dict.fromkeys(group)]
+    kept = left.collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept) == sorted(least) and bag(kept) <= bag(given)
+    # repeated strings
+    cut = pipeline.stage(pipeline.repeated_strings(spark, left, ""), "t")
+    data = [r.text.encode() for r in kept]
+    seen = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    wanted = collections.Counter()
+    for r, d in zip(kept, data):
+        gone = {k for i in range(len(d) - 199) if seen[d[i : i + 200]] > 1 for k in range(i, i + 200)}
+        text = bytes(c for k, c in enumerate(d) if k not in gone).decode("utf-8", "ignore")
+        wanted[(r.doc_id, text, r.lang, r.source, len(text))] += 1 if text.split() else 0
+    assert bag(cut.collect()) == +wanted
+    # the mix of rows that repeat: each at most twice as often as it stands there, budgets met
+    twice = pipeline.stage(cut.union(cut.limit(3)), "t")
+    before, mixed = bag(twice.collect()), pipeline.stage(pipeline.mix_sources(spark, twice, ""), "t")
+    after = bag(mixed.collect())
+    assert set(after) <= set(before) and all(n <= 2 * before[x] for x, n in after.items()) and any(x[0] is None for x in after)
+    planned = mixing.mix(twice).collect()
+    assert sum(len(x[1].split()) * n for x, n in after.items()) == sum(r.taken for r in planned)
+    # token ids
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    tokens = collections.Counter((r.doc_id, bytes(r.ids)) for r in pipeline.token_ids(spark, mixed, "").collect())
+    assert tokens == collections.Counter(x for k, n in after.items() for x in [(k[0], np.array(library.encode_ordinary(k[1]), "<u4").tobytes())] * n)
+
+
 def test_shingles_and_words():
     import pyarrow as pa
 
