@@ -1,16 +1,18 @@
 """Helpers that the operators of this subpackage share.
 
 Everything an executor writes for others goes below ``spark.checkpoint.dir``; the
-session's setting is used as it is, and only a session without one (a test) gets a
-folder of its own.
+session's setting is used as it is, and only a session in one process without one (a
+test) gets a folder of its own.
 """
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and all executors see."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = "file://" + tempfile.mkdtemp(prefix="lexispan-")
@@ -47,7 +51,34 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def drop(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing will read any more."""
+    for df in staged:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function of Arrow batches whose worker gives freed memory back when it ends; an idle worker then holds little."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped
 
 
 def file_system(uri: str):
@@ -57,7 +88,7 @@ def file_system(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with about ``most`` bytes of ``column``; a longer single row stands alone."""
     for batch in batches:
         if not batch.num_rows:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import mix64, tidy
 
 #: log2 of the number of bits of a filter of ids.
 ID_BITS = 24
@@ -26,11 +26,11 @@ def build(values: DataFrame, bits: int) -> np.ndarray:
     """Packed bits of a filter of the first column of ``values`` (longs); merged by chunks, so a task holds one filter."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(1 << bits, bool)
+        held = np.zeros(1 << bits >> 3, np.uint8)
         for batch in batches:
             for at in _places(np.asarray(batch.column(0), dtype=np.int64), bits):
-                held[at] = True
-        packed = np.packbits(held, bitorder="little").reshape(_CHUNKS, -1)
+                np.bitwise_or.at(held, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        packed = held.reshape(_CHUNKS, -1)
         used = [i for i in range(_CHUNKS) if packed[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([packed[i].tobytes() for i in used], pa.binary())], names=["chunk", "bits"])
 
@@ -39,7 +39,7 @@ def build(values: DataFrame, bits: int) -> np.ndarray:
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "bits": pa.array([total.tobytes()], pa.binary())})
 
     whole = np.zeros((_CHUNKS, (1 << bits) // 8 // _CHUNKS), np.uint8)
-    for chunk, part in values.mapInArrow(fill, "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
+    for chunk, part in values.mapInArrow(tidy(fill), "chunk int, bits binary").groupBy("chunk").applyInArrow(merge, "chunk int, bits binary").collect():
         whole[chunk] = np.frombuffer(part, np.uint8)
     return whole.ravel()
 

@@ -7,6 +7,8 @@ import pyarrow as pa
 
 from .common import mix64, utf8
 
+#: Bytes whose words are hashed at once.
+PIECE = 1 << 19
 _P = 0x5851F42D4C957F2D
 _INVERSE = pow(_P, -1, 1 << 64)
 
@@ -21,15 +23,21 @@ def powers(base: int, n: int) -> np.ndarray:
 def words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts (A-Z lower-cased, words between ASCII white space), and the bounds of each text's words."""
     data, bounds = utf8(column)
-    data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
     inside = ~((data == 32) | (data >= 9) & (data <= 13))
     first = np.zeros(len(data) + 1, bool)
     first[bounds] = True
     begins = np.flatnonzero(inside & (first[:-1] | np.append(True, ~inside[:-1])[: len(data)]))
     ends = np.flatnonzero(inside & (first[1:] | np.append(~inside[1:], True)[: len(data)])) + 1
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=sums[1:])
-    hashes = (sums[ends] - sums[begins]) * powers(_INVERSE, len(data) + 1)[begins]
+    hashes = np.zeros(len(begins), np.uint64)
+    cuts = [0, *(np.flatnonzero(np.diff(begins // PIECE)) + 1).tolist(), len(begins)]
+    for i, j in zip(cuts, cuts[1:]):
+        if i < j:
+            a, b = begins[i:j] - begins[i], ends[i:j] - begins[i]
+            own = data[begins[i] : ends[j - 1]]
+            sums = np.zeros(len(own) + 1, np.uint64)
+            np.cumsum((own.astype(np.uint64) + np.uint64(1)) * powers(_P, len(own)), out=sums[1:])
+            hashes[i:j] = (sums[b] - sums[a]) * powers(_INVERSE, len(own))[a]
     hashes = mix64(hashes + mix64((ends - begins).astype(np.uint64)))
     return hashes, np.searchsorted(begins, bounds)
 

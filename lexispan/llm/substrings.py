@@ -8,12 +8,18 @@ texts).  The strings of one anchor place are contiguous; the text they cover is
 context.  Equal contexts are collapsed before they are shuffled; the contexts of an
 anchor that differ meet in a shard, whose suffix array is built by induced sorting, and
 permuted common prefixes with the neighbours in it tell which strings repeat.
+
+Where an anchor has more contexts than a shard holds, each is cut into ``LEVELS`` parts
+by the strings' distance from the anchor.  All strings of a part hold the bytes around
+the anchor that its outermost strings share, its core; equal strings lie in parts of equal
+core, so anchor and core deal the parts into shards of their own.  At the last level a
+part is one string, and equal ones are collapsed before the shuffle.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import filters
-from .common import gathered, mix64, runs, stage, text_blocks, utf8
+from .common import drop, gathered, mix64, runs, stage, text_blocks, tidy, utf8
 from .shingles import _INVERSE, _P, powers
 from .suffixes import same_prefix, suffix_array
 
-PIECE = 20
-#: Bytes of contexts in one suffix array; places between sampled common prefixes.
-SHARD_BYTES, SAMPLE = 3 << 19, 16
+PIECE = 40
+#: Bytes of contexts in one suffix array; places between sampled common prefixes; parts of the contexts of crowded anchors.
+SHARD_BYTES, SAMPLE, LEVELS = 1 << 20, 16, (4, 1 << 30)
+#: Bytes of a text whose anchors are found at once.
+SEGMENT = 1 << 20
 #: log2 bits of the filter of repeated anchors, and contexts a task keeps to collapse at once.
 ANCHOR_BITS, CORPUS_BYTES = 26, 6 << 20
 
@@ -64,14 +72,16 @@ def _least(hashes: np.ndarray, width: int) -> np.ndarray:
     return np.where(left <= right, last[: n - width + 1], first[width - 1 : n])
 
 
-def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, first string, last string) of each run of strings with one anchor."""
-    if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    hashes = piece_hashes(data)
-    at = _least(hashes, length - PIECE + 1)
-    firsts, lasts = runs(at)
-    return hashes[at[firsts]].view(np.int64), firsts, lasts - 1
+def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor hash, anchor place, first string, last string) of each run of strings with one anchor."""
+    found = [np.zeros((4, 0), np.int64)]
+    for start in range(0, len(data) - length + 1, SEGMENT):
+        part = data[start : start + SEGMENT + length - 1]
+        hashes = piece_hashes(part)
+        at = _least(hashes, length - PIECE + 1)
+        firsts, lasts = runs(at)
+        found.append(np.stack((hashes[at[firsts]].view(np.int64), at[firsts] + start, firsts + start, lasts - 1 + start)))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -86,35 +96,30 @@ def _anchors(length: int):
             found = [np.zeros(0, np.int64), *(contexts(data[a:b], length)[0] for a, b in zip(bounds[:-1], bounds[1:]))]
             # two of a kind tell as much as many
             values, counts = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(values, np.minimum(counts, 2)))], names=["anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(counts, 2))], names=["anchor", "n"])
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    values, counts = np.unique(np.concatenate([np.zeros(0, np.int64), *(np.asarray(b.column(0)) for b in batches)]), return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(values[counts > 1])], names=["anchor"])
-
-
 def repeated_strings(blobs: list[bytes], length: int) -> list[np.ndarray]:
     """For each of some distinct byte strings a mask of its places where a string of ``length`` bytes begins that also begins elsewhere in them."""
     sizes = np.array([len(x) + 1 for x in blobs])
     starts = np.append(0, np.cumsum(sizes)[:-1])
-    text = np.zeros(int(sizes.sum()) + 1, np.int64)
+    text = np.zeros(int(sizes.sum()) + 1, np.int32)
     raw = np.frombuffer(b"\0".join(blobs) + b"\0\0", np.uint8)
     text[:] = raw
     text += 2
     text[starts + sizes - 1] = 1  # between blobs
     text[-1] = 0
-    order = suffix_array(text, 258, length)
+    order = suffix_array(text, 258)
     n_valid = np.maximum(sizes - length, 0)  # places in a blob where a string begins
     valid = np.zeros(len(text), bool)
-    end = np.zeros(len(text), np.int64)
+    end = np.zeros(len(text), np.int32)
     for s, n, size in zip(starts.tolist(), n_valid.tolist(), sizes.tolist()):
         valid[s : s + n] = True
         end[s : s + size] = s + n
     order = order[valid[order]]
-    before = np.full(len(text), -1)
+    before = np.full(len(text), -1, np.int32)
     before[order[1:]] = order[:-1]
     repeated = np.zeros(len(text), bool)
     # permuted: in text order, a common prefix of length + d at a place is one of length at the next d places
@@ -132,7 +137,7 @@ def repeated_strings(blobs: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _judged(length: int):
-    """Rows (anchor, digest, blob, n) of a partition to (digest, ranges of repeated strings)."""
+    """Rows (anchor, digest, blob, n) of a partition, in order of anchor, to (digest, ranges of repeated strings)."""
 
     def flush(groups: list[tuple[bytes, bytes]]) -> Iterator[tuple[bytes, bytes]]:
         for (digest, _), mask in zip(groups, repeated_strings([b for _, b in groups], length)):
@@ -148,14 +153,18 @@ def _judged(length: int):
 
         def close() -> None:
             """Settle one anchor's contexts: a lone one by its count, several by the next suffix array."""
-            nonlocal size
+            nonlocal held, size
+            own_bytes = sum(len(blob) for blob, _ in own.values())
+            if held and size + own_bytes > SHARD_BYTES:
+                out.extend(flush(held))
+                held, size = [], 0
             for digest, (blob, n) in own.items():
                 if n > 1:
                     out.append((digest, np.array([0, len(blob) - length + 1], "<i4").tobytes()))
             if len(own) > 1 and any(n == 1 for _, n in own.values()):
                 once = {d for d, (_, n) in own.items() if n == 1}
                 held.extend((d if d in once else b"", blob) for d, (blob, _) in own.items())
-                size += sum(len(blob) for blob, _ in own.values())
+                size += own_bytes
             own.clear()
 
         def result() -> pa.RecordBatch:
@@ -168,9 +177,6 @@ def _judged(length: int):
                 if a != anchor:
                     close()
                     anchor = a
-                    if size >= SHARD_BYTES:
-                        out.extend(flush(held))
-                        held, size = [], 0
                 if digest in own:
                     own[digest][1] += n
                 else:
@@ -184,27 +190,71 @@ def _judged(length: int):
     return run
 
 
-def _pruned(length: int):
-    """Rows (doc_id, text, spans) to what is left of each text; spans hold covered ranges."""
+def _parts(length: int, n_parts: int):
+    """Rows (anchor, at, digest, blob, n) to parts (whole, shift, and the same columns); at: the anchor's place in the blob."""
+    n_offsets = length - PIECE + 1
+    width = -(-n_offsets // min(n_parts, n_offsets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, data, bounds in _texts(batches):
+        for batch in batches:
             rows = []
-            for i, (a, b, spans) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), block.column("spans").to_pylist())):
-                own = data[a:b]
-                n_removed = n_spans = 0
-                kept = own.tobytes()
-                if spans:
-                    steps = np.zeros(len(own) + 1, np.int64)
-                    for span in spans:
-                        ranges = np.frombuffer(span["ranges"], "<i4").reshape(-1, 2).astype(np.int64) + span["first"]
-                        np.add.at(steps, ranges[:, 0], 1)
-                        np.add.at(steps, ranges[:, 1] + length - 1, -1)
-                    gone = np.cumsum(steps)[:-1] > 0
-                    n_removed = int(gone.sum())
-                    n_spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
-                    kept = own[~gone].tobytes()
-                rows.append((b - a, n_removed, n_spans, kept))
+            for anchor, at, digest, blob, n in zip(*(batch.column(c).to_pylist() for c in ("anchor", "at", "digest", "blob", "n"))):
+                # the string from place i on has its anchor at - i bytes behind its begin
+                for k in range((at - len(blob) + length) // width, at // width + 1):
+                    first, last = max(0, at - (k + 1) * width + 1), min(len(blob) - length, at - k * width)
+                    core = blob[at - k * width : at - (k + 1) * width + 1 + length]
+                    key = hashlib.md5(anchor.to_bytes(8, "little", signed=True) + bytes([k]) + core).digest()[:8]
+                    own = blob[first : last + length]
+                    rows.append((digest, first, int.from_bytes(key, "little", signed=True), at - first, hashlib.md5(own).digest(), own, n, len(own)))
+            columns = list(zip(*rows)) or [()] * 8
+            kinds = (pa.binary(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["whole", "shift", "anchor", "at", "digest", "blob", "n", "size"])
+
+    return run
+
+
+def _repeats(contexts: DataFrame, length: int, levels: Sequence[int] = LEVELS) -> tuple[DataFrame, list[DataFrame]]:
+    """(digest, shift, ranges) of the strings that repeat, from (anchor, at, digest, blob, n, size); and the tables staged for it."""
+    judged = lambda rows: rows.select("anchor", "digest", "blob", "n").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(tidy(_judged(length)), "digest binary, ranges binary").select("digest", F.lit(0).alias("shift"), "ranges")
+    if not levels:  # every anchor stands for one string
+        return judged(contexts), []
+    crowded = stage(contexts.groupBy("anchor").agg(F.sum("size").alias("size")).where(F.col("size") > SHARD_BYTES).select("anchor"), "repeat-crowded")
+    if crowded.isEmpty():
+        return judged(contexts), [crowded]
+    whole = contexts.join(crowded, "anchor", "left_semi").groupBy("anchor", "at", "digest", "blob").agg(F.sum("n").alias("n"))
+    parts = stage(whole.mapInArrow(tidy(_parts(length, levels[0])), "whole binary, shift int, anchor long, at int, digest binary, blob binary, n long, size int"), "repeat-parts")
+    inner, staged = _repeats(parts, length, levels[1:])
+    back = parts.select("digest", "whole", F.col("shift").alias("outer")).join(inner, "digest").select(F.col("whole").alias("digest"), (F.col("shift") + F.col("outer")).alias("shift"), "ranges")
+    return judged(contexts.join(crowded, "anchor", "left_anti")).union(back), [crowded, parts, *staged]
+
+
+def _rest(data: np.ndarray, spans: list | None, length: int) -> tuple[int, int, int, bytes]:
+    """n_bytes, n_removed, n_spans and the bytes left of one text."""
+    if not spans:
+        return len(data), 0, 0, data.tobytes()
+    steps = np.zeros(len(data) + 1, np.int32)
+    for span in spans:
+        ranges = np.frombuffer(span["ranges"], "<i4").reshape(-1, 2).astype(np.int64) + span["first"]
+        np.add.at(steps, ranges[:, 0], 1)
+        np.add.at(steps, ranges[:, 1] + length - 1, -1)
+    gone = np.cumsum(steps)[:-1] > 0
+    return len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()
+
+
+def _pruned(length: int, clean=None):
+    """Rows (key, text, spans) to what is left of each text; or, with a packed filter, those of (key, text, row, twin) that lose nothing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches):
+            if clean is None:
+                spans = block.column("spans").to_pylist()
+            else:
+                block = block.filter(pa.array(~filters.test(clean.value, np.asarray(block.column("row")))))
+                spans = [None] * block.num_rows
+            if not block.num_rows:
+                continue
+            data, bounds = utf8(block.column("text"))
+            rows = [_rest(data[a:b], own, length) for a, b, own in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spans)]
             columns = list(zip(*rows))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([block.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -217,59 +267,58 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
 
     Removed is each byte covered by a string of ``length`` bytes that begins anywhere else
     too, the same text included; strings never cross texts and are judged on the input.
-    A null text is empty.  Rows equal in key and text are copies of one another.
+    A null text is empty; other columns are ignored.  Keys may be null or repeat: each row
+    is returned, and rows equal in key and text are copies of one another.
     """
     spark = docs.sparkSession
-    texts = docs.select("key", "text").withColumn("row", F.xxhash64("key", "text"))
-    several = texts.select("text").mapInArrow(_anchors(length), "anchor long").repartition("anchor").mapInArrow(_repeated, "anchor long")
-    known = spark.sparkContext.broadcast(filters.build(several, ANCHOR_BITS))
+    # 128 bits stand for a row
+    texts = docs.select("key", "text").withColumns({"row": F.xxhash64("key", "text"), "twin": F.xxhash64(F.lit(1), "text", "key")})
+    counted = texts.select("text").mapInArrow(tidy(_anchors(length)), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    known = spark.sparkContext.broadcast(filters.build(counted.where("n > 1").select("anchor"), ANCHOR_BITS))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for corpus in gathered(text_blocks(batches), CORPUS_BYTES):
-            places: list[tuple[int, bytes, int]] = []
+            places: list[tuple[bytes, int, int, int]] = []
             blobs: dict[bytes, list] = {}
             for block in corpus:
                 data, bounds = utf8(block.column("text"))
-                for row, a, b in zip(block.column("row").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    anchors, firsts, lasts = contexts(data[a:b], length)
+                for row, twin, a, b in zip(block.column("row").to_pylist(), block.column("twin").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
+                    anchors, at, firsts, lasts = contexts(data[a:b], length)
                     keep = filters.test(known.value, anchors)
                     own = data[a:b].tobytes()
-                    for anchor, first, last in zip(anchors[keep].tolist(), firsts[keep].tolist(), lasts[keep].tolist()):
+                    for anchor, at, first, last in zip(*(x[keep].tolist() for x in (anchors, at, firsts, lasts))):
                         blob = own[first : last + length]
                         digest = hashlib.md5(blob).digest()
-                        places.append((row, digest, first))
+                        places.append((digest, row, twin, first))
                         if digest in blobs:
-                            blobs[digest][2] += 1
+                            blobs[digest][3] += 1
                         else:
-                            blobs[digest] = [anchor, blob, 1]
+                            blobs[digest] = [anchor, at - first, blob, 1, len(blob)]
             n, m = len(places), len(blobs)
-            columns = list(zip(*places)) or [()] * 3
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*columns[1], *blobs], pa.binary()),
-                    pa.array([*columns[0], *[None] * m], pa.int64()),
-                    pa.array([*columns[2], *[None] * m], pa.int32()),
-                    pa.array([*[None] * n, *(x[0] for x in blobs.values())], pa.int64()),
-                    pa.array([*[None] * n, *(x[1] for x in blobs.values())], pa.binary()),
-                    pa.array([*[None] * n, *(x[2] for x in blobs.values())], pa.int64()),
-                ],
-                names=["digest", "row", "first", "anchor", "blob", "n"],
-            )
-
-    found = stage(texts.select("row", "text").mapInArrow(cut, "digest binary, row long, first int, anchor long, blob binary, n long"), "repeat-contexts")
-    shards = found.where("anchor is not null").select("anchor", "digest", "blob", "n").repartition("anchor").sortWithinPartitions("anchor")
-    judged = shards.mapInArrow(_judged(length), "digest binary, ranges binary")
-    spans = found.where("row is not null").select("digest", "row", "first").join(judged, "digest")
-    spans = stage(spans.groupBy("row").agg(F.collect_list(F.struct("first", "ranges")).alias("spans")), "repeat-spans")
-    # only texts that lose something are shuffled
-    may = filters.member_filter(spans.select("row"))
-    marked = texts.withColumn("hit", may("row"))
-    kind = "array<struct<first:int,ranges:binary>>"
-    clean = marked.where("not hit").select("key", "text", F.lit(None).cast(kind).alias("spans"))
-    dirty = marked.where("hit").join(spans, "row", "left").select("key", "text", "spans")
+            left, right = list(zip(*places)) or [()] * 4, list(zip(*blobs.values())) or [()] * 5
+            none_m, none_n = [None] * m, [None] * n
+            columns = [(pa.binary(), [*left[0], *blobs]), *zip((pa.int64(), pa.int64(), pa.int32()), ([*c, *none_m] for c in left[1:])), *zip((pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32()), ([*none_n, *c] for c in right))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for k, c in columns], names=["digest", "row", "twin", "first", "anchor", "at", "blob", "n", "size"])
+
+    found = stage(texts.select("row", "twin", "text").mapInArrow(tidy(cut), "digest binary, row long, twin long, first int, anchor long, at int, blob binary, n long, size int"), "repeat-contexts")
+    known.destroy()
+    repeats, staged = _repeats(found.where("anchor is not null").select("anchor", "at", "digest", "blob", "n", "size"), length)
+    repeats = stage(repeats, "repeat-ranges")
+    drop(*staged)
+    spans = found.where("row is not null").select("digest", "row", "twin", "first").join(repeats, "digest")
+    spans = stage(spans.groupBy("row", "twin").agg(F.collect_list(F.struct((F.col("first") + F.col("shift")).alias("first"), "ranges")).alias("spans")), "repeat-spans")
+    drop(found, repeats)
+    # only texts that may lose something are shuffled
+    may = spark.sparkContext.broadcast(filters.build(spans.select("row"), filters.ID_BITS))
+
+    def hit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(filters.test(may.value, np.asarray(batch.column("row")))))
+
     key = docs.schema["key"].dataType.simpleString()
     out = f"key {key}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return clean.mapInArrow(_pruned(length), out).union(dirty.mapInArrow(_pruned(length), out))
+    dirty = texts.mapInArrow(tidy(hit), f"key {key}, text string, row long, twin long").join(spans, ["row", "twin"], "left").select("key", "text", "spans")
+    return texts.mapInArrow(tidy(_pruned(length, may)), out).union(dirty.mapInArrow(tidy(_pruned(length)), out))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,18 +1,19 @@
 """Suffix arrays by induced sorting on whole arrays.
 
 Suffixes are classified as smaller or larger than their right neighbour; the leftmost
-smaller ones are sorted by their substrings, recursively where names repeat; and all
-others are induced from them bucket by bucket.  Within a bucket the suffixes that a
-round induces are handled as one array, so a bucket takes as many rounds as its
-longest run of one symbol.
+smaller ones are sorted by their substrings, recursively until all names differ; and all
+others are induced from them bucket by bucket.  Buckets of neighbouring symbols with few
+suffixes are handled together: rounds repeat until no suffix of the group induces
+another one in it.  A symbol with many suffixes has a group of its own, whose rounds
+touch only what the round before induced, so a long run of one symbol costs its length.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Names up to this number are sorted by recursion; beyond it by doubling ranks.
-RECURSE = 512
+#: Suffixes that neighbouring buckets hold together, at most, and the most groups there are of a text.
+GROUP, GROUPS = 1024, 256
 
 
 def _smaller(text: np.ndarray) -> np.ndarray:
@@ -23,91 +24,111 @@ def _smaller(text: np.ndarray) -> np.ndarray:
     return np.repeat(rising, np.diff(np.append(starts, len(text))))
 
 
-def _dealt(queues: list[list[np.ndarray]], places: np.ndarray, symbols: np.ndarray) -> None:
+def _grouped(text: np.ndarray, size: int) -> np.ndarray:
+    """Group of every symbol: ascending numbers from 0 on."""
+    counts = np.bincount(text, minlength=size)
+    most = max(GROUP, len(text) // GROUPS)
+    alone = counts > most // 2
+    # a new group where the running count passes another multiple, and around symbols that stand alone
+    rest = np.cumsum(np.where(alone, 0, counts)) // most
+    steps = np.append(False, (rest[1:] != rest[:-1]) | alone[1:] | alone[:-1])
+    return np.cumsum(steps, dtype=np.int32)
+
+
+def _dealt(queues: list[list[np.ndarray]], places: np.ndarray, groups: np.ndarray) -> None:
+    """Append the places to the queues of their groups, in order."""
     if not len(places):
         return
-    order = np.argsort(symbols.astype(np.uint16) if len(queues) <= 1 << 16 else symbols, kind="stable")
-    places, symbols = places[order], symbols[order]
-    cuts = np.append(0, np.flatnonzero(symbols[1:] != symbols[:-1]) + 1)
-    for c, a, b in zip(symbols[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(symbols)).tolist()):
-        queues[c].append(places[a:b])
+    order = np.argsort(groups.astype(np.uint16) if len(queues) <= 1 << 16 else groups, kind="stable")
+    places, groups = places[order], groups[order]
+    cuts = np.append(0, np.flatnonzero(groups[1:] != groups[:-1]) + 1)
+    for g, a, b in zip(groups[cuts].tolist(), cuts.tolist(), np.append(cuts[1:], len(groups)).tolist()):
+        queues[g].append(places[a:b])
+
+
+def _order(symbols: np.ndarray, low: int, high: int, down: bool) -> np.ndarray:
+    """Stable order of symbols from ``low`` to ``high``."""
+    keys = high - symbols if down else symbols - low
+    return np.argsort(keys.astype(np.uint16) if high - low < 1 << 16 else keys, kind="stable")
+
+
+def _pass(text: np.ndarray, group: np.ndarray, kind: np.ndarray, seeds: list[list[np.ndarray]], bounds: list[tuple[int, int]], down: bool) -> list[list[np.ndarray]]:
+    """Suffixes of one ``kind`` induced group by group, each group's in scan order.
+
+    ``group`` has the group of each place and ``bounds`` the symbols of each group; a
+    scan ``down`` goes from the last symbol to the first, and its lists are reversed.
+    """
+    empty = np.zeros(0, np.int32)
+    found: list[list[np.ndarray]] = [[] for _ in seeds]
+    for g in range(len(seeds) - 1, -1, -1) if down else range(len(seeds)):
+        low, high = bounds[g]
+        seeded = np.concatenate([empty, *seeds[g]])
+        outer = np.concatenate([empty, *found[g]])
+        if low == high:
+            now, done = outer, []
+            while len(now):
+                done.append(now)
+                ahead = now[now > 0] - 1
+                ahead = ahead[kind[ahead]]
+                groups = group[ahead]
+                same = groups == g
+                _dealt(found, ahead[~same], groups[~same])
+                now = ahead[same]
+            found[g] = done
+            ahead = seeded[seeded > 0] - 1
+            ahead = ahead[kind[ahead]]
+            _dealt(found, ahead, group[ahead])
+            continue
+        inner = empty
+        while True:
+            every = np.concatenate((outer, inner, seeded))
+            order = _order(text[every], low, high, down)
+            scan = every[order]
+            ahead = scan[scan > 0] - 1
+            ahead = ahead[kind[ahead]]
+            groups = group[ahead]
+            same = groups == g
+            new = ahead[same]
+            if len(new) == len(inner):
+                break
+            inner = new
+        found[g] = [scan[order < len(outer) + len(inner)]]
+        _dealt(found, ahead[~same], groups[~same])
+    return found
 
 
 def _induced(text: np.ndarray, smaller: np.ndarray, seeds: np.ndarray, size: int) -> np.ndarray:
     """Suffix array induced from ``seeds``, leftmost smaller suffixes in order within each bucket."""
-    empty = np.zeros(0, np.int64)
-    seeded: list[list[np.ndarray]] = [[] for _ in range(size)]
-    _dealt(seeded, seeds, text[seeds])
-    larger: list[list[np.ndarray]] = [[] for _ in range(size)]
-    for c in range(size):
-        now, done = np.concatenate([empty, *larger[c]]), []
-        while len(now):
-            done.append(now)
-            ahead = now[now > 0] - 1
-            ahead = ahead[~smaller[ahead]]
-            symbols = text[ahead]
-            same = symbols == c
-            _dealt(larger, ahead[~same], symbols[~same])
-            now = ahead[same]
-        larger[c] = done
-        held = np.concatenate([empty, *seeded[c]])
-        ahead = held[held > 0] - 1
-        ahead = ahead[~smaller[ahead]]
-        _dealt(larger, ahead, text[ahead])
-    less: list[list[np.ndarray]] = [[] for _ in range(size)]  # in descending order
-    for c in range(size - 1, -1, -1):
-        now, done = np.concatenate([empty, *less[c]]), []
-        while len(now):
-            done.append(now)
-            ahead = now[now > 0] - 1
-            ahead = ahead[smaller[ahead]]
-            symbols = text[ahead]
-            same = symbols == c
-            _dealt(less, ahead[~same], symbols[~same])
-            now = ahead[same]
-        less[c] = done
-        held = np.concatenate([empty, *larger[c]])[::-1]
-        ahead = held[held > 0] - 1
-        ahead = ahead[smaller[ahead]]
-        _dealt(less, ahead, text[ahead])
+    empty = np.zeros(0, np.int32)
+    of_symbol = _grouped(text, size)
+    firsts = np.append(0, np.flatnonzero(np.diff(of_symbol)) + 1)
+    bounds = list(zip(firsts.tolist(), (np.append(firsts[1:], size) - 1).tolist()))
+    group = of_symbol[text]
+    seeded: list[list[np.ndarray]] = [[] for _ in bounds]
+    _dealt(seeded, seeds, group[seeds])
+    larger = _pass(text, group, ~smaller, seeded, bounds, False)
+    back = [[np.concatenate([empty, *x])[::-1]] for x in larger]
+    less = _pass(text, group, smaller, back, bounds, True)
     out = []
-    for c in range(size):
-        out += larger[c]
-        out.append(np.concatenate([empty, *less[c]])[::-1])
+    for (low, high), a, b in zip(bounds, larger, less):
+        both = np.concatenate((empty, *a, np.concatenate([empty, *b])[::-1]))
+        out.append(both if low == high else both[_order(text[both], low, high, False)])
     found = np.concatenate(out)
-    return found if len(found) == len(text) else np.append(len(text) - 1, found)  # nothing induces the sentinel
-
+    return found if len(found) == len(text) else np.append(np.int32(len(text) - 1), found)  # nothing induces the sentinel
 
-def _by_rank(names: np.ndarray, depth: int) -> np.ndarray:
-    """Order of the suffixes of ``names`` by doubled ranks, up to ``depth`` names."""
-    rank, step = names.astype(np.int64), 1
-    while True:
-        ahead = np.append(rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64))[: len(rank)]
-        keys = rank * (int(rank.max()) + 2) + ahead
-        order = np.argsort(keys, kind="stable")
-        ordered = keys[order]
-        new = np.empty_like(rank)
-        new[order] = np.append(0, np.cumsum(ordered[1:] != ordered[:-1]))
-        rank, step = new, 2 * step
-        if step >= depth or int(rank.max()) == len(rank) - 1:
-            return order
 
-
-def suffix_array(text: np.ndarray, size: int, depth: int = 1 << 62) -> np.ndarray:
-    """Suffixes of ``text`` in order; symbols are below ``size`` and the last is 0, alone.
-
-    With a ``depth``, suffixes equal in so many symbols may stand in any order.
-    """
-    text = text.astype(np.int64)
+def suffix_array(text: np.ndarray, size: int) -> np.ndarray:
+    """Suffixes of ``text`` in order; symbols are below ``size`` and the last is 0, alone."""
+    text = text.astype(np.int32)
     smaller = _smaller(text)
-    leftmost = np.flatnonzero(smaller & ~np.append(True, smaller[:-1]))
+    leftmost = np.flatnonzero(smaller & ~np.append(True, smaller[:-1])).astype(np.int32)
     if len(leftmost) == 0:
-        return _induced(text, smaller, np.array([len(text) - 1]), size)
-    rough = _induced(text, smaller, leftmost, size)
+        return _induced(text, smaller, np.array([len(text) - 1], np.int32), size)
+    rough = _induced(text, smaller, leftmost[np.argsort(text[leftmost], kind="stable")], size)
     mark = np.zeros(len(text), bool)
     mark[leftmost] = True
     ordered = rough[mark[rough]]
-    ends = np.zeros(len(text), np.int64)
+    ends = np.zeros(len(text), np.int32)
     ends[leftmost] = np.append(leftmost[1:], len(text) - 1) + 1
     # equal names: equal length and equal symbols, compared place by place while all agree
     a, b = ordered[:-1], ordered[1:]
@@ -123,14 +144,10 @@ def suffix_array(text: np.ndarray, size: int, depth: int = 1 << 62) -> np.ndarra
         at += 1
     names = np.append(0, np.cumsum(differs))
     if names[-1] < len(ordered) - 1:
-        by_place = np.empty(len(text), np.int64)
+        by_place = np.empty(len(text), np.int32)
         by_place[ordered] = names
         reduced = by_place[leftmost]
-        if names[-1] < RECURSE:
-            order = suffix_array(np.append(reduced + 1, 0), int(names[-1]) + 2, depth)[1:]
-        else:
-            order = _by_rank(reduced, depth // 2 + 1)
-        ordered = leftmost[order]
+        ordered = leftmost[suffix_array(np.append(reduced + 1, 0), int(names[-1]) + 2)[1:]]
     return _induced(text, smaller, ordered, size)
 
 
