@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Texts, gathered, runs, text_blocks
+from .common import Texts, gathered, runs, text_blocks, tidy
 from .parts import PartEncoder
 
 #: UTF-8 bytes of text that one replay covers.
@@ -264,7 +264,7 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_column: str = "do
 
     kind = docs.schema[id_column].dataType.simpleString()
     slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_column)
+    return slim.mapInArrow(tidy(run), f"doc_id {kind}, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string").withColumnRenamed("doc_id", id_column)
 
 
 def op4_bpe_round_trip(spark, sf_dir: str) -> DataFrame:

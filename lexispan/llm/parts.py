@@ -28,7 +28,11 @@ def split(text: str) -> list[str]:
 
 
 class PartEncoder:
-    """Encodes texts by their distinct parts; ``resolve`` gives the packed ids of strings."""
+    """Encodes texts by their distinct parts; ``resolve`` gives the packed ids of strings.
+
+    Ids of about ``most`` parts are kept between corpora; beyond that those stay which
+    recur in the corpus at hand.
+    """
 
     def __init__(self, resolve: Callable[[list[str]], list[bytes]], most: int = CACHE_PARTS):
         self.resolve, self.most = resolve, most
@@ -37,27 +41,32 @@ class PartEncoder:
     def encode(self, blocks: list[Iterable[str | None]]) -> Iterator[list[bytes]]:
         """Packed ids of each text, block by block; all blocks are one corpus."""
         known = self.known
-        if len(known) > self.most:
-            known.clear()
         fresh: set[str] = set()
         heads: set[str] = set()
+        held: list[list[list[str]]] = []
         for texts in blocks:
+            held.append([])
             for t in texts:
-                if t:
-                    parts = split(t)
+                parts = split(t) if t else []
+                held[-1].append(parts)
+                if parts:
                     heads.add(parts[0])
                     fresh.update(parts)
+        if len(known) > self.most:
+            again = fresh.intersection(known)
+            self.known = known = dict(zip(again, map(known.__getitem__, again)))
         fresh.difference_update(known)
         new, firsts = list(fresh), list(heads)
         got = self.resolve([" " + p for p in new] + firsts)
         known.update(zip(new, got))
         first = dict(zip(firsts, got[len(new) :]))
+        del fresh, new, got
         get = known.__getitem__
-        for texts in blocks:
+        held.reverse()
+        while held:
             out = []
-            for t in texts:
-                if t:
-                    parts = split(t)
+            for parts in held.pop():
+                if parts:
                     head = first[parts[0]]
                     del parts[0]
                     out.append(head + b"".join(map(get, parts)))

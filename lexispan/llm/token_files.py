@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import Texts, file_system, gathered, new_folder, text_blocks
+from .common import Texts, file_system, gathered, new_folder, text_blocks, tidy
 from .parts import PartEncoder
 
 MAGIC = b"LXPF0001"
@@ -176,8 +176,9 @@ def library_encoder(path: str) -> PartEncoder:
             return [np.array(e.ids, "<u4").tobytes() for a in range(0, len(strings), 512) for e in encode(strings[a : a + 512], add_special_tokens=False)]
 
         def together(strings: list[str]) -> list[bytes]:
-            ids = np.array(encode(["".join(strings)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum([len(s) if s.isascii() else len(s.encode()) for s in strings])
+            whole = "".join(strings)
+            ids = np.array(encode([whole], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.cumsum(list(map(len, strings if whole.isascii() else map(str.encode, strings))))
             if len(ids) and ids.max() < len(n_bytes):
                 reached = np.cumsum(n_bytes[ids])
                 cuts = np.searchsorted(reached, ends)
@@ -228,7 +229,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
 
     slim = docs.select(docs[id_column].cast("long").alias("doc_id"), docs[text_column].alias("text"))
     ordered = slim.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return sorted(tuple(r) for r in ordered.mapInArrow(run, "part long, name string, n_docs long, n_ids long").collect())
+    return sorted(tuple(r) for r in ordered.mapInArrow(tidy(run), "part long, name string, n_docs long, n_ids long").collect())
 
 
 def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple[int, str, int, int]]) -> DataFrame:
@@ -253,7 +254,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: list[tuple[int,
     listed = spark.createDataFrame(files, "part long, name string, base long")
     if len(files) > 1:
         listed = listed.repartition(len(files))
-    return listed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return listed.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op6_token_files(spark, sf_dir: str) -> DataFrame:
