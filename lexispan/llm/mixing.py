@@ -24,6 +24,8 @@ from .common import stage
 
 #: Budgets up to this many words are fitted exactly.
 DP_WORDS = 1 << 16
+#: Documents of one slot, about, were all of one size and source; there are 64 slots at least.
+SLOT_DOCS = 1 << 16
 
 
 def subset_counts(sizes: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def budgets(sources: DataFrame, weights: Sequence[int], share: float, most: floa
     return rated.select("source", "source_size", F.least("full", F.coalesce(F.col("rate") * F.col("weight"), F.col("full"))).alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, slots: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, keep: Sequence[str] = ()) -> DataFrame:
     """Words that a mix takes from each document.
 
     Returns doc_id, the columns ``keep``, size, source_size, target and taken (words, repeats counted: 0, size
@@ -107,13 +109,12 @@ def mix(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5,
     0; a null source is a source.  Rows that repeat a doc_id count each for themselves.
     Reruns agree: order is by a seeded hash, then doc_id.
     """
-    spark = docs.sparkSession
-    slots = slots or max(64, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     sized = docs.select("doc_id", *keep, "source", F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("order"))
-    sized = stage(sized.withColumn("slot", F.pmod("order", F.lit(slots)).cast("int")), "mix-sizes")
+    sized = stage(sized, "mix-sizes")
+    slots = 1 << max(6, (sized.count() // SLOT_DOCS).bit_length())
+    sized = sized.withColumn("slot", F.pmod("order", F.lit(slots)).cast("int"))
     target = stage(budgets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "mix-targets")
 
-
     def fit(frame: pd.DataFrame) -> pd.DataFrame:
         source_size, goal = int(frame["source_size"].iloc[0]), float(frame["target"].iloc[0])
         passes = int(goal // source_size) if source_size else 0
