@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import file_system, new_folder, text_blocks
+from .common import file_system, new_folder, text_blocks, tidy
 
 SKIPPABLE = 0x184D2A5D
 #: Payloads from so many bytes on are stored once.
@@ -134,8 +134,10 @@ def write_archives(pages: DataFrame, folder: str) -> list[str]:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("long", F.octet_length("html") >= LEAST_BYTES)
     firsts = rows.where("long").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null")
-    known = rows.join(firsts.select("digest", "first"), "digest", "left")
-    known = known.withColumn("refers_to", F.when(F.col("long") & ~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+    known = rows.where("long").join(firsts.select("digest", "first"), "digest", "left")
+    known = known.withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first"))).drop("first")
+    # small payloads, the empty one above all, may be in very many rows: they stay where they are
+    known = known.unionByName(rows.where("not long").withColumn("refers_to", F.lit(None).cast("long")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, root = file_system(folder)
@@ -171,7 +173,7 @@ def write_archives(pages: DataFrame, folder: str) -> list[str]:
         if names:  # only files that a finished task names are part of the archive
             yield pa.RecordBatch.from_arrays([pa.array(names)], names=["name"])
 
-    return sorted(r[0] for r in known.mapInArrow(run, "name string").collect())
+    return sorted(r[0] for r in known.mapInArrow(tidy(run), "name string").collect())
 
 
 def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFrame:
@@ -200,7 +202,7 @@ def read_archives(spark: SparkSession, folder: str, names: list[str]) -> DataFra
     listed = spark.createDataFrame([(x,) for x in names], "name string")
     if len(names) > 1:
         listed = listed.repartition(len(names))
-    return listed.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return listed.mapInArrow(tidy(run), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
