@@ -3,9 +3,11 @@
 Each shard indexes all of its rows by single projections onto seeded Gaussian
 directions, one sorted array each.  A query opens a window around its own projection in
 every array; virtual rehashing widens all windows by ``GROW``, touching only the rows that
-enter.  A row that lies in enough windows is verified: its exact inner product is
-computed.  A query ends when the windows are ``REACH`` times the distance of its k-th
-verified row, or hold the whole shard; there is no cap on what is verified.
+enter.  A window's half-width is a radius: a row at that distance lies in it with
+probability erf(1 / sqrt(2)).  Rows that collide as often as all but a few rows at the radius
+do are verified: their exact inner product is computed.  A query ends when ``k``
+verified rows lie within the radius, or the windows hold the whole shard; there is no
+cap on what is verified.
 
 Largest inner product is nearest distance after a row gets one more component that
 brings all norms to the largest norm, and the query is scaled to it.
@@ -13,93 +15,94 @@ brings all norms to the largest norm, and the query is scaled to it.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .vectors import best_of, search, usable
 
-#: Directions, the share of windows that makes a candidate, and the windows' last and first half-width and growth.
-DIRECTIONS, THRESHOLD, REACH, START, GROW = 20, 0.5, 0.8, 0.405, 1.35
-#: Queries whose collision counts a task holds at once.
-QUERIES_AT_ONCE = 64
+#: Directions; standard deviations below the mean count that rows at the radius may have; first radius, in norms, and its growth.
+DIRECTIONS, BELOW, START, GROW = 192, 1.0, 0.8, 1.05
+#: Parts of windows counted at once.
+AT_ONCE = 16
 
 
 class ShardIndex:
     """Sorted projections of the rows of one shard."""
 
-    def __init__(self, vectors: np.ndarray, norm: float, seed: int, directions: int):
+    def __init__(self, vectors: np.ndarray, norm: float, seed: int, directions: int = DIRECTIONS):
         self.vectors, self.norm = vectors, norm
         lift = np.sqrt(np.maximum(norm * norm - (vectors * vectors).sum(axis=1), 0))
         self.axes = np.random.default_rng(seed).standard_normal((directions, vectors.shape[1] + 1))
-        projected = (np.column_stack((vectors, lift)) @ self.axes.T).T
-        self.order = np.argsort(projected, axis=1, kind="stable")
-        self.values = np.take_along_axis(projected, self.order, axis=1)
-
-    def windows(self, at: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Bounds of the windows of all queries (columns) in all arrays (rows)."""
-        lo = np.array([np.searchsorted(v, x - width, side="left") for v, x in zip(self.values, at)])
-        return lo, np.array([np.searchsorted(v, x + width, side="right") for v, x in zip(self.values, at)])
-
-    def candidates(self, queries: np.ndarray, k: int, threshold: int, own: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each query the places of the verified rows, without its ``own``, and their inner products with it."""
-        n = self.vectors.shape[0]
-        scale = self.norm / np.sqrt((queries * queries).sum(axis=1))
-        at = self.axes[:, :-1] @ (queries * scale[:, None]).T
-        found = [np.zeros(0, np.int64)] * len(queries)
-        scores = [np.zeros(0)] * len(queries)
-        for first in range(0, len(queries), QUERIES_AT_ONCE):
-            live = np.arange(first, min(first + QUERIES_AT_ONCE, len(queries)))
-            hits = np.zeros((len(live), n), np.int64)
-            verified = np.zeros((len(live), n), bool)
-            for q in live:
-                verified[q - first, own[q]] = True
-            width = START * self.norm
-            lo = hi = np.array([np.searchsorted(v, x) for v, x in zip(self.values, at[:, live])])
-            while len(live):
-                new_lo, new_hi = self.windows(at[:, live], np.full(len(live), width))
-                open_ = np.ones(len(live), bool)
-                for j, q in enumerate(live.tolist()):
-                    row = q - first
-                    fresh = [o[x:y] for o, a, b, c, d in zip(self.order, new_lo[:, j].tolist(), lo[:, j].tolist(), hi[:, j].tolist(), new_hi[:, j].tolist()) for x, y in ((a, b), (c, d)) if x < y]
-                    if fresh:
-                        hits[row] += np.bincount(np.concatenate(fresh), minlength=n)
-                        new = np.flatnonzero((hits[row] >= threshold) & ~verified[row])
-                        verified[row, new] = True
-                        found[q] = np.concatenate((found[q], new))
-                        scores[q] = np.concatenate((scores[q], self.vectors[new] @ queries[q]))
-                    if len(found[q]) >= k:
-                        kth = np.partition(scores[q], len(scores[q]) - k)[len(scores[q]) - k] * scale[q]
-                        open_[j] = width < REACH * np.sqrt(max(2 * self.norm * self.norm - 2 * kth, 0))
-                open_ &= (new_hi - new_lo < n).any(axis=0)
-                live, lo, hi = live[open_], new_lo[:, open_], new_hi[:, open_]
-                width *= GROW
-        return list(zip(found, scores))
+        lifted = np.column_stack((vectors, lift))
+        self.order = np.empty((directions, len(vectors)), np.int64)
+        self.values = np.empty((directions, len(vectors)))
+        for i, axis in enumerate(self.axes):
+            projected = lifted @ axis
+            self.order[i] = np.argsort(projected, kind="stable")
+            self.values[i] = projected[self.order[i]]
+        p = math.erf(1 / math.sqrt(2))
+        self.threshold = max(1, math.floor(directions * p - BELOW * math.sqrt(directions * p * (1 - p))))
+
+    def candidates(self, query: np.ndarray, k: int, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the rows verified for a query, without its ``own``, and their inner products with it."""
+        n = len(self.vectors)
+        scale = self.norm / math.sqrt(query @ query)
+        at = self.axes[:, :-1] @ (query * scale)
+        hits = np.zeros(n, np.int64)
+        done = np.zeros(n, bool)
+        done[own] = True
+        found, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        lo = hi = [int(np.searchsorted(v, x)) for v, x in zip(self.values, at)]
+        radius = START * self.norm
+        while True:
+            new_lo = [int(np.searchsorted(v[:i], x, side="left")) for v, x, i in zip(self.values, at - radius, lo)]
+            new_hi = [i + int(np.searchsorted(v[i:], x, side="right")) for v, x, i in zip(self.values, at + radius, hi)]
+            entering = [rows[i:j] for rows, a, b, c, d in zip(self.order, new_lo, lo, hi, new_hi) for i, j in ((a, b), (c, d)) if i < j]
+            for i in range(0, len(entering), AT_ONCE):
+                hits += np.bincount(np.concatenate(entering[i : i + AT_ONCE]), minlength=n)
+            lo, hi = new_lo, new_hi
+            new = np.flatnonzero((hits >= self.threshold) & ~done)
+            done[new] = True
+            found.append(new)
+            scores.append(self.vectors[new] @ query)
+            # the inner product of a row at the radius
+            least = (self.norm * self.norm - radius * radius / 2) / scale
+            if sum(int((x >= least).sum()) for x in scores) >= k or all(b - a == n for a, b in zip(lo, hi)):
+                return np.concatenate(found), np.concatenate(scores)
+            radius *= GROW
 
 
 def nearest(vectors: DataFrame, k: int, every: int, seed: int = 42, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
     """About the ``k`` largest inner products of every ``every``-th id with all other rows, scored exactly.
 
     Null and zero vectors, null ids, and vectors with null or non-finite components
-    take no part.  Fewer than ``k`` candidates are all returned.
+    take no part.  Fewer than ``k`` candidates are all returned.  Rows that repeat a
+    query's id are its own and no candidates; a repeated query is asked as often.  An
+    empty table has no result; other columns are ignored.
     """
     rows = usable(vectors, id_column, vector_column, zero_too=False)
     norm = rows.agg(F.max(F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)))).first()[0] or 1.0
 
-    def cell(query_ids, queries, ids, matrix):
-        dim = max(queries.shape[1], matrix.shape[1])
-        asked, held = np.zeros((len(queries), dim)), np.zeros((len(matrix), dim))
-        asked[:, : queries.shape[1]], held[:, : matrix.shape[1]] = queries, matrix
-        index = ShardIndex(held, norm, seed, DIRECTIONS)
-        places = index.candidates(asked, k, int(np.ceil(THRESHOLD * DIRECTIONS)), [np.flatnonzero(ids == x) for x in query_ids])
-        out = []
-        for query_id, q, (rows_found, _) in zip(query_ids.tolist(), asked, places):
-            scores = np.einsum("ij,j->i", held[rows_found], q)
-            top = best_of(ids[rows_found], scores, k)
-            out.append((np.full(len(top), query_id), ids[rows_found[top]], scores[top]))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-    return search(rows, F.col("vec_id") % every == 0, k, cell, "double")
+    def index(ids, matrix):
+        held = ShardIndex(matrix, norm, seed)
+
+        def answer(query_ids, queries):
+            out = []
+            for query_id, q in zip(query_ids.tolist(), queries):
+                q = q[: matrix.shape[1]]
+                # a query without a component in common with the shard scores 0 with every row
+                places = held.candidates(q, k, np.flatnonzero(ids == query_id))[0] if q.any() else np.flatnonzero(ids != query_id)
+                scores = np.einsum("ij,j->i", matrix[places], q)
+                top = best_of(ids[places], scores, k)
+                out.append((np.full(len(top), query_id), ids[places[top]], scores[top]))
+            return tuple(np.concatenate(x) for x in zip(*out))
+
+        return answer
+
+    return search(rows, F.col("vec_id") % every == 0, k, index, "double")
 
 
 def op10_nearest(spark, sf_dir: str) -> DataFrame:

@@ -1,9 +1,10 @@
-"""Vectors packed into blocks, and searches of query blocks against shards of all rows.
+"""Searches of query vectors against shards of all rows.
 
-Rows are packed into blocks where they are read, without a shuffle.  Every block of
-candidates meets every group of queries in one cell (shard, query group) of bounded
-size; a cell returns its best rows for each query and the cells' lists are merged.
-Vectors of different lengths count as padded with zeros.
+A row's shard follows from its id, and the number of shards from the table alone.  Every
+shard meets all queries: its rows come first in a task, its index is built once, and the
+queries stream past it.  Few shards are repeated for groups of queries, so that
+small tables use more than one task.  Each shard returns its best rows for each query, and
+these lists are merged.  Vectors of different lengths count as padded with zeros.
 """
 
 from __future__ import annotations
@@ -15,12 +16,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a packed block, candidates of a shard and queries of a group, at most (about).
-BLOCK_ROWS, SHARD_ROWS, GROUP_ROWS = 4096, 1 << 16, 4096
-#: Candidates for which a shard of their own is worth it.
-LEAST_ROWS = 8192
+from .common import tidy
 
-_BLOCK = "block long, ids binary, vectors binary, dim int"
+#: Rows and bytes (as doubles) of a shard, at most (about); cells that small tables make; queries searched at once.
+SHARD_ROWS, SHARD_BYTES, CELLS, QUERIES = 1 << 16, 64 << 20, 16, 64
 
 
 def usable(vectors: DataFrame, id_column: str, vector_column: str, zero_too: bool) -> DataFrame:
@@ -31,66 +30,65 @@ def usable(vectors: DataFrame, id_column: str, vector_column: str, zero_too: boo
     return rows if zero_too else rows.where(F.exists("vector", lambda x: x != 0))
 
 
-def packed(rows: DataFrame) -> DataFrame:
-    """Blocks of rows: ids and a row-major matrix of doubles."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Rows of a list column, shorter ones padded with zeros."""
+    lengths = np.asarray(column.value_lengths())
+    dim = int(lengths.max(initial=0))
+    flat = np.asarray(column.flatten(), dtype=np.float64)
+    if (lengths == dim).all():
+        return flat.reshape(len(lengths), dim)
+    matrix = np.zeros((len(lengths), dim))
+    matrix[np.arange(dim) < lengths[:, None]] = flat
+    return matrix
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        number = TaskContext.get().partitionId() << 20
-        for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(a, BLOCK_ROWS)
-                column = part.column("vector")
-                lengths = np.asarray(column.value_lengths())
-                dim = int(lengths.max(initial=0))
-                flat = np.asarray(column.flatten(), dtype=np.float64)
-                if (lengths == dim).all():
-                    matrix = flat.reshape(len(lengths), dim)
-                else:
-                    matrix = np.zeros((len(lengths), dim))
-                    matrix[np.arange(dim) < lengths[:, None]] = flat
-                ids = np.asarray(part.column("vec_id"), dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([matrix.tobytes()], pa.binary()), pa.array([dim], pa.int32())], names=["block", "ids", "vectors", "dim"])
-                number += 1
-
-    return rows.mapInArrow(run, _BLOCK)
-
-
-def unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and matrix of all blocks of a cell, in order of id."""
-    dim = max(table.column("dim").to_pylist(), default=0)
-    ids = [np.frombuffer(x, np.int64) for x in table.column("ids").to_pylist()]
-    rows = []
-    for data, own, one in zip(table.column("vectors").to_pylist(), table.column("dim").to_pylist(), ids):
-        matrix = np.zeros((len(one), dim))
-        matrix[:, :own] = np.frombuffer(data, np.float64).reshape(len(one), own)
-        rows.append(matrix)
-    ids, matrix = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((0, dim)), *rows])
-    order = np.argsort(ids, kind="stable")
-    return ids[order], matrix[order]
-
-
-def search(rows: DataFrame, is_query: Column, k: int, cell: Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]], score_type: str) -> DataFrame:
+def _widened(matrix: np.ndarray, dim: int) -> np.ndarray:
+    return matrix if matrix.shape[1] >= dim else np.pad(matrix, ((0, 0), (0, dim - matrix.shape[1])))
+
+
+def search(rows: DataFrame, is_query: Column, k: int, index: Callable[[np.ndarray, np.ndarray], Callable], score_type: str) -> DataFrame:
     """``k`` best rows for each query: query_id, rank, vec_id, score; ties to the smaller vec_id.
 
-    ``cell(query_ids, queries, ids, vectors)`` returns (query_id, vec_id, score) arrays
-    with at least the best ``k`` of its shard for each of its queries.
+    ``index(ids, vectors)`` takes a shard in order of id and returns a function of some
+    (query_ids, queries), which returns (query_id, vec_id, score) arrays with at least the
+    best ``k`` rows for each.  Queries may be longer than the shard's vectors.
     """
-    spark = rows.sparkSession
-    counts = rows.select("vec_id").agg(F.count(F.lit(1)), F.count_if(is_query)).first()
-    shards = max(-(-counts[0] // SHARD_ROWS), min(2 * spark.sparkContext.defaultParallelism, -(-counts[0] // LEAST_ROWS)), 1)
-    groups = max(-(-counts[1] // GROUP_ROWS), 1)
-    numbered = lambda n: F.pmod(F.hash("block"), F.lit(n))
-    # blocks, not rows, are repeated for each cell they take part in
-    every = packed(rows).withColumn("s", numbered(shards)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    asked = packed(rows.where(is_query)).withColumn("g", numbered(groups)).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = cell(*unpacked(right), *unpacked(left)) if left.num_rows and right.num_rows else ([], [], [])
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.int64() if score_type == "long" else pa.float64())})
-
-    best = every.groupBy("s", "g").cogroup(asked.groupBy("s", "g")).applyInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    n, dim = rows.agg(F.count(F.lit(1)), F.max(F.size("vector"))).first()
+    shards = max(1, -(-n // max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * max(1, dim or 1))))))
+    groups = max(1, CELLS // shards)
+    numbered = lambda n, seed: F.pmod(F.xxhash64(F.lit(seed), "vec_id"), F.lit(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    every = rows.select("vec_id", "vector", numbered(shards, 1).alias("s"), spread(groups).alias("g"), F.lit(False).alias("asks"))
+    asked = rows.where(is_query).select("vec_id", "vector", spread(shards).alias("s"), numbered(groups, 2).alias("g"), F.lit(True).alias("asks"))
+    cells = every.union(asked).repartition(shards * groups, "s", "g").sortWithinPartitions("s", "g", "asks", "vec_id")
+    kind = pa.int64() if score_type == "long" else pa.float64()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, answer = None, [], None
+        for batch in batches:
+            s, g, asks = (np.asarray(batch.column(c)) for c in ("s", "g", "asks"))
+            cuts = np.flatnonzero((np.diff(s) != 0) | (np.diff(g) != 0) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if a == b:
+                    continue
+                if cell != (s[a], g[a]):
+                    cell, held, answer = (s[a], g[a]), [], None
+                ids, matrix = np.asarray(batch.column("vec_id"))[a:b], _matrix(batch.column("vector").slice(a, b - a))
+                if not asks[a]:
+                    held.append((ids, matrix))
+                    continue
+                if answer is None:
+                    if not held:
+                        continue
+                    wide = max(m.shape[1] for _, m in held)
+                    answer = index(np.concatenate([i for i, _ in held]), np.concatenate([_widened(m, wide) for _, m in held]))
+                    held = []
+                matrix = _widened(matrix, wide)
+                for i in range(0, len(ids), QUERIES):
+                    found = answer(ids[i : i + QUERIES], matrix[i : i + QUERIES])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], kind)], names=["query_id", "vec_id", "score"])
+
+    best = cells.mapInArrow(tidy(run), f"query_id long, vec_id long, score {score_type}")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
 
