@@ -7,10 +7,10 @@ prediction is the best language and the score its posterior under equal priors.
 
 The model is counted from labelled texts only: of each language the documents whose
 seeded hash falls under a rate that draws ``SAMPLE_DOCS`` of them (the documented bound of
-the fit; the ``LANGS`` commonest labels are learned), and of these the commonest words and
-n-grams, ``WORDS`` and ``GRAMS`` for each language and length.  It therefore has a fixed
-bound whatever the corpus is, and is shipped to the workers.  Prediction covers every
-text as a whole.
+the fit), and of these the commonest words and n-grams, ``WORDS`` and ``GRAMS`` for each
+language and length.  All labels are learned.  The model grows with the number of
+languages only, not with the corpus; it keeps what a language has counted and no zeros,
+and is shipped to the workers.  Prediction covers every text as a whole.
 """
 
 from __future__ import annotations
@@ -28,47 +28,74 @@ from pyspark.sql import functions as F
 from .common import text_blocks, tidy
 
 SAMPLE_DOCS = 1500
-LANGS = 400
 WORDS = 20_000
 GRAMS = 8_000
 LENGTHS = (5, 4, 3, 2, 1)
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 200_000
+#: Scores (words times languages) that a worker keeps.
+CACHE_SCORES = 1 << 21
 #: Cost of an unknown word or n-gram, as a count.
 SMOOTH = 0.5
 
 _words = re.compile(r"[^\W\d_]+").findall
 
 
+class Table:
+    """Log frequencies of items in each language, as differences to those of an item that it never counted."""
+
+    def __init__(self, items: list[str], starts: np.ndarray, langs: np.ndarray, above: np.ndarray, base: np.ndarray):
+        self.packed = items, starts, langs, above, base
+        self.place = {x: i for i, x in enumerate(items)}
+        self.starts, self.langs, self.above, self.base = starts, langs, above, base
+
+    @classmethod
+    def of(cls, counts: dict[str, dict[str, int]], langs: Sequence[str]) -> "Table":
+        number = {x: i for i, x in enumerate(langs)}
+        starts = np.concatenate(([0], np.cumsum([len(c) for c in counts.values()], dtype=np.int64))).astype(np.int64)
+        at = np.array([number[x] for c in counts.values() for x in c], np.int32)
+        n = np.array([x for c in counts.values() for x in c.values()], np.float64)
+        base = np.log(SMOOTH / (np.bincount(at, n, len(langs)) + SMOOTH * (len(counts) + 1)))
+        return cls(list(counts), starts, at, np.log((n + SMOOTH) / SMOOTH).astype(np.float32), base)
+
+    def add(self, place: int, to: np.ndarray) -> None:
+        a, b = self.starts[place], self.starts[place + 1]
+        to[self.langs[a:b]] += self.above[a:b]
+
+
 class LanguageModel:
     """Log frequencies of words and n-grams in each language."""
 
-    def __init__(self, langs: Sequence[str], words: dict[str, dict[str, int]], grams: dict[int, dict[str, dict[str, int]]]):
-        """``words``: counts by word and language; ``grams``: the same by length."""
-        self.langs = sorted(langs)
-        self.words = self._logs(words)
-        self.grams = {n: self._logs(g) for n, g in sorted(grams.items(), reverse=True)}
+    def __init__(self, langs: Sequence[str], words: Table, grams: dict[int, Table]):
+        """``grams``: tables by length."""
+        self.langs, self.words = list(langs), words
+        self.grams = dict(sorted(grams.items(), reverse=True))
         self._reset()
 
-    def _logs(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        table = np.array([[c.get(x, 0) for x in self.langs] for c in counts.values()], dtype=np.float64).reshape(len(counts), len(self.langs))
-        logs = np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * (len(table) + 1)))
-        return dict(zip(counts, logs.astype(np.float32)))
+    @classmethod
+    def counted(cls, langs: Sequence[str], words: dict[str, dict[str, int]], grams: dict[int, dict[str, dict[str, int]]]) -> "LanguageModel":
+        """From counts by item and language."""
+        langs = sorted(langs)
+        return cls(langs, Table.of(words, langs), {n: Table.of(g, langs) for n, g in grams.items()})
 
     def _reset(self) -> None:
         self.rows: dict[str, int] = {}
-        self.table = np.zeros((1 << 12, len(self.langs)))
+        self.most = max(1000, CACHE_SCORES // max(1, len(self.langs)))
+        self.table = np.zeros((1 << 10, len(self.langs)))
 
     def word(self, word: str) -> np.ndarray:
         """Scores of one lower-case word: the word itself, else the mean of the longest known n-grams."""
-        found = self.words.get(word)
-        if found is not None:
-            return found
+        place = self.words.place.get(word)
+        if place is not None:
+            out = self.words.base.copy()
+            self.words.add(place, out)
+            return out
         padded = f" {word} "
         for n, known in self.grams.items():
-            held = [known[g] for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) in known]
+            held = [i for g in range(len(padded) - n + 1) if (i := known.place.get(padded[g : g + n])) is not None]
             if held:
-                return np.mean(held, axis=0) * max(1, math.ceil(len(held) / n))
+                above = np.zeros(len(self.langs))
+                for i in held:
+                    known.add(i, above)
+                return (known.base + above / len(held)) * max(1, math.ceil(len(held) / n))
         return np.zeros(len(self.langs))
 
     def scores(self, text: str) -> np.ndarray | None:
@@ -77,7 +104,7 @@ class LanguageModel:
         if not words:
             return None
         rows = self.rows
-        if len(rows) > CACHE_WORDS:
+        if len(rows) > self.most:
             self._reset()
             rows = self.rows
         at = list(map(rows.get, words))
@@ -121,45 +148,42 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS,
     """Model from rows (doc_id, text, lang); null texts and labels teach nothing.
 
     The counts run distributed over the sample; what reaches the driver is bounded by
-    languages * (words + lengths * grams) rows.
+    languages * (words + lengths * grams) rows.  Ties among words and n-grams go to the
+    smaller one; rows that repeat count each.  From an empty table nothing is learned.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    # at most LANGS rows, so the join below may broadcast them
-    rates = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "lang").limit(LANGS).select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("rate"))
+    # one row a language; Spark broadcasts it if its size allows
+    rates = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("rate"))
     draw = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
-    sample = usable.withColumn("draw", draw).join(F.broadcast(rates), "lang").where("draw < rate")
+    sample = usable.withColumn("draw", draw).join(rates, "lang").where("draw < rate")
     each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
     try:
-        langs = [r[0] for r in each.select("lang").distinct().orderBy("lang").limit(LANGS).collect()]
-        by_word = _commonest(each.where("n > 1").select("lang", "word", "n"), ["lang"], "word", words).collect()
+        langs = [r[0] for r in each.select("lang").distinct().orderBy("lang").collect()]
+        by_word = _commonest(each.select("lang", "word", "n"), ["lang"], "word", words).collect()
         padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
         at = F.array(*[F.struct(F.lit(n).alias("k"), _pieces(padded, n).alias("grams")) for n in LENGTHS])
         cut = each.select("lang", "n", F.explode(at).alias("c")).select("lang", "n", "c.k", F.explode("c.grams").alias("gram")).where(F.length("gram") == F.col("k"))
-        grams_n = cut.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n")).where("n > 2")
+        grams_n = cut.groupBy("lang", "k", "gram").agg(F.sum("n").alias("n"))
         by_gram = _commonest(grams_n, ["lang", "k"], "gram", grams).collect()
     finally:
         each.unpersist()
-    return LanguageModel(langs, _counts(by_word), {n: _counts([(r["lang"], r["gram"], r["n"]) for r in by_gram if r["k"] == n]) for n in LENGTHS})
+    return LanguageModel.counted(langs, _counts(by_word), {n: _counts([(r["lang"], r["gram"], r["n"]) for r in by_gram if r["k"] == n]) for n in LENGTHS})
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """All columns of ``docs`` and lang_pred, score; texts are read whole.
 
-    Columns of ``docs`` by these names give way.
+    Columns of ``docs`` by these names give way.  A null text, and one without a letter, is
+    ``und`` with score 0; ties go to the language that is first in order.
     """
     spark = docs.sparkSession
-    packed = [(n, list(logs), np.array(list(logs.values()), np.float32)) for n, logs in ((0, model.words), *model.grams.items())]
-    held = spark.sparkContext.broadcast((model.langs, packed))
+    held = spark.sparkContext.broadcast((model.langs, model.words.packed, {n: g.packed for n, g in model.grams.items()}))
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = LanguageModel.__new__(LanguageModel)
-        own.langs, tables = held.value
-        logs = {n: dict(zip(keys, table)) for n, keys, table in tables}
-        own.words = logs.pop(0)
-        own.grams = logs
-        own._reset()
+        langs, words, grams = held.value
+        own = LanguageModel(langs, Table(*words), {n: Table(*g) for n, g in grams.items()})
         for block in text_blocks(batches):
             found = [own.predict(t) for t in block.column("text").to_pylist()]
             columns = [block.column(i) for i in range(len(names))] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
