@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import drop, stage
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable, for every id on an edge (a, b).
 
     Every step rewires edges towards smaller ids and is written to the shared folder; the
-    driver sees counts only.
+    driver sees counts only.  Edges with a null end are ignored; a loop (a, a) makes no
+    component.  The result is a table in the shared folder.
     """
     now = stage(edges.select("a", "b").where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     while True:
@@ -24,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         new = stage(small, "edges")
         mark = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20)"))).first()
         same = mark(new) == mark(now)
+        drop(now)
         now = new
         if same:
             break
     found = now.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "id")
-    return found.union(found.select(F.col("component").alias("id"), "component").distinct())
+    out = stage(found.union(found.select(F.col("component").alias("id"), "component").distinct()), "components")
+    drop(now)
+    return out

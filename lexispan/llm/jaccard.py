@@ -5,13 +5,15 @@ A set's prefix, in an order that puts shingles in many documents last, must shar
 shingle with the prefix of every set similar enough.  Items with equal prefix and size
 form a group and go through the index as one; a run is the list of groups that share a
 prefix shingle.  Runs of one item are dropped.  Small runs make their pairs of groups,
-each once for all its shingles; pairs are expanded to items and filtered by size and by
-parity signatures (each element of the symmetric difference flips at most one bit, so
-no link is lost).  What passes is verified on the sets themselves.
-
-Only components are asked for, so in large runs a first round verifies the nearest
-candidate of each item; a second verifies all candidates between components that are
-then still apart.  Copies and dense groups of near copies therefore never make all pairs.
+each once for all its shingles; of large runs each group is paired with one group, that
+which is the first in most of its runs; pairs are expanded to items and filtered by size and by parity signatures (each element
+of the symmetric difference flips at most one bit, so no link is lost).  What passes is
+verified on the sets themselves.
+
+Only components are asked for, so a second round takes only the large runs that still
+hold several components, and verifies all candidates between components in them, in
+cells of bounded size.  Copies and dense groups of near copies therefore never make all
+pairs.
 """
 
 from __future__ import annotations
@@ -25,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, stage, text_blocks
+from .common import drop, runs, stage, text_blocks, tidy
 from .filters import member_filter
 from .graph import components
 from .shingles import shingle_sets
 
-#: Bits of a signature; sets of candidate pairs verified in one cell.
-BITS, CELL_PAIRS = 512, 4096
+#: Bits of a signature; shingles of the candidate pairs verified in one cell; items of a run compared in one cell.
+BITS, CELL_SHINGLES, CELL_ITEMS = 512, 1 << 20, 4096
 #: Runs of up to so many groups make all their pairs of like size at once.
 SMALL = 8
 #: A group's low bits hold its sets' size, up to this.
@@ -65,7 +67,7 @@ def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
         total = sum(np.frombuffer(x, "<u4").astype(np.uint64) for x in table.column("counts").to_pylist())
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.astype("<u8").tobytes()], pa.binary())})
 
-    parts = docs.select("text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
+    parts = docs.select("text").mapInArrow(tidy(count), "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()
     total = np.zeros((1 << bits) // _CHUNK * _CHUNK, np.uint64)
     for chunk, counts in parts:
         total[chunk * _CHUNK : (chunk + 1) * _CHUNK] = np.frombuffer(counts, "<u8")
@@ -111,7 +113,9 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "digest", "grp", "prefix", "signature"])
 
-    return stage(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, digest binary, grp long, prefix array<long>, signature binary"), "jaccard-sets")
+    out = stage(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, digest binary, grp long, prefix array<long>, signature binary"), "jaccard-sets")
+    held_classes.destroy()
+    return out
 
 
 def _like(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -121,7 +125,7 @@ def _like(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _shared(percent: int):
-    """Of a partition's (token, grp) rows the pairs of groups in small runs, and the rows of larger runs (without second group)."""
+    """Of a partition's (token, grp) rows the pairs of groups in small runs (first 0), those with the first group in larger runs (first: number of runs), and the rows of larger runs (without second group)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches), pa.schema([("token", pa.int64()), ("grp", pa.int64())]))
@@ -137,61 +141,53 @@ def _shared(percent: int):
         for d in range(1, SMALL):
             at = np.flatnonzero((many <= SMALL) & (left >= d))
             at = at[_like(group[at], group[at + d], percent)]
-            pairs.append(np.stack([group[at], group[at + d], token[at]]))
-        a, b, t = np.concatenate(pairs, axis=1)
-        order = np.lexsort((t, b, a))
-        a, b, t = a[order], b[order], t[order]
-        fresh = np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))[: len(a)]
-        a, b, t = a[fresh], b[fresh], t[fresh]
+            pairs.append(np.stack([group[at], group[at + d], token[at], np.zeros(len(at), np.int64)]))
+        lead = np.repeat(firsts, lasts - firsts)
+        at = np.flatnonzero((many > SMALL) & (lead < np.arange(len(token))))
+        at = at[_like(group[lead[at]], group[at], percent)]
+        pairs.append(np.stack([group[lead[at]], group[at], token[at], np.ones(len(at), np.int64)]))
+        a, b, t, first = np.concatenate(pairs, axis=1)
+        order = np.lexsort((t, b, a, first))
+        a, b, t, first = a[order], b[order], t[order], first[order]
+        begins = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (first[1:] != first[:-1]))[: len(a)])
+        first = np.add.reduceat(first, begins) if len(begins) else first
+        a, b, t = a[begins], b[begins], t[begins]
         big = many > SMALL
         none = pa.array([None] * int(big.sum()), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((t, token[big]))), pa.array(np.concatenate((a, group[big]))), pa.concat_arrays([pa.array(b), none])], names=["token", "grp", "other"])
+        columns = [pa.array(np.concatenate((t, token[big]))), pa.array(np.concatenate((a, group[big]))), pa.concat_arrays([pa.array(b), none]), pa.concat_arrays([pa.array(first), none])]
+        yield pa.RecordBatch.from_arrays(columns, names=["token", "grp", "other", "first"])
 
     return run
 
 
-def _candidates(percent: int, first: bool):
-    """Pairs of one partition's runs; rows (token, item, n, signature, component)."""
+def _candidates(percent: int):
+    """Pairs (token, a, b, weight) between components in one partition's cells; rows (token, item, n, signature, component, block) of one block are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         if not rows:
             return
         table = pa.Table.from_batches(rows)
-        token, item, n, component = (np.asarray(table.column(c)) for c in ("token", "item", "n", "component"))
+        token, item, n, component, block = (np.asarray(table.column(c)) for c in ("token", "item", "n", "component", "block"))
         signature = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint64).reshape(len(token), BITS // 64)
-        order = np.lexsort((item, token))
-        token, item, n, component, signature = (x[order] for x in (token, item, n, component, signature))
-        seen: set[tuple[int, int]] = set()
-        out: list[tuple[int, int, int]] = []
+        order = np.lexsort((item, n, token))
+        token, item, n, component, block, signature = (x[order] for x in (token, item, n, component, block, signature))
         for a, b in zip(*runs(token)):
-            if b - a < 2 or not first and (component[a:b] == component[a]).all():
+            if (component[a:b] == component[a]).all():
                 continue
-            by_size = a + np.argsort(n[a:b], kind="stable")
-            for k, i in enumerate(by_size[1:].tolist(), 1):
+            sizes, out = n[a:b], []
+            for i in range(a + 1, b):
                 # only smaller or equal sets, large enough
-                low = int(np.searchsorted(n[by_size[:k]], -(-percent * n[i] // 100), side="left"))
-                other = by_size[low:k]
-                if not first:
-                    other = other[component[other] != component[i]]
-                if not len(other):
-                    continue
+                other = np.arange(a + np.searchsorted(sizes[: i - a], -(-percent * n[i] // 100)), i)
+                other = other[(component[other] != component[i]) & (block[other] != block[i])]
                 apart = np.bitwise_count(signature[other] ^ signature[i]).sum(axis=1)
                 total = n[other] + n[i]
                 # |A ^ B| is at most total - 2 * least overlap
                 close = apart <= total - 2 * -(-percent * total // (100 + percent))
                 other = other[close]
-                if first and len(other) > 1:
-                    other = other[[int(np.argmin(apart[close] / total[close]))]]
-                for j in other.tolist():
-                    pair = (int(item[i]), int(item[j])) if item[i] < item[j] else (int(item[j]), int(item[i]))
-                    if pair not in seen:
-                        seen.add(pair)
-                        out.append((int(token[i]), *pair))
-            if len(out) > 50_000:
-                yield _pairs(out)
-                out = []
-        yield _pairs(out)
+                out.append(np.stack((np.minimum(item[other], item[i]), np.maximum(item[other], item[i]), total[close])))
+            x, y, weight = np.concatenate(out, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), token[a])), pa.array(x), pa.array(y), pa.array(weight)], names=["token", "a", "b", "weight"])
 
     return run
 
@@ -212,16 +208,13 @@ def _close(percent: int):
     return close
 
 
-def _pairs(out: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*out)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "a", "b"])
-
-
 def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose sets are similar enough; each cell gets the texts of its pairs once."""
-    many = pairs.groupBy("token").agg(F.ceil(F.sqrt(F.count(F.lit(1)) / F.lit(float(CELL_PAIRS)))).cast("int").alias("split"))
-    split = lambda c: F.pmod(F.hash(c), F.col("split"))
-    celled = stage(pairs.join(many, "token").select("a", "b", F.xxhash64("token", split("a"), split("b")).alias("cell")), "jaccard-pairs")
+    """Links (a, b) among pairs (token, a, b, weight): sets that are similar enough; each cell gets the texts of its pairs once."""
+    once = stage(pairs.groupBy("a", "b").agg(F.min("token").alias("token"), F.min("weight").alias("weight")), "jaccard-pairs")
+    many = once.groupBy("token").agg(F.ceil(F.sqrt(F.sum("weight") / F.lit(float(CELL_SHINGLES)))).cast("int").alias("split"))
+    split = lambda c: F.pmod(F.xxhash64(c), F.col("split"))
+    celled = stage(once.join(many, "token").select("a", "b", F.xxhash64("token", split("a"), split("b")).alias("cell")), "jaccard-cells")
+    drop(once)
     needed = celled.select(F.col("cell").alias("at"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     ids = celled.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = docs.select("doc_id", "text").where(member_filter(ids)(F.col("doc_id"))).join(needed, "doc_id")
@@ -237,7 +230,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> Dat
                 out.append((a, b))
         return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
-    return texts.groupBy("at").cogroup(celled.groupBy("cell")).applyInArrow(check, "a long, b long")
+    links = stage(texts.groupBy("at").cogroup(celled.groupBy("cell")).applyInArrow(check, "a long, b long"), "jaccard-links")
+    drop(celled)
+    return links
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> DataFrame:
@@ -248,37 +243,43 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     links with nothing.  A null doc_id takes no part in links and is its own (null)
     component.  Rows that repeat a doc_id are expected to have one text; each is returned.
     """
-    held = item_table(docs, size, percent)
-    items = held.where("grp is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grp", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("item"), "x.n", "x.grp", "x.signature")
+    full = item_table(docs, size, percent)
+    items = full.where("grp is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grp", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("item"), "x.n", "x.grp", "x.signature")
     items = stage(items, "jaccard-items")
-    tokens = held.where("grp is not null and doc_id is not null").select(F.explode("prefix").alias("token"), "grp")
-    shared = stage(tokens.repartition("token").mapInArrow(_shared(percent), "token long, grp long, other long"), "jaccard-runs")
-    crowded = items.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    # groups of several items: few, or a large run of their own
-    inner = crowded.where(F.col("m") <= SMALL).select(F.col("grp").alias("token"), "grp", F.col("grp").alias("other"))
-    large = shared.where("other is null").select("token", "grp").union(crowded.where(F.col("m") > SMALL).select(F.col("grp").alias("token"), "grp"))
-    small = shared.where("other is not null").union(inner).groupBy("grp", "other").agg(F.min("token").alias("token"))
+    tokens = full.where("grp is not null and doc_id is not null").select(F.explode("prefix").alias("token"), "grp")
+    shared = stage(tokens.repartition("token").mapInArrow(tidy(_shared(percent)), "token long, grp long, other long, first long"), "jaccard-runs")
+    held = stage(full.select("doc_id", "n", "digest"), "jaccard-held")
+    drop(full)
+    crowded = items.groupBy("grp").agg(F.count(F.lit(1)).alias("m"), F.min("item").alias("first")).where("m > 1")
     x = items.select("grp", F.col("item").alias("x"), F.col("n").alias("nx"), F.col("signature").alias("sx"))
     y = items.select(F.col("grp").alias("other"), F.col("item").alias("y"), F.col("n").alias("ny"), F.col("signature").alias("sy"))
-    close = small.join(x, "grp").join(y, "other").where("x != y").where(_close(percent)("nx", "sx", "ny", "sy"))
-    close = close.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-    def candidates(labelled: DataFrame, first: bool) -> DataFrame:
-        rows = large.join(labelled, "grp").select("token", "item", "n", "component", "signature").repartition("token")
-        return rows.mapInArrow(_candidates(percent, first), "token long, a long, b long")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        once = stage(pairs.groupBy("a", "b").agg(F.min("token").alias("token")), "jaccard-pairs")
-        return stage(_verified(docs, once, size, percent), "jaccard-links")
-
-    links = verified(close.union(candidates(items.withColumn("component", F.col("item")), True)))
-    parts = stage(components(links), "jaccard-components")
-    labelled = items.join(parts, F.col("item") == F.col("id"), "left").withColumn("component", F.coalesce("component", "item"))
-    links = links.union(verified(candidates(labelled, False)))
-    parts = components(links)
+    # pairs of small runs, and for each group of large ones its commonest first
+    led = shared.where("first > 0").groupBy("grp", "other").agg(F.min("token").alias("token"), F.sum("first").alias("first"))
+    led = led.groupBy("other").agg(F.max(F.struct("first", "grp", "token")).alias("x")).select("x.grp", "other", "x.token")
+    between = shared.where("first = 0").select("grp", "other", "token").union(led).groupBy("grp", "other").agg(F.min("token").alias("token")).join(x, "grp").join(y, "other")
+    # groups of several items: all pairs of few, else those with the first
+    inside = crowded.select("grp", F.col("grp").alias("other"), F.col("grp").alias("token"), F.when(F.col("m") > SMALL, F.col("first")).alias("only")).join(x, "grp").where("only is null or x = only").drop("only").join(y, "other").where("x != y")
+    close = between.unionByName(inside).where(_close(percent)("nx", "sx", "ny", "sy"))
+    links = _verified(docs, close.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("weight")), size, percent)
+    first = components(links)
+    # runs that still hold several components
+    labelled = stage(items.join(first, F.col("item") == F.col("id"), "left").select("digest", "item", "n", "grp", "signature", F.coalesce("component", "item").alias("component")), "jaccard-labelled")
+    drop(items, first)
+    large = shared.where("other is null").select("token", "grp").union(labelled.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SMALL).select(F.col("grp").alias("token"), "grp"))
+    ends = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
+    mixed = large.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).where("low != high").select("token", F.ceil(F.col("m") / F.lit(float(CELL_ITEMS))).cast("int").alias("split"))
+    rows = large.join(mixed, "token").join(labelled, "grp").withColumn("own", F.pmod(F.xxhash64("item"), F.col("split")).cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+    block = F.when(F.col("own") != F.col("with"), F.col("own").cast("long")).otherwise(F.col("item"))
+    rows = rows.select(F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with")).alias("token"), "item", "n", "component", block.alias("block"), "signature")
+    more = _verified(docs, rows.repartition("token").mapInArrow(tidy(_candidates(percent)), "token long, a long, b long, weight long"), size, percent)
+    # only components are joined in the second round
+    of = lambda c: labelled.select(F.col("item").alias(c), F.col("component").alias(f"{c}_component"))
+    parts = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
+    drop(shared, links, more)
     # documents of equal sets: the smallest doc_id of each set, then its component
     same = held.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
-    low = items.join(same, "digest").join(parts, F.col("item") == F.col("id"), "left").select("digest", "least", F.coalesce("component", "item").alias("component"))
+    low = labelled.join(same, "digest").join(parts.withColumnRenamed("component", "whole"), F.col("component") == F.col("id"), "left").select("digest", "least", F.coalesce("whole", "component").alias("component"))
     lowest = low.groupBy("component").agg(F.min("least").alias("component_id"))
     low = low.join(lowest, "component").select("digest", "component_id")
     return held.join(low, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -118,11 +118,53 @@ def test_language_of_few_documents_keeps_its_words(spark):
     names = ["".join(x) for x in itertools.product("abcde", repeat=3)]
     rows = [(i, " ".join(names), "en") for i in range(30)] + [(90 + i, "zuv zuv wyx wyx", "de") for i in range(2)]
     model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=20, grams=15)
-    assert {"zuv", "wyx"} <= set(model.words) and len(model.words) == 22
-    assert {" zuv ", " wyx "} <= set(model.grams[5]) and {" zuv", "zuv "} <= set(model.grams[4])
+    assert {"zuv", "wyx"} <= set(model.words.place) and len(model.words.place) == 22
+    assert {" zuv ", " wyx "} <= set(model.grams[5].place) and {" zuv", "zuv "} <= set(model.grams[4].place)
     assert model.predict("zuv")[0] == "de" and model.predict("abc")[0] == "en"
 
 
+def test_language_scores_by_brute_force():
+    """Backoff over dense tables of counts, word by word."""
+    draw = random.Random(11)
+    langs = ["aa", "bb", "cc", "dd"]
+    words = {w: {x: draw.randint(1, 9) for x in draw.sample(langs, draw.randint(1, 4))} for w in WORDS[:60]}
+    grams = {n: collections.defaultdict(dict) for n in language.LENGTHS}
+    for w in WORDS[60:90]:
+        for n in grams:
+            for i in range(len(w) + 3 - n):
+                grams[n][f" {w} "[i : i + n]][draw.choice(langs)] = draw.randint(1, 5)
+    model = language.LanguageModel.counted(langs, words, grams)
+
+    def logs(counts, item, lang):
+        total = sum(c.get(lang, 0) for c in counts.values())
+        return np.log((counts[item].get(lang, 0) + language.SMOOTH) / (total + language.SMOOTH * (len(counts) + 1)))
+
+    def score(word, lang):
+        if word in words:
+            return logs(words, word, lang)
+        for n in language.LENGTHS:
+            held = [g for i in range(len(word) + 3 - n) if (g := f" {word} "[i : i + n]) in grams[n]]
+            if held:
+                return np.mean([logs(grams[n], g, lang) for g in held]) * max(1, -(-len(held) // n))
+        return 0.0
+
+    for _ in range(60):
+        text = draw.choices(WORDS[:140], k=draw.randint(1, 12))
+        sums = np.array([sum(score(w, x) for w in text) for x in langs])
+        p = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+        lang, found = model.predict(" ".join(text).title())
+        assert lang == langs[int(p.argmax())] and found == pytest.approx(p.max(), rel=1e-4)
+
+
+def test_language_query(spark):
+    """The registered query: its split by crc32, and its accuracy on what it has not learned from."""
+    table = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text").collect()}
+    found = language.op2_language_id(spark, "/root/testdata/sf0.01").collect()
+    assert len(found) == len(table) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in found)
+    asked = [r for r in found if r.held_out and table[r.doc_id].lang and r.lang_pred != "und"]
+    assert len(asked) > 100 and np.mean([r.lang_pred == table[r.doc_id].lang for r in asked]) > 0.97
+
+
 def test_licenses(spark, docs, none):
     lines = {"Released under the MIT License.": "MIT", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Licensed under CC BY 3.0.": "CC-BY-3.0", "This work is licensed under the GNU General Public License, version 3.": "GPL-3", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0"}
     rows = [(i, f"{prose(30)}\n{line}\n{prose(5)}") for i, line in enumerate(lines)] + [(8, prose(400) + " Licensed under the Apache License, Version 2.0. " + prose(400)), (9, "a license to speak of, no more"), (10, None)]
@@ -236,27 +278,112 @@ def test_top_k_and_nearest(spark):
     assert topk.top_k(vectors(spark, []), 5, 50).count() == 0 == nearest.nearest(vectors(spark, []), 20, 20).count()
 
 
+def test_searches_over_shards_and_blocks(spark, monkeypatch):
+    """Several shards, groups of queries and blocks of postings; repeated ids and ties."""
+    from lexispan.llm import vectors as v
+
+    rng = np.random.default_rng(9)
+    rows = [(int(i), x.tolist(), 0.0) for i, x in zip([*range(500), 50, 60, 7], rng.standard_normal((503, 10)).round(1))]
+    exact = [(i, np.floor(256 * np.float32(x).astype(float))) for i, x, _ in rows]
+    wanted = collections.Counter()
+    for q, x in exact:
+        if q % 50 == 0:
+            best = sorted(((i, int(x @ y)) for i, y in exact if i != q), key=lambda p: (-p[1], p[0]))[:5]
+            wanted.update((q, i, s) for i, s in best)
+    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "PROBES", 2)
+    index = topk.Postings(np.array([i for i, _ in exact]), np.array([x for _, x in exact]), 5)
+    for q, x in exact[:120]:
+        ids, scores = index.best(q, x)
+        assert list(zip(ids.tolist(), scores.tolist())) == sorted(((i, int(x @ y)) for i, y in exact if i != q), key=lambda p: (-p[1], p[0]))[:5]
+    monkeypatch.setattr(v, "SHARD_ROWS", 90)
+    once = {(q, i, s) for q, i, s in wanted if q != 50}
+    assert {(r.query_id, r.vec_id, r.score) for r in topk.top_k(vectors(spark, rows), 5, 50).collect() if r.query_id != 50} == once
+    first = nearest.nearest(vectors(spark, rows), 20, 20).collect()
+    assert sorted(first) == sorted(nearest.nearest(vectors(spark, rows).repartition(5), 20, 20).collect())
+
+
+def test_nearest_recall_and_verified_share():
+    """On a whole table: recall of 0.95 and more, and most rows never verified."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet").to_pydict()
+    ids, v = np.array(table["vec_id"]), np.array(table["embedding"], dtype=float)
+    index = nearest.ShardIndex(v, float(np.sqrt((v * v).sum(axis=1)).max()), 42)
+    recall, share = [], []
+    for i in np.flatnonzero(ids % 20 == 0):
+        scores = v @ v[i]
+        scores[i] = -9
+        places, found = index.candidates(v[i], 20, np.array([i]))
+        best = places[np.argsort(-found, kind="stable")[:20]]
+        recall.append(len(set(best) & set(np.argsort(-scores, kind="stable")[:20])) / 20)
+        share.append(len(places) / len(v))
+    assert np.mean(recall) >= 0.95 and np.mean(share) < 0.35
+
+
 def test_suffix_arrays(monkeypatch):
-    for most in (512, 0):
-        monkeypatch.setattr(suffixes, "RECURSE", most)
-        for _ in range(150):
-            k = random.choice([1, 2, 3, 5])
-            t = [random.randint(1, k) for _ in range(random.randint(0, 60))] + [0]
+    for group, groups in ((1024, 256), (3, 2), (8, 1000)):
+        monkeypatch.setattr(suffixes, "GROUP", group)
+        monkeypatch.setattr(suffixes, "GROUPS", groups)
+        for _ in range(300):
+            k = random.choice([1, 2, 3, 5, 40])
+            t = [random.randint(1, k) for _ in range(random.randint(0, 80))]
+            t = ((t[:5] * 20)[:70] if random.random() < 0.3 else t) + [0]
             assert suffixes.suffix_array(np.array(t), k + 1).tolist() == sorted(range(len(t)), key=lambda i: t[i:])
 
 
+def test_suffix_array_of_large_alphabets():
+    """Recursion goes on over thousands of names, also where a long string repeats."""
+    rng = np.random.default_rng(1)
+    for text in (rng.integers(1, 4000, 9000), np.tile(rng.integers(1, 3000, 2500), 4), np.repeat(rng.integers(1, 900, 300), 30)):
+        t = np.append(text, 0)
+        raw = t.astype(">u2").tobytes()
+        assert suffixes.suffix_array(t, 4001).tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i :])
+
+
+def brute_repeats(texts, length=200):
+    """(n_bytes, n_removed, n_spans, bytes left) of each text."""
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    for d in data:
+        gone = np.zeros(len(d) + 1, bool)
+        for i in range(len(d) - length + 1):
+            if seen[d[i : i + length]] > 1:
+                gone[i : i + length] = True
+        yield len(d), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), bytes(c for c, g in zip(d, gone) if not g)
+
+
+def test_repeats_at_a_crowded_anchor(spark, monkeypatch):
+    """One piece in very many different contexts, cut to parts and then to single strings; texts over several segments."""
+    hot, passage = "HOTHOT " + prose(8), prose(60)
+    texts = [prose(40) + hot + prose(50) for _ in range(60)]
+    texts += [prose(30) + passage + prose(10) for _ in range(5)] + [texts[3], texts[3], texts[7][50:400], "x" * 3000, prose(2) + "é" * 400]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string").repartition(5)
+    wanted = list(brute_repeats(texts))
+    for size in (2000, 300):
+        monkeypatch.setattr(substrings, "SHARD_BYTES", size)
+        found = {r.key: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in substrings.remove_repeats(rows).collect()}
+        assert [found[i] for i in range(len(texts))] == wanted
+    monkeypatch.setattr(substrings, "SEGMENT", 130)
+    whole = np.frombuffer("".join(texts).encode(), np.uint8)
+    anchors, at, first, last = substrings.contexts(whole, 200)
+    assert (first[1:] == last[:-1] + 1).all() and first[0] == 0 and last[-1] == len(whole) - 200
+    assert (at >= last).all() and (at + substrings.PIECE <= first + 200).all() and (anchors == substrings.piece_hashes(whole)[at].view(np.int64)).all()
+
+
+def test_repeats_of_null_and_repeated_keys(spark):
+    text, other = prose(50), prose(60)
+    rows = [(None, text), (None, text), (1, text), (1, other), (None, None), (2, "")]
+    found = substrings.remove_repeats(spark.createDataFrame(rows, "key long, text string").selectExpr("key", "text", "1 AS row", "2 AS spans")).collect()
+    assert sorted((str(r.key), r.n_bytes, r.n_removed) for r in found) == sorted((str(k), len(t or ""), len(text) if t == text else 0) for k, t in rows)
+
+
 def test_repeats(docs, none, spark):
     found = {r.key: r for r in substrings.remove_repeats(docs.withColumnRenamed("doc_id", "key")).collect()}
     data = [(t or "").encode() for t in TEXTS]
-    seen = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
-    for key, d in enumerate(data):
-        gone = np.zeros(len(d) + 1, bool)
-        for i in range(len(d) - 199):
-            if seen[d[i : i + 200]] > 1:
-                gone[i : i + 200] = True
+    for key, wanted in enumerate(brute_repeats(TEXTS)):
         r = found[key]
-        assert (r.n_bytes, r.n_removed, r.n_spans) == (len(d), gone.sum(), (gone[1:] & ~gone[:-1]).sum() + gone[0] if len(d) else 0)
-        assert bytes(r.kept) == bytes(c for c, g in zip(d, gone) if not g)
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == wanted
     assert found[7].n_removed == len(data[7]) and found[15].n_removed == 800 and found[16].n_removed == 0
     assert substrings.remove_repeats(none.withColumnRenamed("doc_id", "key")).count() == 0
 
@@ -282,6 +409,33 @@ def test_jaccard(docs, none, spark):
     assert jaccard.jaccard_components(none).count() == 0
 
 
+def test_jaccard_of_large_runs(spark, monkeypatch):
+    """Families of near copies that share their frequent shingles, in runs compared cell by cell."""
+    monkeypatch.setattr(jaccard, "CELL_ITEMS", 7)
+    monkeypatch.setattr(jaccard, "CELL_SHINGLES", 600)
+    shared = prose(14)
+    families = [shared + " " + prose(16) for _ in range(12)]
+    texts = [" ".join(w if random.random() > 0.03 else random.choice(WORDS) for w in f.split(" ")) for f in families for _ in range(9)]
+    sets = [shingle_set(t) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [found[i] for i in range(len(texts))] == group
+
+
+def test_words_of_long_texts(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([prose(500), None, "x" * 300 + " y", "", prose(90)])
+    whole = shingles.words(texts)
+    monkeypatch.setattr(shingles, "PIECE", 64)
+    assert all((a == b).all() for a, b in zip(whole, shingles.words(texts)))
+
+
 def test_jaccard_null_id_first(spark):
     rows = [(None, BASE), (2, BASE), (1, BASE), (3, edited(BASE, 0.01)), (None, None)]
     found = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
