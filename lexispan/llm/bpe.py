@@ -27,7 +27,7 @@ from .common import Texts, gathered, runs, text_blocks, tidy
 from .parts import PartEncoder
 
 #: UTF-8 bytes of text that one replay covers.
-CORPUS_BYTES = 6 << 20
+CORPUS_BYTES = 2 << 20
 #: From so many places on, a merge is applied to all of them at once.
 MANY = 24
 
