@@ -15,7 +15,6 @@ and is shipped to the workers.  Prediction covers every text as a whole.
 
 from __future__ import annotations
 
-import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
@@ -25,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_blocks, tidy
+from .common import stage, text_blocks, tidy
 
 SAMPLE_DOCS = 1500
 WORDS = 20_000
@@ -56,9 +55,12 @@ class Table:
         base = np.log(SMOOTH / (np.bincount(at, n, len(langs)) + SMOOTH * (len(counts) + 1)))
         return cls(list(counts), starts, at, np.log((n + SMOOTH) / SMOOTH).astype(np.float32), base)
 
-    def add(self, place: int, to: np.ndarray) -> None:
-        a, b = self.starts[place], self.starts[place + 1]
-        to[self.langs[a:b]] += self.above[a:b]
+    def sums(self, rows: np.ndarray, places: np.ndarray, n_rows: int) -> np.ndarray:
+        """Sums over the items at ``places`` for each row, as differences to the base."""
+        n = self.starts[places + 1] - self.starts[places]
+        at = np.repeat(self.starts[places] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        size = len(self.base)
+        return np.bincount(np.repeat(rows, n) * size + self.langs[at], self.above[at], n_rows * size).reshape(n_rows, size)
 
 
 class LanguageModel:
@@ -81,49 +83,59 @@ class LanguageModel:
         self.most = max(1000, CACHE_SCORES // max(1, len(self.langs)))
         self.table = np.zeros((1 << 10, len(self.langs)))
 
-    def word(self, word: str) -> np.ndarray:
-        """Scores of one lower-case word: the word itself, else the mean of the longest known n-grams."""
-        place = self.words.place.get(word)
-        if place is not None:
-            out = self.words.base.copy()
-            self.words.add(place, out)
-            return out
-        padded = f" {word} "
+    def words_scores(self, words: list[str]) -> np.ndarray:
+        """A row of scores for each lower-case word: of the word itself, else the mean of its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        get = self.words.place.get
+        places = np.array([get(w, -1) for w in words], np.int64)
+        hit = np.flatnonzero(places >= 0)
+        out[hit] = self.words.base + self.words.sums(np.arange(len(hit)), places[hit], len(hit))
+        left = np.flatnonzero(places < 0).tolist()
         for n, known in self.grams.items():
-            held = [i for g in range(len(padded) - n + 1) if (i := known.place.get(padded[g : g + n])) is not None]
-            if held:
-                above = np.zeros(len(self.langs))
-                for i in held:
-                    known.add(i, above)
-                return (known.base + above / len(held)) * max(1, math.ceil(len(held) / n))
-        return np.zeros(len(self.langs))
-
-    def scores(self, text: str) -> np.ndarray | None:
-        """Sums over the words of a text, None without a letter."""
-        words = _words(text.lower())
-        if not words:
-            return None
-        rows = self.rows
-        if len(rows) > self.most:
+            get = known.place.get
+            found, rows, held, still = [], [], [], []
+            for i in left:
+                padded = f" {words[i]} "
+                own = [g for j in range(len(padded) - n + 1) if (g := get(padded[j : j + n])) is not None]
+                if own:
+                    rows += [len(found)] * len(own)
+                    held += own
+                    found.append((i, len(own)))
+                else:
+                    still.append(i)
+            if found:
+                at, many = np.array(found).T
+                mean = known.base + known.sums(np.array(rows), np.array(held), len(at)) / many[:, None]
+                out[at] = mean * np.maximum(1, -(-many // n))[:, None]
+            left = still
+        return out
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """Language and its posterior for each text; ``und`` and 0 for null or a text without letters, or if nothing was learned."""
+        split = [_words(t.lower()) if t and self.langs else [] for t in texts]
+        fresh = set().union(*split).difference(self.rows)
+        if len(self.rows) + len(fresh) > self.most:
             self._reset()
-            rows = self.rows
-        at = list(map(rows.get, words))
-        if None in at:
-            for w in {w for w, i in zip(words, at) if i is None}:
-                rows[w] = i = len(rows)
-                if i >= len(self.table):
-                    self.table = np.concatenate((self.table, np.zeros_like(self.table)))
-                self.table[i] = self.word(w)
-            at = list(map(rows.__getitem__, words))
-        return self.table[np.array(at)].sum(axis=0)
+            fresh = set().union(*split)
+        new = list(fresh)
+        n = len(self.rows)
+        self.rows.update(zip(new, range(n, n + len(new))))
+        if n + len(new) > len(self.table):
+            self.table = np.concatenate((self.table[:n], np.zeros((n + 2 * len(new), len(self.langs)))))
+        for i in range(0, len(new), 1 << 14):
+            self.table[n + i : n + i + (1 << 14)][: len(new) - i] = self.words_scores(new[i : i + (1 << 14)])
+        out = []
+        for words in split:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            found = self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))].sum(axis=0)
+            out.append((self.langs[int(found.argmax())], float(1 / np.exp(found - found.max()).sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        """Language and its posterior; ``und`` and 0 for null or a text without letters, or if nothing was learned."""
-        found = self.scores(text) if text and self.langs else None
-        if found is None:
-            return "und", 0.0
-        p = np.exp(found - found.max())
-        return self.langs[int(found.argmax())], float(1 / p.sum())
+        """``predict_all`` for one text."""
+        return self.predict_all([text])[0]
 
 
 def _counts(rows: list) -> dict[str, dict[str, int]]:
@@ -152,8 +164,8 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, words: int = WORDS,
     smaller one; rows that repeat count each.  From an empty table nothing is learned.
     """
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    # one row a language; Spark broadcasts it if its size allows
-    rates = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("rate"))
+    # one row a language, as a table of known size: Spark broadcasts it if that allows
+    rates = stage(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")).select("lang", (F.lit(float(sample_docs)) / F.col("docs")).alias("rate")), "language-rates")
     draw = (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(1 << 30)) + F.lit(0.5)) / F.lit(float(1 << 30))
     sample = usable.withColumn("draw", draw).join(rates, "lang").where("draw < rate")
     each = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n")).persist()
@@ -185,7 +197,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
         langs, words, grams = held.value
         own = LanguageModel(langs, Table(*words), {n: Table(*g) for n, g in grams.items()})
         for block in text_blocks(batches):
-            found = [own.predict(t) for t in block.column("text").to_pylist()]
+            found = own.predict_all(block.column("text").to_pylist())
             columns = [block.column(i) for i in range(len(names))] + [pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=[*names, "lang_pred", "score"])
 
