@@ -101,7 +101,7 @@ def text_of(html: str | None) -> str:
                 node.parent.children.remove(node)
     nodes = list(tree.root.walk())
     root = next((n for s in CONTENT_SELECTORS for n in nodes if n.tag and matches(n, s)), tree.root)
-    parts = [" ".join(n.strings()) for n in root.walk() if n.tag in _BLOCKS] or [" ".join(root.strings())]
+    parts = [x for n in root.walk() if n.tag in _BLOCKS and (x := " ".join(n.strings())).strip()] or [" ".join(root.strings())]
     return re.sub(r"\s+", " ", " ".join(parts)).strip()
 
 

@@ -26,19 +26,28 @@ DEDUP = ARTICLES + """, h AS (SELECT article_id, date, year, corpus, article_typ
 # word frequencies without stopwords; the 600 commonest of each year
 FREQ = TOKENS + """, content AS (SELECT year, tok FROM tokens WHERE tok NOT IN (@stopwords@)
 ), per AS (SELECT year, tok AS word, count(*) AS n FROM content GROUP BY year, tok
-), totals AS (SELECT year, count(*) AS total FROM content GROUP BY year
+), totals AS (SELECT year, sum(n) AS total FROM per GROUP BY year
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, word) AS r FROM per
 ), freq AS (SELECT ranked.year, word, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM ranked JOIN totals ON ranked.year = totals.year WHERE r <= 600
 )"""
-# a year is one stream of tokens: grams straddle articles
-GRAMS = TOKENS + """, stream AS (
-  SELECT year, tok AS w1, lead(tok, 1) OVER s AS w2, lead(tok, 2) OVER s AS w3 FROM tokens WINDOW s AS (PARTITION BY year ORDER BY date, article_id, pos)
-), sizes AS (SELECT year, count(*) AS n FROM tokens GROUP BY year HAVING count(*) >= 100
+# a year is one stream of tokens: grams straddle articles.  Those within an article are made in its row; for
+# the others the first and last two tokens of each article are put in order.
+GRAMS = ARTICLES + """, lists AS (SELECT article_id, date, year, @tokens@ AS k FROM a
+), inner_lists AS (SELECT year, @grams@ AS k FROM lists
+), edges AS (SELECT article_id, date, year, @edge_tokens@ AS k FROM lists
+), edge_tokens AS (SELECT article_id, date, year, @pos@ AS pos, tok FROM edges @unnest@
+), stream AS (
+  SELECT year, article_id AS a1, tok AS w1, lead(article_id, 1) OVER s AS a2, lead(tok, 1) OVER s AS w2, lead(article_id, 2) OVER s AS a3, lead(tok, 2) OVER s AS w3
+  FROM edge_tokens WINDOW s AS (PARTITION BY year ORDER BY date, article_id, pos)
 ), grams AS (
-  SELECT year, 2 AS n, concat(w1, ' ', w2) AS ngram, w1 AS p, w2 AS q, w2 AS z FROM stream WHERE w2 IS NOT NULL
-  UNION ALL SELECT year, 3 AS n, concat(w1, ' ', w2, ' ', w3) AS ngram, w1 AS p, w2 AS q, w3 AS z FROM stream WHERE w3 IS NOT NULL
-), counted AS (SELECT year, n, ngram, min(p) AS p, min(q) AS q, min(z) AS z, count(*) AS c FROM grams GROUP BY year, n, ngram
+  SELECT year, tok AS ngram FROM inner_lists @unnest@
+  UNION ALL SELECT year, concat(w1, ' ', w2) AS ngram FROM stream WHERE w2 IS NOT NULL AND a1 <> a2
+  UNION ALL SELECT year, concat(w1, ' ', w2, ' ', w3) AS ngram FROM stream WHERE w3 IS NOT NULL AND a1 <> a3
+), counts AS (SELECT year, ngram, count(*) AS c FROM grams GROUP BY year, ngram
+), counted AS (SELECT year, CASE WHEN split_part(ngram, ' ', 3) = '' THEN 2 ELSE 3 END AS n, ngram, c, split_part(ngram, ' ', 1) AS p, split_part(ngram, ' ', 2) AS q,
+    CASE WHEN split_part(ngram, ' ', 3) = '' THEN split_part(ngram, ' ', 2) ELSE split_part(ngram, ' ', 3) END AS z FROM counts
 ), gram_totals AS (SELECT year, n, sum(c) AS total FROM counted GROUP BY year, n
+), sizes AS (SELECT year FROM gram_totals WHERE n = 2 AND total >= 99
 ), good AS (
   SELECT *, row_number() OVER (PARTITION BY year, n ORDER BY c DESC, ngram) AS r FROM counted
   WHERE p NOT IN (@stopwords@) AND z NOT IN (@stopwords@) AND (length(p) > 3 OR length(z) > 3 OR (q NOT IN (@stopwords@) AND length(q) > 3))
@@ -46,29 +55,53 @@ GRAMS = TOKENS + """, stream AS (
   SELECT good.year, CAST(good.n AS INT) AS n, ngram, CAST(c AS BIGINT) AS c, CAST(total AS BIGINT) AS total
   FROM good JOIN gram_totals t ON good.year = t.year AND good.n = t.n JOIN sizes ON good.year = sizes.year WHERE r <= 100
 )"""
-# numeric series by year: median order price for each priority
-SERIES = """series AS (
-  SELECT o_orderpriority AS metric, CAST(year(o_orderdate) AS INT) AS year, CAST(count(*) AS DOUBLE) AS y
-  FROM $orders GROUP BY o_orderpriority, year(o_orderdate)
+# Metrics of each article, made within its row: alphabetic tokens of any script, sorted with their places, tell
+# types, hapaxes and the windows of 100 tokens in which a place is the first of its type.
+_FIRST, _SYLLABLES = "x.b IS NULL OR x.b <> x.t", "CAST(greatest(1, @vowel_groups@ - CASE WHEN x LIKE '%e' AND @vowel_groups@ > 1 THEN 1 ELSE 0 END) AS BIGINT)"
+METRICS = ARTICLES + f""", words AS (SELECT article_id, year, corpus, article_type, word_count, @alpha@ AS k, @sentences@ AS ss FROM a WHERE length(trim(text)) >= 10
+), by_type AS (SELECT *, @by_type@ AS s0 FROM words
+), sorted AS (SELECT article_id, year, corpus, article_type, word_count, k, CAST(@len@(k) AS BIGINT) AS n, @places@ AS s, @transform@(ss, @arrow@ CAST(@runs_in_x@ AS BIGINT)) AS sl, @transform@(k, @arrow@ {_SYLLABLES}) AS sy FROM by_type
+), counted AS (
+  SELECT article_id, year, corpus, article_type, word_count, n, CAST(@len@(sl) AS BIGINT) AS sents, @sum_a@(sl@sum_b@ AS sent_tokens, CASE WHEN @len@(sl) > 0 THEN @list_median@ ELSE 0e0 END AS sent_median,
+    CAST(@len@(@filter@(s, @arrow@ {_FIRST})) AS BIGINT) AS types, CAST(@len@(@filter@(s, @arrow@ ({_FIRST}) AND (x.a IS NULL OR x.a <> x.t))) AS BIGINT) AS hapaxes,
+    @sum_a@(@transform@(s, @arrow@ CAST(CASE WHEN n < 100 THEN CASE WHEN {_FIRST} THEN 1 ELSE 0 END ELSE greatest(0, least(x.p, n - 100) - greatest(CASE WHEN {_FIRST} THEN 0 ELSE x.bp + 1 END, x.p - 99, 0) + 1) END AS BIGINT))@sum_b@ AS windowed,
+    CAST(@len@(@filter@(k, @arrow@ x IN (@function_words@))) AS BIGINT) AS functions, @sum_a@(@transform@(k, @arrow@ CAST(length(x) AS BIGINT))@sum_b@ AS letters, @sum_a@(sy@sum_b@ AS syllables, CAST(@len@(@filter@(sy, @arrow@ x >= 3)) AS BIGINT) AS polysyllables
+  FROM sorted
+), metrics AS (
+  SELECT article_id, year, corpus, article_type, word_count, n AS token_count, sents AS sentence_count, coalesce(CAST(sent_tokens AS DOUBLE) / nullif(sents, 0), 0e0) AS avg_sentence_len, sent_median AS med_sentence_len, types AS unique_word_count,
+    coalesce(CAST(types AS DOUBLE) / nullif(n, 0), 0e0) AS ttr, coalesce(types / nullif(sqrt(CAST(n AS DOUBLE)), 0e0), 0e0) AS root_ttr, coalesce(CAST(windowed AS DOUBLE) / CASE WHEN n >= 100 THEN 100 * (n - 99) ELSE nullif(n, 0) END, 0e0) AS mattr,
+    coalesce(CAST(hapaxes AS DOUBLE) / nullif(types, 0), 0e0) AS hapax_ratio, coalesce(CAST(functions AS DOUBLE) / nullif(n, 0), 0e0) AS func_word_ratio,
+    CASE WHEN n > 0 AND sents > 0 THEN CAST(round(206.835e0 - 1.015e0 * n / sents - 84.6e0 * syllables / n, 6) AS DOUBLE) END AS flesch_reading_ease, CASE WHEN n > 0 AND sents > 0 THEN CAST(round(0.39e0 * n / sents + 11.8e0 * syllables / n - 15.59e0, 6) AS DOUBLE) END AS flesch_kincaid_grade,
+    CASE WHEN n > 0 AND sents > 0 THEN CAST(round(4.71e0 * letters / n + 0.5e0 * n / sents - 21.43e0, 6) AS DOUBLE) END AS automated_readability_index, CASE WHEN sents > 0 THEN CAST(round(1.043e0 * sqrt(30.0e0 * polysyllables / sents) + 3.1291e0, 6) AS DOUBLE) END AS smog_index
+  FROM counted
+)"""
+LONG = METRICS + ", long AS (SELECT article_id, year, corpus, article_type, word_count, metric, v FROM metrics @unpivot@ WHERE v IS NOT NULL)"
+# numeric series by year: medians of the article metrics
+SERIES = LONG + """, series AS (SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY metric, year
+)"""
+STUDENTS = LONG + """, series AS (SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long WHERE article_type <> 'letter' GROUP BY metric, year
+)"""
+CORPORA = LONG + """, series AS (SELECT concat(corpus, ':', metric) AS metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY corpus, metric, year
 )"""
 
 
-def _segmented(bps: str) -> str:
-    return SERIES + f""", ends AS (SELECT metric, min(year) AS lo, max(year) AS hi FROM series GROUP BY metric
-), bps AS (SELECT metric, CAST(bp AS INT) AS bp FROM (SELECT metric, {bps} AS bp FROM ends)
+def _segmented(bps: str, series: str = SERIES, least_years: int = 0) -> str:
+    """Two lines before and from each breakpoint on: joint R2; ``line``: one line over all years.  Years count from 2000."""
+    return series + f""", ends AS (SELECT metric, min(year) AS lo, max(year) AS hi FROM series GROUP BY metric HAVING count(*) >= {least_years}
+), bps AS (SELECT metric, lo, hi, CAST(bp AS INT) AS bp FROM (SELECT metric, lo, hi, {bps} AS bp FROM ends) x
 ), sides AS (
-  SELECT s.metric, bp, CASE WHEN year < bp THEN 0 ELSE 1 END AS side, count(*) AS n, CAST(sum(year) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy,
-         CAST(sum(year * y) AS BIGINT) AS sxy, CAST(sum(CAST(year AS BIGINT) * year) AS BIGINT) AS sxx, CAST(sum(y * y) AS BIGINT) AS syy
-  FROM series s JOIN bps ON s.metric = bps.metric GROUP BY s.metric, bp, CASE WHEN year < bp THEN 0 ELSE 1 END
-), fits AS (
-  SELECT metric, bp, side, n, sx, sy, syy, n * sxx - sx * sx AS vx, n * sxy - sx * sy AS cxy, n * syy - sy * sy AS vy FROM sides
+  SELECT s.metric, bp, CASE WHEN year < bp THEN 0 ELSE 1 END AS side, CAST(count(*) AS DOUBLE) AS n, avg(CAST(year - 2000 AS DOUBLE)) AS mx, avg(y) AS my,
+         sum(CAST(year - 2000 AS DOUBLE) * (year - 2000)) AS sxx, sum((year - 2000) * y) AS sxy, sum(y * y) AS syy
+  FROM series s JOIN bps ON s.metric = bps.metric WHERE bp > lo AND bp <= hi GROUP BY s.metric, bp, CASE WHEN year < bp THEN 0 ELSE 1 END
+), fits AS (SELECT metric, bp, side, n, my, sxx - n * mx * mx AS vx, sxy - n * mx * my AS cxy, syy - n * my * my AS vy, syy FROM sides
 ), joint AS (
-  SELECT metric, bp, min(n) AS least, sum(n) AS n, sum(sy) AS sy, sum(syy) AS syy,
-         sum(CASE WHEN vx = 0 THEN vy / CAST(n AS DOUBLE) ELSE (vy - CAST(cxy AS DOUBLE) * cxy / vx) / n END) AS rest,
-         sum(CASE WHEN side = 0 AND vx <> 0 THEN CAST(cxy AS DOUBLE) / vx END) AS slope_before, sum(CASE WHEN side = 1 AND vx <> 0 THEN CAST(cxy AS DOUBLE) / vx END) AS slope_after
+  SELECT metric, bp, sum(n) AS n, sum(n * my) AS sy, sum(syy) AS syy, sum(greatest(0e0, vy - CASE WHEN vx > 0 THEN cxy * cxy / vx ELSE 0e0 END)) AS rest,
+         sum(CASE WHEN side = 0 THEN cxy / nullif(vx, 0e0) END) AS slope_before, sum(CASE WHEN side = 1 THEN cxy / nullif(vx, 0e0) END) AS slope_after
   FROM fits GROUP BY metric, bp HAVING count(*) = 2 AND min(n) >= 2
 ), r2 AS (
-  SELECT metric, bp, round(CASE WHEN n * syy = sy * sy THEN 0 ELSE 1 - rest / (syy - CAST(sy AS DOUBLE) * sy / n) END, 4) AS r2, slope_before, slope_after FROM joint
+  SELECT metric, bp, CAST(round(CASE WHEN syy - sy * sy / n <= 1e-12 * syy THEN 0e0 ELSE 1 - rest / (syy - sy * sy / n) END, 4) AS DOUBLE) AS r2, CAST(round(slope_before, 6) AS DOUBLE) AS slope_before, CAST(round(slope_after, 6) AS DOUBLE) AS slope_after FROM joint
+), line AS (
+  SELECT metric, count(*) AS n_years, CAST(round(@slope@, 6) AS DOUBLE) AS linear_slope, CAST(round(coalesce(@r2@, 0e0), 4) AS DOUBLE) AS linear_r2 FROM series GROUP BY metric
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY r2 DESC, bp) AS r FROM r2
 )"""
 
@@ -84,13 +117,11 @@ def _mann_whitney(values: str) -> str:
 
 _METRIC_VALUES = """SELECT 'n_chars' AS metric, quality AS g, n_chars AS v FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id
   UNION ALL SELECT 'n_words' AS metric, quality AS g, CAST(@word_count@ AS BIGINT) AS v FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id"""
-_P = """, p AS (SELECT metric, n_a, n_b, u2, exp(-abs(u2 / 2.0 - n_a * n_b / 2.0) / (n_a + n_b)) AS p FROM u)"""
-MATTR = TOKENS + """, sizes AS (SELECT article_id, @len@(k) AS n FROM lists
-), prev AS (SELECT article_id, pos, coalesce(lag(pos) OVER (PARTITION BY article_id, tok ORDER BY pos), -1) AS p FROM tokens
-), c AS (SELECT prev.article_id, n, CASE WHEN n >= 100 THEN greatest(0, least(pos, n - 100) - greatest(p + 1, pos - 99, 0) + 1) ELSE CASE WHEN p = -1 THEN 1 ELSE 0 END END AS x FROM prev JOIN sizes ON prev.article_id = sizes.article_id
-), m AS (SELECT article_id, CAST(sum(x) AS BIGINT) AS num FROM c GROUP BY article_id
-), mattr AS (SELECT sizes.article_id, coalesce(num, 0) AS numerator, CAST(CASE WHEN n >= 100 THEN 100 * (n - 99) ELSE n END AS BIGINT) AS denominator FROM sizes LEFT JOIN m ON sizes.article_id = m.article_id
-)"""
+_PERIODS = "year BETWEEN 2015 AND 2019 OR year BETWEEN 2024 AND 2026"
+_POST = "CASE WHEN year >= 2024 THEN 1 ELSE 0 END"
+# metric, g (0 before, 1 after) and v of all measures, with a stratum in front of the metric's name
+_strata = lambda key, where="1 = 1", source="long": LONG + f", strata AS (SELECT {key} AS stratum, metric, {_POST} AS g, v FROM {source} WHERE ({_PERIODS}) AND {where}), " + _mann_whitney("SELECT concat(stratum, ':', metric) AS metric, g, v FROM strata")
+_EFFECT = "n_a, n_b, u2 / 2.0e0 AS u, ties, 1 - u2 / (CAST(n_a AS DOUBLE) * n_b) AS effect_size"
 GUEST = ARTICLES + """, named AS (SELECT article_id, year, corpus, author_id, CASE WHEN article_type = 'letter' THEN 'Letter to the editor' ELSE 'Piece' END AS title FROM a
 ), shares AS (SELECT author_id, count(*) AS own FROM named WHERE author_id IS NOT NULL GROUP BY author_id
 ), everyone AS (SELECT count(author_id) AS total FROM named
@@ -103,6 +134,8 @@ GUEST = ARTICLES + """, named AS (SELECT article_id, year, corpus, author_id, CA
 _VECTORS = "v AS (SELECT vec_id, label, @ints@ AS e FROM $embeddings)"
 _W = "WITH "
 
+_WIDENED = " SELECT b.metric, b.bp AS best_breakpoint, b.r2 AS best_r2, s.bp AS runner_up_breakpoint, s.r2 AS runner_up_r2, CAST(round(b.r2 - s.r2, 4) AS DOUBLE) AS r2_gap, b.bp BETWEEN 2021 AND 2024 AS in_window FROM ranked b LEFT JOIN ranked s ON b.metric = s.metric AND s.r = 2 WHERE b.r = 1"
+
 TEXTS: dict[str, str] = {
     "articles_view": _W + ARTICLES + " SELECT article_id, date, year, month, quarter, corpus, author_id, article_type, word_count, @sha256@ AS text_hash FROM a",
     "length_filter": _W + ARTICLES + " SELECT article_id, word_count FROM a WHERE word_count BETWEEN 50 AND 15000",
@@ -121,21 +154,21 @@ TEXTS: dict[str, str] = {
     "ngrams_by_year": _W + GRAMS + " SELECT year, n, ngram, c AS count, total AS total_ngrams FROM ng",
     "ngram_changes": _W + GRAMS + ", pre AS (SELECT n, ngram, sum(1000000.0 * c / total) / count(*) AS m FROM ng WHERE year BETWEEN 2015 AND 2019 GROUP BY n, ngram), post AS (SELECT n, ngram, sum(1000000.0 * c / total) / count(*) AS m FROM ng WHERE year BETWEEN 2023 AND 2026 GROUP BY n, ngram) SELECT coalesce(pre.n, post.n) AS n, coalesce(pre.ngram, post.ngram) AS ngram, CAST(round(coalesce(pre.m, 0), 3) AS DOUBLE) AS pre_freq, CAST(round(coalesce(post.m, 0), 3) AS DOUBLE) AS post_freq FROM pre FULL OUTER JOIN post ON pre.n = post.n AND pre.ngram = post.ngram",
     "tfidf_by_year": _W + ARTICLES + """, lists AS (SELECT year, @wide_tokens@ AS k FROM a), t AS (SELECT year, tok AS term FROM lists @unnest@), tf AS (SELECT year, term, count(*) AS n FROM t GROUP BY year, term
-), terms AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term), vocab AS (SELECT term, df FROM (SELECT *, row_number() OVER (ORDER BY total DESC, term) AS r FROM terms) x WHERE r <= 1000), docs AS (SELECT count(DISTINCT year) AS nd FROM a
+), terms AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term), vocab AS (SELECT term, df FROM terms ORDER BY total DESC, term LIMIT 1000), docs AS (SELECT count(DISTINCT year) AS nd FROM a
 ), w AS (SELECT year, tf.term, (1 + ln(n)) * (ln((1.0 + nd) / (1.0 + df)) + 1) AS w FROM tf JOIN vocab ON tf.term = vocab.term CROSS JOIN docs), norms AS (SELECT year, sqrt(sum(w * w)) AS nm FROM w GROUP BY year
 ), s AS (SELECT w.year, term, round(w / nm, 9) AS score FROM w JOIN norms ON w.year = norms.year), r AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY score DESC, term) AS r FROM s) SELECT year, term, CAST(r AS INT) AS rank FROM r WHERE r <= 200""",
-    "mattr": _W + MATTR + " SELECT article_id, numerator, denominator FROM mattr",
-    "ttr_metrics": _W + TOKENS + ", types AS (SELECT article_id, tok, count(*) AS n FROM tokens GROUP BY article_id, tok) SELECT article_id, CAST(sum(n) AS BIGINT) AS n_tokens, count(*) AS n_types, CAST(sum(CASE WHEN n = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_hapax, count(*) / sqrt(CAST(sum(n) AS DOUBLE)) AS root_ttr FROM types GROUP BY article_id",
-    "func_words": _W + TOKENS + " SELECT article_id, CAST(@len@(@filter@(k, @arrow@ x IN (@function_words@))) AS BIGINT) AS n_function, CAST(@len@(k) AS BIGINT) AS n_tokens FROM lists",
-    "sentence_stats": _W + ARTICLES + ", s AS (SELECT article_id, @transform@(@sentences@, @arrow@ CAST(@runs_in_x@ AS BIGINT)) AS k FROM a), e AS (SELECT article_id, tok FROM s @unnest@) SELECT article_id, count(*) AS n_sentences, CAST(sum(tok) AS BIGINT) AS n_tokens, CAST(@median[tok]@ AS DOUBLE) AS median_length FROM e GROUP BY article_id",
-    "readability": _W + ARTICLES + ", l AS (SELECT article_id, CAST(@len@(@sentences@) AS BIGINT) AS s, @alpha@ AS k FROM a), x AS (SELECT article_id, s, tok AS x FROM l @unnest@), y AS (SELECT article_id, s, length(x) AS c, greatest(1, @vowel_groups@ - CASE WHEN x LIKE '%e' AND @vowel_groups@ > 1 THEN 1 ELSE 0 END) AS y FROM x), t AS (SELECT article_id, min(s) AS s, count(*) AS w, CAST(sum(c) AS BIGINT) AS c, CAST(sum(y) AS BIGINT) AS y, CAST(sum(CASE WHEN y >= 3 THEN 1 ELSE 0 END) AS BIGINT) AS p FROM y GROUP BY article_id) SELECT article_id, s AS sentences, w AS words, c AS letters, y AS syllables, p AS polysyllables, CAST(round(206.835e0 - 1.015e0 * w / s - 84.6e0 * y / w, 6) AS DOUBLE) AS flesch_reading_ease, CAST(round(0.39e0 * w / s + 11.8e0 * y / w - 15.59e0, 6) AS DOUBLE) AS flesch_kincaid_grade, CAST(round(4.71e0 * c / w + 0.5e0 * w / s - 21.43e0, 6) AS DOUBLE) AS automated_readability_index, CAST(round(1.043e0 * sqrt(30.0e0 * p / s) + 3.1291e0, 6) AS DOUBLE) AS smog_index FROM t WHERE s > 0",
-    "yearly_metrics": _W + MATTR + ", y AS (SELECT year, CAST(numerator AS DOUBLE) / denominator AS m, @len@(k) AS n FROM mattr JOIN lists ON mattr.article_id = lists.article_id WHERE denominator > 0) SELECT year, count(*) AS n, CAST(@median[m]@ AS DOUBLE) AS mattr_median, CAST(@median[n]@ AS DOUBLE) AS tokens_median, CAST(round(stddev_samp(n), 6) AS DOUBLE) AS tokens_std FROM y GROUP BY year",
+    "mattr": _W + METRICS + " SELECT article_id, mattr FROM metrics",
+    "ttr_metrics": _W + METRICS + " SELECT article_id, token_count, unique_word_count, ttr, root_ttr, hapax_ratio FROM metrics",
+    "func_words": _W + METRICS + " SELECT article_id, func_word_ratio FROM metrics",
+    "sentence_stats": _W + METRICS + " SELECT article_id, sentence_count, avg_sentence_len, med_sentence_len FROM metrics",
+    "readability": _W + METRICS + " SELECT article_id, flesch_reading_ease, flesch_kincaid_grade, automated_readability_index, smog_index FROM metrics",
+    "yearly_metrics": _W + LONG + " SELECT year, metric, count(*) AS n, CAST(round(@median[v]@, 6) AS DOUBLE) AS median, CAST(round(avg(v), 6) AS DOUBLE) AS mean, CAST(round(stddev_samp(v), 6) AS DOUBLE) AS std FROM long GROUP BY year, metric",
     "resume_anti_join": "SELECT d.doc_id, d.n_chars FROM $documents d @anti@ $labels l ON d.doc_id = l.doc_id",
     "author_lookup": "SELECT d.doc_id, coalesce(n_name, 'unknown') AS author_name FROM $documents d LEFT JOIN $nation n ON CAST(substr(source, 4) AS BIGINT) = n_nationkey",
     "category_resolve": "SELECT o_orderkey, n_name AS category FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $nation ON c_nationkey = n_nationkey",
-    "article_type": "SELECT conv_id, turn, CASE WHEN lower(role) IN ('letter', 'community') THEN 'letter' WHEN lower(role) = 'editorial' THEN 'editorial' WHEN lower(role) = 'user' THEN 'opinion' WHEN lower(role) = 'assistant' THEN 'news' ELSE 'other' END AS article_type FROM $conversations",
+    "article_type": "SELECT doc_id, CASE WHEN @has[letters]@ OR @has[letter]@ OR @has[community]@ THEN 'letter' WHEN @has[editorial]@ OR @has[editorials]@ THEN 'editorial' WHEN @has[op-ed]@ OR @has[op-eds]@ OR @has[oped]@ THEN 'op-ed' WHEN @has[column]@ OR @has[columnists]@ OR @has[columnist]@ THEN 'column' WHEN @has[opinion]@ OR @has[opinions]@ THEN 'opinion' WHEN @has[news]@ OR @has[university]@ OR @has[local]@ OR @has[national]@ OR @has[world]@ THEN 'news' ELSE 'other' END AS article_type FROM (SELECT doc_id, @labels@ AS labels FROM $documents) t",
     "api_records": "SELECT event_id, coalesce(@json[k]@, '') AS k, event_type FROM $events",
-    "url_dates": "SELECT doc_id, @url_date@ AS date FROM (SELECT doc_id, concat('http://x/20', CAST(10 + doc_id % 17 AS STRING), '/0', CAST(1 + doc_id % 9 AS STRING), '/1', CAST(doc_id % 9 AS STRING), '/a') AS u FROM $documents) t",
+    "url_dates": "SELECT doc_id, CASE WHEN @url_found@ THEN @url_date@ END AS date, coalesce(CASE WHEN @url_found@ THEN @url_date@ END BETWEEN '2012-01-01' AND '2020-12-31', FALSE) AS in_range FROM (SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN concat('http://x/about/', CAST(doc_id AS STRING)) ELSE concat('http://x/20', CAST(10 + doc_id % 17 AS STRING), '/0', CAST(1 + doc_id % 9 AS STRING), '/1', CAST(doc_id % 9 AS STRING), '/a') END AS u FROM $documents) t",
     "period_labels": _W + ARTICLES + " SELECT article_id, CASE WHEN year <= 2019 THEN '2015-2019' WHEN year <= 2022 THEN '2020-2022' WHEN year = 2023 THEN '2023' ELSE '2024-2026' END AS period FROM a",
     "text_hashes": "SELECT doc_id, @sha256@ AS text_hash, substr(text, 1, 4096) AS head FROM $documents",
     "composition": _W + ARTICLES + ", c AS (SELECT year, sum(CASE WHEN corpus = 'opinions' THEN 1 ELSE 0 END) AS o, sum(CASE WHEN corpus = 'news' THEN 1 ELSE 0 END) AS n FROM a GROUP BY year) SELECT year, CAST(o AS BIGINT) AS n_opinions, CAST(n AS BIGINT) AS n_news, CAST(o + n AS BIGINT) AS n_total, CAST(o AS DOUBLE) / CAST(o + n AS DOUBLE) AS opinions_share FROM c",
@@ -147,13 +180,13 @@ TEXTS: dict[str, str] = {
     "author_means": _W + ARTICLES + " SELECT author_id, count(*) AS n, CAST(sum(word_count) AS DOUBLE) / count(*) AS mean_words FROM a WHERE author_id IS NOT NULL GROUP BY author_id",
     "length_trends": _W + ARTICLES + " SELECT corpus, year, count(*) AS n, CAST(@median[word_count]@ AS DOUBLE) AS median_words, CAST(sum(word_count) AS DOUBLE) / count(*) AS mean_words FROM a GROUP BY corpus, year",
     "mann_whitney": _W + _mann_whitney(_METRIC_VALUES) + " SELECT metric, n_a, n_b, u2 / 2.0e0 AS u, ties, 1 - u2 / (CAST(n_a AS DOUBLE) * n_b) AS effect_size FROM u",
-    "within_corpus_tests": _W + _mann_whitney("SELECT CASE WHEN lang = 'en' THEN 'opinions' ELSE 'news' END AS metric, quality AS g, n_chars AS v FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id") + " SELECT metric AS corpus, n_a, n_b, u2 / 2.0e0 AS u, 1 - u2 / (CAST(n_a AS DOUBLE) * n_b) AS effect_size FROM u WHERE n_a >= 5 AND n_b >= 5",
-    "genre_stratified_tests": _W + _mann_whitney("SELECT CASE d.doc_id % 5 WHEN 0 THEN 'column' WHEN 1 THEN 'opinion' WHEN 2 THEN 'op-ed' WHEN 3 THEN 'editorial' ELSE 'letter' END AS metric, quality AS g, n_chars AS v FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id") + " SELECT metric AS article_type, n_a, n_b, u2 / 2.0e0 AS u, 1 - u2 / (CAST(n_a AS DOUBLE) * n_b) AS effect_size FROM u WHERE n_a >= 5 AND n_b >= 5",
+    "within_corpus_tests": _W + _strata("corpus") + f" SELECT @part[1]@ AS corpus, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 5 AND n_b >= 5",
+    "genre_stratified_tests": _W + _strata("article_type") + f" SELECT @part[1]@ AS article_type, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 20 AND n_b >= 20",
     "fdr_bh": _W + "p AS (SELECT s_suppkey AS id, (s_suppkey * 7919 % 997 + 1) / 1000.0e0 AS p FROM $supplier), n AS (SELECT count(*) AS m FROM p), r AS (SELECT id, p, row_number() OVER (ORDER BY p, id) AS r, m FROM p CROSS JOIN n) SELECT id, p, least(1.0e0, min(p * m / r) OVER (ORDER BY p DESC, id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS p_corrected FROM r",
-    "segmented_fit": _W + _segmented("@range_bps@") + " SELECT metric, bp AS breakpoint, r2 FROM r2",
-    "changepoint": _W + _segmented("@range_bps@") + " SELECT metric, bp AS breakpoint, r2, CAST(round(slope_after - slope_before, 6) AS DOUBLE) AS slope_change FROM ranked WHERE r = 1",
-    "widened_changepoint": _W + _segmented("@range_wide@") + " SELECT b.metric, b.bp AS best_breakpoint, b.r2 AS best_r2, s.bp AS runner_up_breakpoint, s.r2 AS runner_up_r2 FROM ranked b LEFT JOIN ranked s ON b.metric = s.metric AND s.r = 2 WHERE b.r = 1",
-    "ols_trend": _W + SERIES + ", s AS (SELECT metric, count(*) AS n, CAST(sum(year) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy, CAST(sum(year * y) AS BIGINT) AS sxy, CAST(sum(CAST(year AS BIGINT) * year) AS BIGINT) AS sxx FROM series GROUP BY metric) SELECT metric, n AS n_years, CAST(n * sxy - sx * sy AS DOUBLE) / CAST(n * sxx - sx * sx AS DOUBLE) AS slope FROM s",
+    "segmented_fit": _W + _segmented("@range_bps@") + " SELECT metric, bp AS breakpoint, r2, slope_before, slope_after FROM r2",
+    "changepoint": _W + _segmented("@range_bps@", SERIES, 6) + " SELECT b.metric, b.bp AS breakpoint, n_years, b.r2, slope_before, slope_after, linear_slope, linear_r2, CAST(round(b.r2 - linear_r2, 4) AS DOUBLE) AS r2_improvement FROM ranked b JOIN line ON b.metric = line.metric WHERE b.r = 1",
+    "widened_changepoint": _W + _segmented("@range_wide@", CORPORA, 6) + _WIDENED,
+    "ols_trend": _W + SERIES + " SELECT metric, count(*) AS n_years, CAST(round(@slope@, 6) AS DOUBLE) AS slope, CAST(round(@intercept@, 4) AS DOUBLE) AS intercept, CAST(round(@r2@, 6) AS DOUBLE) AS r2 FROM series GROUP BY metric",
     "spearman_trend": _W + SERIES + ", r AS (SELECT metric, 2 * rank() OVER (PARTITION BY metric ORDER BY year) + count(*) OVER (PARTITION BY metric, year) - 1 AS rx, 2 * rank() OVER (PARTITION BY metric ORDER BY y) + count(*) OVER (PARTITION BY metric, y) - 1 AS ry FROM series), s AS (SELECT metric, count(*) AS n, CAST(sum(rx) AS BIGINT) AS x, CAST(sum(ry) AS BIGINT) AS y, CAST(sum(rx * ry) AS BIGINT) AS xy, CAST(sum(rx * rx) AS BIGINT) AS xx, CAST(sum(ry * ry) AS BIGINT) AS yy FROM r GROUP BY metric) SELECT metric, n AS n_years, CAST(n * xy - x * y AS DOUBLE) / sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE)) AS rho FROM s WHERE n >= 4",
     "kendall_trend": _W + SERIES + " SELECT a.metric, CAST(sum(sign(b.y - a.y)) AS BIGINT) AS concordance, count(*) AS n_pairs FROM series a JOIN series b ON a.metric = b.metric AND a.year < b.year GROUP BY a.metric",
     "length_bins": _W + "v AS (SELECT l.quality AS g, CAST(n_chars AS DOUBLE) AS x FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id), e AS (SELECT @edges@ AS q FROM v WHERE g = 0), b AS (SELECT g, 1 + CASE WHEN x > @edge[0]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[1]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[2]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[3]@ THEN 1 ELSE 0 END AS bin FROM v CROSS JOIN e) SELECT CAST(bin AS INT) AS length_bin, CAST(sum(1 - g) AS BIGINT) AS n_pre, CAST(sum(g) AS BIGINT) AS n_post FROM b GROUP BY bin",
@@ -161,4 +194,32 @@ TEXTS: dict[str, str] = {
     "between_group_similarity": _W + _VECTORS + ", e AS (SELECT label, pos, x FROM v @unnest_e@), s AS (SELECT label, pos, CAST(sum(x) AS BIGINT) AS x FROM e GROUP BY label, pos), c AS (SELECT label, count(*) AS n FROM v GROUP BY label) SELECT a.label AS label_a, b.label AS label_b, CAST(sum(a.x * b.x) AS DOUBLE) / (CAST(min(ca.n) AS DOUBLE) * min(cb.n)) AS mean_cross FROM s a JOIN s b ON a.pos = b.pos AND a.label < b.label JOIN c ca ON a.label = ca.label JOIN c cb ON b.label = cb.label GROUP BY a.label, b.label",
     "mean_pairwise_similarity": _W + _VECTORS + ", e AS (SELECT label, pos, x FROM v @unnest_e@), s AS (SELECT label, pos, CAST(sum(x) AS BIGINT) AS x, CAST(sum(x * x) AS BIGINT) AS q FROM e GROUP BY label, pos), c AS (SELECT label, count(*) AS n FROM v GROUP BY label) SELECT s.label, CAST(sum(s.x * s.x - s.q) AS DOUBLE) / (CAST(min(n) AS DOUBLE) * (min(n) - 1)) AS mean_sim FROM s JOIN c ON s.label = c.label GROUP BY s.label HAVING min(n) >= 2",
     "concentration_by_user": _W + "p AS (SELECT user_id, count(*) AS n FROM $events GROUP BY user_id) SELECT count(*) AS n_users, CAST(sum(n) AS BIGINT) AS n_events, CAST(max(n) AS BIGINT) AS top1, CAST(sum(n * n) AS BIGINT) AS squares FROM p",
+    "article_metrics": _W + METRICS + " SELECT * FROM metrics",
+    "period_tests": _W + _strata("'all'") + f" SELECT @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 5 AND n_b >= 5",
+    "period_medians": _W + LONG + f" SELECT metric, {_POST} AS g, count(*) AS n, CAST(round(@median[v]@, 6) AS DOUBLE) AS median FROM long WHERE {_PERIODS} GROUP BY metric, {_POST}",
+    "student_tests": _W + _strata("'student'", "article_type <> 'letter'") + f" SELECT @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 15 AND n_b >= 15",
+    "guest_vs_student": _W + LONG + f", strata AS (SELECT {_POST} AS stratum, metric, CASE WHEN article_type = 'letter' THEN 0 ELSE 1 END AS g, v FROM long WHERE {_PERIODS}), " + _mann_whitney("SELECT concat(CAST(stratum AS STRING), ':', metric) AS metric, g, v FROM strata") + f" SELECT CASE WHEN @part[1]@ = '0' THEN '2015-2019' ELSE '2024-2026' END AS period, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 15 AND n_b >= 15",
+    "length_stratified_tests": _W + LONG + f", span AS (SELECT * FROM long WHERE {_PERIODS}), cuts AS (SELECT @edges_words@ AS q FROM metrics WHERE year BETWEEN 2015 AND 2019), strata AS (SELECT 1 + CASE WHEN word_count > @edge[0]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[1]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[2]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[3]@ THEN 1 ELSE 0 END AS stratum, metric, {_POST} AS g, v FROM span CROSS JOIN cuts), " + _mann_whitney("SELECT concat(CAST(stratum AS STRING), ':', metric) AS metric, g, v FROM strata") + f", e AS (SELECT @part[1]@ AS length_bin, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 20 AND n_b >= 20) SELECT length_bin, metric, n_a, n_b, CAST(round(effect_size, 9) AS DOUBLE) AS effect_size FROM e UNION ALL SELECT 'POOLED' AS length_bin, metric, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, CAST(round(sum(effect_size * least(n_a, n_b)) / sum(least(n_a, n_b)), 9) AS DOUBLE) AS effect_size FROM e GROUP BY metric",
+    "author_level_tests": _W + METRICS + f", named AS (SELECT metrics.article_id, a.author_id, metrics.year, mattr FROM metrics JOIN a ON metrics.article_id = a.article_id WHERE a.author_id IS NOT NULL AND (metrics.{_PERIODS.replace('OR year', 'OR metrics.year')})), means AS (SELECT author_id, {_POST} AS g, CAST(round(avg(mattr), 9) AS DOUBLE) AS v FROM named GROUP BY author_id, {_POST}), " + _mann_whitney("SELECT 'mattr' AS metric, g, v FROM means") + f" SELECT metric, {_EFFECT} FROM u",
+    "student_changepoint": _W + _segmented("@range_wide@", STUDENTS, 6) + _WIDENED,
+    "student_yearly": _W + STUDENTS + " SELECT metric, year, y AS median FROM series",
+    "author_concentration_students": _W + ARTICLES + ", p AS (SELECT author_id, count(*) AS n FROM a WHERE author_id IS NOT NULL AND article_type <> 'letter' GROUP BY author_id), r AS (SELECT *, row_number() OVER (ORDER BY n DESC, author_id) AS r FROM p) SELECT count(*) AS n_authors, CAST(sum(n) AS BIGINT) AS n_articles, CAST(sum(CASE WHEN r <= 10 THEN n ELSE 0 END) AS BIGINT) AS top10 FROM r",
+    "genre_shares": _W + ARTICLES + ", c AS (SELECT year, article_type, count(*) AS n FROM a GROUP BY year, article_type), t AS (SELECT year, sum(n) AS total FROM c GROUP BY year) SELECT c.year, article_type, n, CAST(n AS DOUBLE) / CAST(total AS DOUBLE) AS share FROM c JOIN t ON c.year = t.year",
+    "safe_division": "SELECT l_orderkey, l_linenumber, coalesce(CAST(l_quantity AS DOUBLE) / nullif(CAST(l_linenumber - 1 AS DOUBLE), 0e0), 0e0) AS ratio FROM $lineitem",
+    "batches": "SELECT s_suppkey, CAST(floor((row_number() OVER (ORDER BY s_suppkey) - 1) / 64) AS BIGINT) AS batch FROM $supplier",
+    "category_ids": "SELECT n_nationkey AS id FROM $nation WHERE lower(n_name) IN ('france', 'nation_3', 'japan') OR lower(n_name) LIKE 'nation_1%'",
+    "parsed_dates": "SELECT doc_id, CAST(year(d) AS INT) AS year, CAST(quarter(d) AS INT) AS quarter FROM (SELECT doc_id, @try_date[substr(t, 1, 10)]@ AS d FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '2019-03-31T10:00:00' WHEN 1 THEN '2026-10-01' WHEN 2 THEN 'not-a-date' ELSE '' END AS t FROM $documents) x) y",
+    "clean_rows": _W + ARTICLES + " SELECT article_id, year, quarter, coalesce(nullif(article_type, ''), corpus) AS category, word_count, CAST(length(text) AS BIGINT) AS char_count, @sha256@ AS text_hash FROM a WHERE word_count BETWEEN 50 AND 15000",
+    "similarity_spread": _W + _VECTORS + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', CAST(vec_id AS STRING))), vec_id) AS r FROM v), s AS (SELECT * FROM r WHERE r <= 300), p AS (SELECT a.label, CAST(@dot_int@ AS DOUBLE) / 16777216 AS d FROM s a JOIN s b ON a.label = b.label AND a.r < b.r) SELECT label, count(*) AS n_pairs, CAST(round(avg(d), 5) AS DOUBLE) AS mean, CAST(round(@median[d]@, 5) AS DOUBLE) AS median, CAST(round(stddev_pop(d), 5) AS DOUBLE) AS std, CAST(round(@tenth[d]@, 5) AS DOUBLE) AS p10, CAST(round(@ninetieth[d]@, 5) AS DOUBLE) AS p90 FROM p GROUP BY label HAVING count(*) >= 1",
+    "unit_norms": "SELECT vec_id, abs(n - 1) <= 0.001 AS is_unit FROM (SELECT vec_id, @norm@ AS n FROM $embeddings) t",
+    "similarity_groups": _W + _VECTORS + ", groups AS (SELECT 'all' AS grp, e FROM v UNION ALL SELECT 'even' AS grp, e FROM v WHERE vec_id % 2 = 0 UNION ALL SELECT concat('label ', CAST(label AS STRING)) AS grp, e FROM v), e AS (SELECT grp, pos, x FROM groups @unnest_e@), s AS (SELECT grp, pos, CAST(sum(x) AS BIGINT) AS x, CAST(sum(x * x) AS BIGINT) AS q, count(*) AS n FROM e GROUP BY grp, pos) SELECT grp, min(n) AS n_used, CASE WHEN min(n) >= 10 THEN CAST(sum(CAST(x AS DOUBLE) * x - q) AS DOUBLE) / (CAST(min(n) AS DOUBLE) * (min(n) - 1)) END AS mean_sim FROM s GROUP BY grp",
+    "chart_mattr": _W + METRICS + " SELECT year, CAST(round(@median[mattr]@, 6) AS DOUBLE) AS median_mattr, CAST(round(avg(mattr), 6) AS DOUBLE) AS mean_mattr, CAST(round(avg(mattr) - stddev_samp(mattr), 6) AS DOUBLE) AS band_low, CAST(round(avg(mattr) + stddev_samp(mattr), 6) AS DOUBLE) AS band_high FROM metrics GROUP BY year",
+    "chart_mattr_by_period": _W + METRICS + ", p AS (SELECT CASE WHEN year <= 2019 THEN '2015-2019' WHEN year <= 2022 THEN '2020-2022' WHEN year = 2023 THEN '2023' ELSE '2024-2026' END AS period, mattr FROM metrics) SELECT period, count(*) AS n, CAST(round(@tenth[mattr]@, 6) AS DOUBLE) AS p10, CAST(round(@median[mattr]@, 6) AS DOUBLE) AS median, CAST(round(@ninetieth[mattr]@, 6) AS DOUBLE) AS p90 FROM p GROUP BY period",
+    "chart_sentences": _W + METRICS + " SELECT year, CAST(round(@median[avg_sentence_len]@, 6) AS DOUBLE) AS median_sentence_len, CAST(round(@median[flesch_reading_ease]@, 6) AS DOUBLE) AS median_reading_ease FROM metrics GROUP BY year",
+    "chart_vocabulary_total": _W + TOKENS + " SELECT year, CAST(sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) AS BIGINT) AS hits, 1000000.0e0 * sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) / count(*) AS per_million FROM tokens GROUP BY year",
+    "chart_top_words": _W + FREQ + ", m AS (SELECT word, round(sum(1000000.0e0 * n / total), 6) AS f FROM freq GROUP BY word), top AS (SELECT word FROM m ORDER BY f DESC, word LIMIT 8) SELECT freq.year, freq.word, n AS count, total AS total_words FROM freq JOIN top ON freq.word = top.word",
+    "chart_composition_change": _W + ARTICLES + ", c AS (SELECT year, CAST(sum(CASE WHEN corpus = 'opinions' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS share FROM a GROUP BY year), r AS (SELECT *, row_number() OVER (ORDER BY year) AS f, row_number() OVER (ORDER BY year DESC) AS l FROM c) SELECT max(CASE WHEN f = 1 THEN share END) AS first_share, max(CASE WHEN l = 1 THEN share END) AS last_share, max(CASE WHEN l = 1 THEN share END) - max(CASE WHEN f = 1 THEN share END) AS change FROM r",
+    "chart_vocabulary_ends": _W + FREQ + ", pre AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2015 AND 2019 GROUP BY word), post AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2023 AND 2026 GROUP BY word), d AS (SELECT pre.word, CAST(round(post.m - pre.m, 3) AS DOUBLE) AS change, CAST(round(100 * (post.m - pre.m) / pre.m, 1) AS DOUBLE) AS percent FROM pre JOIN post ON pre.word = post.word), r AS (SELECT *, row_number() OVER (ORDER BY change DESC, word) AS t, row_number() OVER (ORDER BY change, word) AS b FROM d) SELECT word, change, percent FROM r WHERE t <= 15 OR b <= 15",
+    "peak_year": _W + SERIES + ", r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY y DESC, year) AS r, row_number() OVER (PARTITION BY metric ORDER BY y, year) AS l FROM series) SELECT metric, max(CASE WHEN r = 1 THEN year END) AS peak_year, max(CASE WHEN l = 1 THEN year END) AS trough_year FROM r GROUP BY metric",
+    "p_labels": _W + "p AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 1e-20 WHEN 1 THEN 0.0004e0 WHEN 2 THEN 0.25e0 END AS p FROM $supplier) SELECT id, CASE WHEN p IS NULL THEN '' WHEN p < 1e-16 THEN '<1e-16' WHEN p < 0.001e0 THEN '<0.001' ELSE @three[p]@ END AS label FROM p",
 }

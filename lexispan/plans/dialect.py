@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions import lists
 
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
-_COMMON = {"stopwords": _quoted(lists.STOPWORDS), "function_words": _quoted(lists.FUNCTION_WORDS)}
+_COMMON = {"stopwords": _quoted(lists.STOPWORDS), "function_words": _quoted(lists.FUNCTION_WORDS), "tracked": _quoted(lists.TRACKED_VOCABULARY)}
 
 SPARK = _COMMON | {
     "tokens": r"filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0), x -> x rlike '^[a-z]{2,}$')",
@@ -23,11 +23,22 @@ SPARK = _COMMON | {
     "unnest": "LATERAL VIEW posexplode(k) u AS pos, tok", "pos": "CAST(pos AS BIGINT)",
     "median": "percentile({x}, 0.5)", "transform": "transform", "filter": "filter", "arrow": "x ->",
     "url_date": r"concat_ws('-', regexp_extract(u, '/(\\d{4})/(\\d{2})/(\\d{2})/', 1), regexp_extract(u, '/(\\d{4})/(\\d{2})/(\\d{2})/', 2), regexp_extract(u, '/(\\d{4})/(\\d{2})/(\\d{2})/', 3))",
-    "terms": "explode(array(" + _quoted(lists.TRACKED_VOCABULARY) + "))", "range_bps": "explode(sequence(1996, 2000))", "range_wide": "explode(sequence(lo + 2, hi - 1))",
+    "terms": "explode(array(" + _quoted(lists.TRACKED_VOCABULARY) + "))", "range_bps": "explode(sequence(2021, 2024))", "range_wide": "explode(sequence(lo + 2, hi - 1))",
     "edges": "percentile(x, array(0.2, 0.4, 0.6, 0.8))", "edge": "q[{i}]", 
     "ints": "transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT))", "unnest_e": "LATERAL VIEW posexplode(e) u AS pos, x",
     "dot_int": "aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0L, (s, x) -> s + x)", "json": "get_json_object(props, '$.{k}')",
     "anti": "LEFT ANTI JOIN",
+    "grams": "array_compact(concat(zip_with(k, slice(k, 2, size(k) + 1), (x, y) -> concat(x, ' ', y)), zip_with(zip_with(k, slice(k, 2, size(k) + 1), (x, y) -> concat(x, ' ', y)), slice(k, 3, size(k) + 1), (x, y) -> concat(x, ' ', y))))",
+    "edge_tokens": "CASE WHEN size(k) <= 4 THEN k ELSE concat(slice(k, 1, 2), slice(k, -2, 2)) END",
+    "by_type": "array_sort(transform(k, (x, i) -> struct(x AS t, CAST(i AS BIGINT) AS p)))",
+    "places": "transform(s0, (e, j) -> struct(e.t AS t, e.p AS p, get(s0, j - 1).t AS b, get(s0, j - 1).p AS bp, get(s0, j + 1).t AS a))", "sum_a": "aggregate", "sum_b": ", 0L, (a, y) -> a + y)",
+    "list_median": "(element_at(array_sort(sl), CAST((size(sl) - 1) div 2 AS INT) + 1) + element_at(array_sort(sl), CAST(size(sl) div 2 AS INT) + 1)) / 2e0",
+    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
+    "url_found": r"u rlike '/(\\d{4})/(\\d{2})/(\\d{2})/'", "labels": "transform(array(source, lang, CASE doc_id % 8 WHEN 0 THEN 'Letters' WHEN 1 THEN 'Op-Ed' WHEN 2 THEN 'Columnists' WHEN 3 THEN 'OPINION' WHEN 4 THEN 'Editorial' WHEN 5 THEN 'World' END, CASE WHEN doc_id % 16 = 3 THEN 'community' END), x -> lower(x))",
+    "has": "coalesce(array_contains(labels, '{x}'), FALSE)", "part": "split_part(metric, ':', {x})", "edges_words": "percentile(CAST(word_count AS DOUBLE), array(0.2, 0.4, 0.6, 0.8))",
+    "try_date": "try_to_date({x}, 'yyyy-MM-dd')", "tenth": "percentile({x}, 0.1)", "ninetieth": "percentile({x}, 0.9)", "norm": "sqrt(aggregate(embedding, 0e0, (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))",
+    "unpivot": "LATERAL VIEW inline(array(" + ", ".join(f"struct('{m}' AS metric, CAST({m} AS DOUBLE) AS v)" for m in lists.MEASURES) + ")) u AS metric, v",
+    "three": "format_string('%.3f', {x})",
 }
 DUCK = _COMMON | {
     "tokens": r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))",
@@ -41,11 +52,22 @@ DUCK = _COMMON | {
     "unnest": ", (SELECT unnest(k) AS tok, generate_subscripts(k, 1) - 1 AS pos) u", "pos": "CAST(pos AS BIGINT)",
     "median": "quantile_cont({x}, 0.5)", "transform": "list_transform", "filter": "list_filter", "arrow": "lambda x:",
     "url_date": r"concat_ws('-', regexp_extract(u, '/(\d{4})/(\d{2})/(\d{2})/', 1), regexp_extract(u, '/(\d{4})/(\d{2})/(\d{2})/', 2), regexp_extract(u, '/(\d{4})/(\d{2})/(\d{2})/', 3))",
-    "terms": "unnest([" + _quoted(lists.TRACKED_VOCABULARY) + "])", "range_bps": "unnest(range(1996, 2001))", "range_wide": "unnest(range(lo + 2, hi))",
+    "terms": "unnest([" + _quoted(lists.TRACKED_VOCABULARY) + "])", "range_bps": "unnest(range(2021, 2025))", "range_wide": "unnest(range(lo + 2, hi))",
     "edges": "quantile_cont(x, [0.2, 0.4, 0.6, 0.8])", "edge": "q[{i} + 1]", 
     "ints": "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT))", "unnest_e": ", (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos) u",
     "dot_int": "CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT)", "json": "json_extract_string(props, '$.{k}')",
     "anti": "ANTI JOIN",
+    "grams": "list_concat(list_transform(list_filter(list_zip(k, k[2:]), lambda z: z[2] IS NOT NULL), lambda z: concat(z[1], ' ', z[2])), list_transform(list_filter(list_zip(k, k[2:], k[3:]), lambda z: z[3] IS NOT NULL), lambda z: concat(z[1], ' ', z[2], ' ', z[3])))",
+    "edge_tokens": "CASE WHEN len(k) <= 4 THEN k ELSE list_concat(k[1:2], k[-2:]) END",
+    "by_type": "list_sort(list_transform(k, lambda x, i: {'t': x, 'p': i - 1}))",
+    "places": "list_transform(list_filter(list_zip(s0, list_concat([NULL], s0[1:len(s0) - 1]), list_concat(s0[2:], [NULL])), lambda z: z[1] IS NOT NULL), lambda z: {'t': z[1].t, 'p': z[1].p, 'b': z[2].t, 'bp': z[2].p, 'a': z[3].t})", "sum_a": "coalesce(CAST(list_sum", "sum_b": ") AS BIGINT), 0)",
+    "list_median": "list_aggregate(sl, 'median')",
+    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
+    "url_found": r"regexp_matches(u, '/(\d{4})/(\d{2})/(\d{2})/')", "labels": "list_transform([source, lang, CASE doc_id % 8 WHEN 0 THEN 'Letters' WHEN 1 THEN 'Op-Ed' WHEN 2 THEN 'Columnists' WHEN 3 THEN 'OPINION' WHEN 4 THEN 'Editorial' WHEN 5 THEN 'World' END, CASE WHEN doc_id % 16 = 3 THEN 'community' END], lambda x: lower(x))",
+    "has": "coalesce(list_contains(labels, '{x}'), FALSE)", "part": "split_part(metric, ':', {x})", "edges_words": "quantile_cont(CAST(word_count AS DOUBLE), [0.2, 0.4, 0.6, 0.8])",
+    "try_date": "TRY_CAST({x} AS DATE)", "tenth": "quantile_cont({x}, 0.1)", "ninetieth": "quantile_cont({x}, 0.9)", "norm": "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))",
+    "unpivot": ", (SELECT unnest([" + _quoted(lists.MEASURES) + "]) AS metric, unnest([" + ", ".join(f"CAST({m} AS DOUBLE)" for m in lists.MEASURES) + "]) AS v) u",
+    "three": "printf('%.3f', {x})",
 }
 
 
