@@ -99,9 +99,9 @@ def _segmented(bps: str, series: str = SERIES, least_years: int = 0) -> str:
          sum(CASE WHEN side = 0 THEN cxy / nullif(vx, 0e0) END) AS slope_before, sum(CASE WHEN side = 1 THEN cxy / nullif(vx, 0e0) END) AS slope_after
   FROM fits GROUP BY metric, bp HAVING count(*) = 2 AND min(n) >= 2
 ), r2 AS (
-  SELECT metric, bp, CAST(round(CASE WHEN syy - sy * sy / n <= 1e-12 * syy THEN 0e0 ELSE 1 - rest / (syy - sy * sy / n) END, 4) AS DOUBLE) AS r2, CAST(round(slope_before, 6) AS DOUBLE) AS slope_before, CAST(round(slope_after, 6) AS DOUBLE) AS slope_after FROM joint
+  SELECT metric, bp, CAST(round(CASE WHEN syy - sy * sy / n <= 1e-12 * syy THEN 0e0 ELSE 1 - rest / (syy - sy * sy / n) END, 4) AS DOUBLE) AS r2, CAST(round(slope_before, 9) AS DOUBLE) AS slope_before, CAST(round(slope_after, 9) AS DOUBLE) AS slope_after FROM joint
 ), line AS (
-  SELECT metric, count(*) AS n_years, CAST(round(@slope@, 6) AS DOUBLE) AS linear_slope, CAST(round(coalesce(@r2@, 0e0), 4) AS DOUBLE) AS linear_r2 FROM series GROUP BY metric
+  SELECT metric, count(*) AS n_years, CAST(round(@slope@, 9) AS DOUBLE) AS linear_slope, CAST(round(coalesce(@r2@, 0e0), 4) AS DOUBLE) AS linear_r2 FROM series GROUP BY metric
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY r2 DESC, bp) AS r FROM r2
 )"""
 
@@ -162,7 +162,7 @@ TEXTS: dict[str, str] = {
     "func_words": _W + METRICS + " SELECT article_id, func_word_ratio FROM metrics",
     "sentence_stats": _W + METRICS + " SELECT article_id, sentence_count, avg_sentence_len, med_sentence_len FROM metrics",
     "readability": _W + METRICS + " SELECT article_id, flesch_reading_ease, flesch_kincaid_grade, automated_readability_index, smog_index FROM metrics",
-    "yearly_metrics": _W + LONG + " SELECT year, metric, count(*) AS n, CAST(round(@median[v]@, 6) AS DOUBLE) AS median, CAST(round(avg(v), 6) AS DOUBLE) AS mean, CAST(round(stddev_samp(v), 6) AS DOUBLE) AS std FROM long GROUP BY year, metric",
+    "yearly_metrics": _W + LONG + " SELECT year, metric, count(*) AS n, CAST(round(@median[v]@, 9) AS DOUBLE) AS median, CAST(round(avg(v), 6) AS DOUBLE) AS mean, CAST(round(stddev_samp(v), 6) AS DOUBLE) AS std FROM long GROUP BY year, metric",
     "resume_anti_join": "SELECT d.doc_id, d.n_chars FROM $documents d @anti@ $labels l ON d.doc_id = l.doc_id",
     "author_lookup": "SELECT d.doc_id, coalesce(n_name, 'unknown') AS author_name FROM $documents d LEFT JOIN $nation n ON CAST(substr(source, 4) AS BIGINT) = n_nationkey",
     "category_resolve": "SELECT o_orderkey, n_name AS category FROM $orders JOIN $customer ON o_custkey = c_custkey JOIN $nation ON c_nationkey = n_nationkey",
@@ -186,7 +186,7 @@ TEXTS: dict[str, str] = {
     "segmented_fit": _W + _segmented("@range_bps@") + " SELECT metric, bp AS breakpoint, r2, slope_before, slope_after FROM r2",
     "changepoint": _W + _segmented("@range_bps@", SERIES, 6) + " SELECT b.metric, b.bp AS breakpoint, n_years, b.r2, slope_before, slope_after, linear_slope, linear_r2, CAST(round(b.r2 - linear_r2, 4) AS DOUBLE) AS r2_improvement FROM ranked b JOIN line ON b.metric = line.metric WHERE b.r = 1",
     "widened_changepoint": _W + _segmented("@range_wide@", CORPORA, 6) + _WIDENED,
-    "ols_trend": _W + SERIES + " SELECT metric, count(*) AS n_years, CAST(round(@slope@, 6) AS DOUBLE) AS slope, CAST(round(@intercept@, 4) AS DOUBLE) AS intercept, CAST(round(@r2@, 6) AS DOUBLE) AS r2 FROM series GROUP BY metric",
+    "ols_trend": _W + SERIES + " SELECT metric, count(*) AS n_years, CAST(round(@slope@, 9) AS DOUBLE) AS slope, CAST(round(@intercept@, 4) AS DOUBLE) AS intercept, CAST(round(@r2@, 6) AS DOUBLE) AS r2 FROM series GROUP BY metric",
     "spearman_trend": _W + SERIES + ", r AS (SELECT metric, 2 * rank() OVER (PARTITION BY metric ORDER BY year) + count(*) OVER (PARTITION BY metric, year) - 1 AS rx, 2 * rank() OVER (PARTITION BY metric ORDER BY y) + count(*) OVER (PARTITION BY metric, y) - 1 AS ry FROM series), s AS (SELECT metric, count(*) AS n, CAST(sum(rx) AS BIGINT) AS x, CAST(sum(ry) AS BIGINT) AS y, CAST(sum(rx * ry) AS BIGINT) AS xy, CAST(sum(rx * rx) AS BIGINT) AS xx, CAST(sum(ry * ry) AS BIGINT) AS yy FROM r GROUP BY metric) SELECT metric, n AS n_years, CAST(n * xy - x * y AS DOUBLE) / sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE)) AS rho FROM s WHERE n >= 4",
     "kendall_trend": _W + SERIES + " SELECT a.metric, CAST(sum(sign(b.y - a.y)) AS BIGINT) AS concordance, count(*) AS n_pairs FROM series a JOIN series b ON a.metric = b.metric AND a.year < b.year GROUP BY a.metric",
     "length_bins": _W + "v AS (SELECT l.quality AS g, CAST(n_chars AS DOUBLE) AS x FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id), e AS (SELECT @edges@ AS q FROM v WHERE g = 0), b AS (SELECT g, 1 + CASE WHEN x > @edge[0]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[1]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[2]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[3]@ THEN 1 ELSE 0 END AS bin FROM v CROSS JOIN e) SELECT CAST(bin AS INT) AS length_bin, CAST(sum(1 - g) AS BIGINT) AS n_pre, CAST(sum(g) AS BIGINT) AS n_post FROM b GROUP BY bin",
@@ -196,7 +196,7 @@ TEXTS: dict[str, str] = {
     "concentration_by_user": _W + "p AS (SELECT user_id, count(*) AS n FROM $events GROUP BY user_id) SELECT count(*) AS n_users, CAST(sum(n) AS BIGINT) AS n_events, CAST(max(n) AS BIGINT) AS top1, CAST(sum(n * n) AS BIGINT) AS squares FROM p",
     "article_metrics": _W + METRICS + " SELECT * FROM metrics",
     "period_tests": _W + _strata("'all'") + f" SELECT @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 5 AND n_b >= 5",
-    "period_medians": _W + LONG + f" SELECT metric, {_POST} AS g, count(*) AS n, CAST(round(@median[v]@, 6) AS DOUBLE) AS median FROM long WHERE {_PERIODS} GROUP BY metric, {_POST}",
+    "period_medians": _W + LONG + f" SELECT metric, {_POST} AS g, count(*) AS n, CAST(round(@median[v]@, 9) AS DOUBLE) AS median FROM long WHERE {_PERIODS} GROUP BY metric, {_POST}",
     "student_tests": _W + _strata("'student'", "article_type <> 'letter'") + f" SELECT @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 15 AND n_b >= 15",
     "guest_vs_student": _W + LONG + f", strata AS (SELECT {_POST} AS stratum, metric, CASE WHEN article_type = 'letter' THEN 0 ELSE 1 END AS g, v FROM long WHERE {_PERIODS}), " + _mann_whitney("SELECT concat(CAST(stratum AS STRING), ':', metric) AS metric, g, v FROM strata") + f" SELECT CASE WHEN @part[1]@ = '0' THEN '2015-2019' ELSE '2024-2026' END AS period, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 15 AND n_b >= 15",
     "length_stratified_tests": _W + LONG + f", span AS (SELECT * FROM long WHERE {_PERIODS}), cuts AS (SELECT @edges_words@ AS q FROM metrics WHERE year BETWEEN 2015 AND 2019), strata AS (SELECT 1 + CASE WHEN word_count > @edge[0]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[1]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[2]@ THEN 1 ELSE 0 END + CASE WHEN word_count > @edge[3]@ THEN 1 ELSE 0 END AS stratum, metric, {_POST} AS g, v FROM span CROSS JOIN cuts), " + _mann_whitney("SELECT concat(CAST(stratum AS STRING), ':', metric) AS metric, g, v FROM strata") + f", e AS (SELECT @part[1]@ AS length_bin, @part[2]@ AS metric, {_EFFECT} FROM u WHERE n_a >= 20 AND n_b >= 20) SELECT length_bin, metric, n_a, n_b, CAST(round(effect_size, 9) AS DOUBLE) AS effect_size FROM e UNION ALL SELECT 'POOLED' AS length_bin, metric, CAST(sum(n_a) AS BIGINT) AS n_a, CAST(sum(n_b) AS BIGINT) AS n_b, CAST(round(sum(effect_size * least(n_a, n_b)) / sum(least(n_a, n_b)), 9) AS DOUBLE) AS effect_size FROM e GROUP BY metric",
@@ -213,9 +213,9 @@ TEXTS: dict[str, str] = {
     "similarity_spread": _W + _VECTORS + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', CAST(vec_id AS STRING))), vec_id) AS r FROM v), s AS (SELECT * FROM r WHERE r <= 300), p AS (SELECT a.label, CAST(@dot_int@ AS DOUBLE) / 16777216 AS d FROM s a JOIN s b ON a.label = b.label AND a.r < b.r) SELECT label, count(*) AS n_pairs, CAST(round(avg(d), 5) AS DOUBLE) AS mean, CAST(round(@median[d]@, 5) AS DOUBLE) AS median, CAST(round(stddev_pop(d), 5) AS DOUBLE) AS std, CAST(round(@tenth[d]@, 5) AS DOUBLE) AS p10, CAST(round(@ninetieth[d]@, 5) AS DOUBLE) AS p90 FROM p GROUP BY label HAVING count(*) >= 1",
     "unit_norms": "SELECT vec_id, abs(n - 1) <= 0.001 AS is_unit FROM (SELECT vec_id, @norm@ AS n FROM $embeddings) t",
     "similarity_groups": _W + _VECTORS + ", groups AS (SELECT 'all' AS grp, e FROM v UNION ALL SELECT 'even' AS grp, e FROM v WHERE vec_id % 2 = 0 UNION ALL SELECT concat('label ', CAST(label AS STRING)) AS grp, e FROM v), e AS (SELECT grp, pos, x FROM groups @unnest_e@), s AS (SELECT grp, pos, CAST(sum(x) AS BIGINT) AS x, CAST(sum(x * x) AS BIGINT) AS q, count(*) AS n FROM e GROUP BY grp, pos) SELECT grp, min(n) AS n_used, CASE WHEN min(n) >= 10 THEN CAST(sum(CAST(x AS DOUBLE) * x - q) AS DOUBLE) / (CAST(min(n) AS DOUBLE) * (min(n) - 1)) END AS mean_sim FROM s GROUP BY grp",
-    "chart_mattr": _W + METRICS + " SELECT year, CAST(round(@median[mattr]@, 6) AS DOUBLE) AS median_mattr, CAST(round(avg(mattr), 6) AS DOUBLE) AS mean_mattr, CAST(round(avg(mattr) - stddev_samp(mattr), 6) AS DOUBLE) AS band_low, CAST(round(avg(mattr) + stddev_samp(mattr), 6) AS DOUBLE) AS band_high FROM metrics GROUP BY year",
-    "chart_mattr_by_period": _W + METRICS + ", p AS (SELECT CASE WHEN year <= 2019 THEN '2015-2019' WHEN year <= 2022 THEN '2020-2022' WHEN year = 2023 THEN '2023' ELSE '2024-2026' END AS period, mattr FROM metrics) SELECT period, count(*) AS n, CAST(round(@tenth[mattr]@, 6) AS DOUBLE) AS p10, CAST(round(@median[mattr]@, 6) AS DOUBLE) AS median, CAST(round(@ninetieth[mattr]@, 6) AS DOUBLE) AS p90 FROM p GROUP BY period",
-    "chart_sentences": _W + METRICS + " SELECT year, CAST(round(@median[avg_sentence_len]@, 6) AS DOUBLE) AS median_sentence_len, CAST(round(@median[flesch_reading_ease]@, 6) AS DOUBLE) AS median_reading_ease FROM metrics GROUP BY year",
+    "chart_mattr": _W + METRICS + " SELECT year, CAST(round(@median[mattr]@, 9) AS DOUBLE) AS median_mattr, CAST(round(avg(mattr), 6) AS DOUBLE) AS mean_mattr, CAST(round(avg(mattr) - stddev_samp(mattr), 6) AS DOUBLE) AS band_low, CAST(round(avg(mattr) + stddev_samp(mattr), 6) AS DOUBLE) AS band_high FROM metrics GROUP BY year",
+    "chart_mattr_by_period": _W + METRICS + ", p AS (SELECT CASE WHEN year <= 2019 THEN '2015-2019' WHEN year <= 2022 THEN '2020-2022' WHEN year = 2023 THEN '2023' ELSE '2024-2026' END AS period, mattr FROM metrics) SELECT period, count(*) AS n, CAST(round(@tenth[mattr]@, 9) AS DOUBLE) AS p10, CAST(round(@median[mattr]@, 9) AS DOUBLE) AS median, CAST(round(@ninetieth[mattr]@, 9) AS DOUBLE) AS p90 FROM p GROUP BY period",
+    "chart_sentences": _W + METRICS + " SELECT year, CAST(round(@median[avg_sentence_len]@, 9) AS DOUBLE) AS median_sentence_len, CAST(round(@median[flesch_reading_ease]@, 9) AS DOUBLE) AS median_reading_ease FROM metrics GROUP BY year",
     "chart_vocabulary_total": _W + TOKENS + " SELECT year, CAST(sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) AS BIGINT) AS hits, 1000000.0e0 * sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) / count(*) AS per_million FROM tokens GROUP BY year",
     "chart_top_words": _W + FREQ + ", m AS (SELECT word, round(sum(1000000.0e0 * n / total), 6) AS f FROM freq GROUP BY word), top AS (SELECT word FROM m ORDER BY f DESC, word LIMIT 8) SELECT freq.year, freq.word, n AS count, total AS total_words FROM freq JOIN top ON freq.word = top.word",
     "chart_composition_change": _W + ARTICLES + ", c AS (SELECT year, CAST(sum(CASE WHEN corpus = 'opinions' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS share FROM a GROUP BY year), r AS (SELECT *, row_number() OVER (ORDER BY year) AS f, row_number() OVER (ORDER BY year DESC) AS l FROM c) SELECT max(CASE WHEN f = 1 THEN share END) AS first_share, max(CASE WHEN l = 1 THEN share END) AS last_share, max(CASE WHEN l = 1 THEN share END) - max(CASE WHEN f = 1 THEN share END) AS change FROM r",
