@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.lists import STOPWORDS
-from ..llm.common import text_blocks
+from ..functions.blocks import text_blocks
 
 
 #: A round that lowers the squared error by less than this share of the first one is the last.
