@@ -7,8 +7,9 @@ form a group and go through the index as one; a run is the list of groups that s
 prefix shingle.  Runs of one item are dropped.  Small runs make their pairs of groups,
 each once for all its shingles; of large runs each group is paired with one group, that
 which is the first in most of its runs; pairs are expanded to items and filtered by size and by parity signatures (each element
-of the symmetric difference flips at most one bit, so no link is lost).  What passes is
-verified on the sets themselves.
+of the symmetric difference flips at most one bit, so no link is lost).  Pairs of long
+sets, which fill these signatures, are filtered once more by wide ones, with about a bit
+for each shingle.  What passes is verified on the sets themselves.
 
 Only components are asked for, so a second round takes only the large runs that still
 hold several components, and verifies all candidates between components in them, in
@@ -34,6 +35,8 @@ from .shingles import shingle_sets
 
 #: Bits of a signature; shingles of the candidate pairs verified in one cell; items of a run compared in one cell.
 BITS, CELL_SHINGLES, CELL_ITEMS = 512, 1 << 20, 4096
+#: Most bits of a wide signature, which sets of more than BITS shingles have.
+MOST_WIDE = 1 << 16
 #: Runs of up to so many groups make all their pairs of like size at once.
 SMALL = 8
 #: A group's low bits hold its sets' size, up to this.
@@ -75,13 +78,13 @@ def _order(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return np.where(over > 0, np.log2(np.maximum(over, 1)).astype(np.uint8) + 1, 0).astype(np.uint8), bits
 
 
-def _signature(held: np.ndarray) -> bytes:
-    odd = np.bincount((held >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+def _signature(held: np.ndarray, bits: int = BITS) -> bytes:
+    odd = np.bincount((held >> np.uint64(20)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """One row per document that has a set: doc_id, n, digest, group, prefix and signature.
+    """One row per document that has a set: doc_id, n, digest, group, prefix and signatures (the wide one null for short sets).
 
     Within a task, all but one of the documents with equal sets go without prefix, and
     those with null doc_id, which link with nothing.
@@ -98,7 +101,7 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 n = len(held)
                 digest = hashlib.md5(held.tobytes()).digest()
                 if not n or doc_id is None or digest in seen:
-                    rows.append((doc_id, n, digest if n and doc_id is not None else None, None, None, None))
+                    rows.append((doc_id, n, digest if n and doc_id is not None else None, None, None, None, None))
                     continue
                 if len(seen) > _SEEN:
                     seen.clear()
@@ -108,12 +111,13 @@ def item_table(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 prefix = ranked[:length].view(np.int64)
                 name = int.from_bytes(hashlib.md5(prefix.tobytes() + n.to_bytes(8, "little")).digest()[:8], "little", signed=True)
                 group = name & ~_SIZES | min(n, _SIZES)
-                rows.append((doc_id, n, digest, group, prefix, _signature(held)))
+                wide = _signature(held, min(1 << (n - 1).bit_length(), MOST_WIDE)) if n > BITS else None
+                rows.append((doc_id, n, digest, group, prefix, _signature(held), wide))
             columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "digest", "grp", "prefix", "signature"])
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "n", "digest", "grp", "prefix", "signature", "wide"])
 
-    out = stage(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, digest binary, grp long, prefix array<long>, signature binary"), "jaccard-sets")
+    out = stage(docs.select("doc_id", "text").mapInArrow(tidy(run), "doc_id long, n long, digest binary, grp long, prefix array<long>, signature binary, wide binary"), "jaccard-sets")
     held_classes.destroy()
     return out
 
@@ -208,9 +212,38 @@ def _close(percent: int):
     return close
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
+def _folded(wide: bytes, n_bytes: int) -> np.ndarray:
+    """The wide signature that the set would have with fewer bits."""
+    out = np.frombuffer(wide, np.uint64)
+    while out.nbytes > n_bytes:
+        out = out[: len(out) // 2] ^ out[len(out) // 2 :]
+    return out
+
+
+def _alike(percent: int):
+    """Whether wide signatures allow a link between sets of ``total`` shingles together."""
+
+    @F.pandas_udf("boolean")
+    def alike(wide_a: pd.Series, wide_b: pd.Series, total: pd.Series) -> pd.Series:
+        out = np.zeros(len(total), bool)
+        for i, (x, y, n) in enumerate(zip(wide_a, wide_b, total)):
+            least = min(len(x), len(y))
+            apart = int(np.bitwise_count(_folded(x, least) ^ _folded(y, least)).sum())
+            out[i] = apart <= n - 2 * -(-percent * n // (100 + percent))
+        return pd.Series(out)
+
+    return alike
+
+
+def _verified(docs: DataFrame, items: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """Links (a, b) among pairs (token, a, b, weight): sets that are similar enough; each cell gets the texts of its pairs once."""
     once = stage(pairs.groupBy("a", "b").agg(F.min("token").alias("token"), F.min("weight").alias("weight")), "jaccard-pairs")
+    # the smaller set of a pair that can link has at least this share of both sizes
+    long = F.col("weight") * percent > BITS * (100 + percent)
+    wide = lambda c: items.where("wide is not null").select(F.col("item").alias(c), F.col("wide").alias(f"wide_{c}"))
+    tested = once.where(long).join(wide("a"), "a").join(wide("b"), "b").where(_alike(percent)("wide_a", "wide_b", "weight"))
+    pairs, once = once, stage(once.where(~long).unionByName(tested.select(*once.columns)), "jaccard-alike")
+    drop(pairs)
     many = once.groupBy("token").agg(F.ceil(F.sqrt(F.sum("weight") / F.lit(float(CELL_SHINGLES)))).cast("int").alias("split"))
     split = lambda c: F.pmod(F.xxhash64(c), F.col("split"))
     celled = stage(once.join(many, "token").select("a", "b", F.xxhash64("token", split("a"), split("b")).alias("cell")), "jaccard-cells")
@@ -244,7 +277,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     component.  Rows that repeat a doc_id are expected to have one text; each is returned.
     """
     full = item_table(docs, size, percent)
-    items = full.where("grp is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grp", "signature")).alias("x")).select("digest", F.col("x.doc_id").alias("item"), "x.n", "x.grp", "x.signature")
+    items = full.where("grp is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n", "grp", "signature", "wide")).alias("x")).select("digest", F.col("x.doc_id").alias("item"), "x.n", "x.grp", "x.signature", "x.wide")
     items = stage(items, "jaccard-items")
     tokens = full.where("grp is not null and doc_id is not null").select(F.explode("prefix").alias("token"), "grp")
     shared = stage(tokens.repartition("token").mapInArrow(tidy(_shared(percent)), "token long, grp long, other long, first long"), "jaccard-runs")
@@ -260,11 +293,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     # groups of several items: all pairs of few, else those with the first
     inside = crowded.select("grp", F.col("grp").alias("other"), F.col("grp").alias("token"), F.when(F.col("m") > SMALL, F.col("first")).alias("only")).join(x, "grp").where("only is null or x = only").drop("only").join(y, "other").where("x != y")
     close = between.unionByName(inside).where(_close(percent)("nx", "sx", "ny", "sy"))
-    links = _verified(docs, close.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("weight")), size, percent)
+    links = _verified(docs, items, close.select("token", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("weight")), size, percent)
     first = components(links)
     # runs that still hold several components
     labelled = stage(items.join(first, F.col("item") == F.col("id"), "left").select("digest", "item", "n", "grp", "signature", F.coalesce("component", "item").alias("component")), "jaccard-labelled")
-    drop(items, first)
+    drop(first)
     large = shared.where("other is null").select("token", "grp").union(labelled.groupBy("grp").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SMALL).select(F.col("grp").alias("token"), "grp"))
     ends = labelled.groupBy("grp").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("m"))
     mixed = large.join(ends, "grp").groupBy("token").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("m").alias("m")).where("low != high").select("token", F.ceil(F.col("m") / F.lit(float(CELL_ITEMS))).cast("int").alias("split"))
@@ -272,11 +305,11 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 75) -> Dat
     rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
     block = F.when(F.col("own") != F.col("with"), F.col("own").cast("long")).otherwise(F.col("item"))
     rows = rows.select(F.xxhash64("token", F.least("own", "with"), F.greatest("own", "with")).alias("token"), "item", "n", "component", block.alias("block"), "signature")
-    more = _verified(docs, rows.repartition("token").mapInArrow(tidy(_candidates(percent)), "token long, a long, b long, weight long"), size, percent)
+    more = _verified(docs, items, rows.repartition("token").mapInArrow(tidy(_candidates(percent)), "token long, a long, b long, weight long"), size, percent)
     # only components are joined in the second round
     of = lambda c: labelled.select(F.col("item").alias(c), F.col("component").alias(f"{c}_component"))
     parts = components(more.join(of("a"), "a").join(of("b"), "b").select(F.col("a_component").alias("a"), F.col("b_component").alias("b")))
-    drop(shared, links, more)
+    drop(items, shared, links, more)
     # documents of equal sets: the smallest doc_id of each set, then its component
     same = held.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"))
     low = labelled.join(same, "digest").join(parts.withColumnRenamed("component", "whole"), F.col("component") == F.col("id"), "left").select("digest", "least", F.coalesce("whole", "component").alias("component"))

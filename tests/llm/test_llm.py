@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lexispan.llm import bpe, graph, jaccard, language, licenses, mixing, nearest, shingles, substrings, suffixes, token_files, topk, warc
@@ -427,6 +428,27 @@ def test_jaccard_of_large_runs(spark, monkeypatch):
     assert [found[i] for i in range(len(texts))] == group
 
 
+def test_jaccard_of_long_texts_by_brute_force(spark):
+    rng = random.Random(5)
+    shared = [f"common{i}" for i in range(300)]
+    texts = []
+    for k in range(12):
+        words = [f"w{k}x{rng.randrange(10**6)}" for _ in range(rng.choice((700, 1020, 1030, 2500)))] + shared
+        for share in (0, 0.005, 0.02, 0.028, 0.03, 0.1):
+            texts.append(" ".join(w if rng.random() >= share else f"z{rng.randrange(10**9)}" for w in words[: len(words) - rng.randrange(60)]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert found == dict(enumerate(label)) and 12 < len(set(label)) < len(texts)
+    held = shingles.shingle_sets(pa.array([texts[-1]]), 5)[0]
+    assert jaccard._folded(jaccard._signature(held, 4096), 128).tobytes() == jaccard._signature(held, 1024)
+
+
 def test_words_of_long_texts(monkeypatch):
     import pyarrow as pa
 
