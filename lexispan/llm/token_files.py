@@ -36,7 +36,7 @@ BLOCK = 8192
 PERCENTILE = 95
 CORPUS_BYTES = 6 << 20
 #: Parts whose ids a writer keeps between corpora, and parts that the library gets as one string.
-CACHE_PARTS, JOINED = 600_000, 128
+CACHE_PARTS, JOINED = 1_500_000, 128
 _HEAD = struct.Struct("<IIBxH")
 _TAIL = struct.Struct("<QQQ8s")
 _NULL_ID = -(1 << 63)
