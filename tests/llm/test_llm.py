@@ -322,6 +322,30 @@ def test_nearest_recall_and_verified_share():
     assert np.mean(recall) >= 0.95 and np.mean(share) < 0.35
 
 
+def test_nearest_counts_for_many_queries_in_few_rounds(monkeypatch):
+    """Bitmaps give the counts of a loop over rows, over several blocks; the first radius is near the last."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((3000, 16))
+    v[40:60] = v[7]
+    norm = float(np.sqrt((v * v).sum(axis=1)).max())
+    monkeypatch.setattr(nearest, "BLOCK", 1 << 10)
+    index = nearest.ShardIndex(v, norm, 3, directions=48)
+    asked, rounds = np.array([7, 300, 2999]), []
+    at = rng.standard_normal((3, 48)) * norm
+    low, high = index._window(at, np.array([0.5, 1.0, 9.0]) * norm)
+    lifted = np.column_stack((v, np.sqrt(np.maximum(0, norm * norm - (v * v).sum(axis=1)))))
+    edge = np.clip(np.ceil(index._edges(lifted @ index.axes.T)), 1, nearest.BUCKETS)
+    found = np.unpackbits(index._colliding(low, high).view(np.uint8), axis=1, bitorder="little")[:, : len(v)]
+    for i in range(3):
+        assert (found[i] == (((edge > low[:, i]) & (edge <= high[:, i])).sum(axis=1) >= index.threshold)).all()
+    assert found[2].all() and not found[0].all()
+    count = index._colliding
+    monkeypatch.setattr(index, "_colliding", lambda *x: rounds.append(x[0].shape[1]) or count(*x))
+    for i, (places, scores) in zip(asked, index.candidates_of(v[asked], 20, [np.array([i]) for i in asked])):
+        assert i not in places and len(set(places)) == len(places) and np.allclose(scores, v[places] @ v[i])
+    assert sum(rounds) <= 12 and rounds[0] == 3
+
+
 def test_suffix_arrays(monkeypatch):
     for group, groups in ((1024, 256), (3, 2), (8, 1000)):
         monkeypatch.setattr(suffixes, "GROUP", group)
