@@ -1,10 +1,13 @@
 """License statements in texts, by conditional compression.
 
 Every template has a cue, the first of the words that name its license.  Around each cue
-in a text, lines joined, every template of that cue is aligned with the words on both
-sides: the words that name the license must all stand there, and few others may differ.
-Case, punctuation and line breaks do not count.  What is aligned is compressed alone and
-with the template as raw Zstandard dictionary, and has to get smaller by it.  Of
+in a text, lines joined, the words that a statement by a template could take are a
+block, so blocks cross lines and overlap.  A block is compressed alone and with the
+template as raw Zstandard dictionary; templates are ranked by how much smaller their blocks
+get, and all that save bytes are confirmed, best first, by the exact differences of their
+wording: it is aligned with the words on both sides of the cue; the words that name the
+license must all stand there, and few others may differ.  Case, punctuation and line
+breaks do not count.  What is aligned has to get smaller by the template, too.  Of
 overlapping statements the best stays, and the others' cues are looked at again in the
 words left free.
 """
@@ -26,6 +29,8 @@ from .common import text_blocks, tidy
 
 #: Least saving of bytes; share of other words that may differ.
 LEAST_SAVING, MOST_DIFFERENT = 4, 0.2
+#: Compressed around every block, so that Zstandard does not store the short ones as they are; behind a template, since matches are not looked for in the last bytes.
+CARRIER, TAIL = b" " * 64, b"\0" * 16
 
 # Wordings of public licenses (name, words that name it with its cue first, wording).
 _NOTICES = [
@@ -94,12 +99,12 @@ class Scanner:
                 must = [k in places for k in range(len(wanted))]
                 self.at_cue[named[0]].append((len(self.entries), set(named), most, (wanted[:place][::-1], must[:place][::-1]), (wanted[place + 1 :], must[place + 1 :])))
             self.entries.append((name, len(wanted)))
-            self.given.append(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(wanted).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
+            self.given.append(zstandard.ZstdCompressor(level=3, write_checksum=False, write_content_size=False, dict_data=zstandard.ZstdCompressionDict(" ".join(wanted).encode() + TAIL, dict_type=zstandard.DICT_TYPE_RAWCONTENT)))
             self.reach = max(self.reach, len(wanted) + most)
 
     def saved(self, words: list[str], template: int) -> int:
         """Bytes by which words get smaller beside a template."""
-        data = " ".join(words).encode()
+        data = CARRIER + " ".join(words).encode() + CARRIER
         return len(self.alone.compress(data)) - len(self.given[template].compress(data))
 
     @staticmethod
@@ -119,19 +124,28 @@ class Scanner:
         least = min(row)
         return (least, max(i for i, x in enumerate(row) if x == least)) if least <= most else None
 
+    def ranked(self, have: list[str], i: int, low: int, high: int) -> list[tuple]:
+        """Entries of the cue at word ``i`` whose block within ``low`` and ``high`` gets smaller by their template, by bytes saved."""
+        around, out = set(have[low:high]), []
+        for n, entry in enumerate(self.at_cue[have[i]]):
+            template, named, most, left, right = entry
+            if named <= around:
+                block = have[max(low, i - len(left[0]) - most) : min(high, i + 1 + len(right[0]) + most)]
+                if (saved := self.saved(block, template)) > 0:
+                    out.append((-saved, n, entry))
+        return [entry for _, _, entry in sorted(out)]
+
     def best(self, have: list[str], i: int, low: int, high: int) -> tuple[float, int, int, int, int, int, int] | None:
         """The statement around the cue at word ``i`` within ``low`` and ``high`` with fewest differences for its length, then the longest, then the one that saves most.
 
         (share of differing words, -words, -bytes saved, template, first word, end, differing words)
         """
-        before, behind, around = have[low:i][::-1], have[i + 1 : high], set(have[low:high])
+        before, behind = have[low:i][::-1], have[i + 1 : high]
         out = []
-        for template, named, most, left, right in self.at_cue[have[i]]:
-            if named <= around and (a := self.aligned(*left, before, most)) and (b := self.aligned(*right, behind, most - a[0])):
+        for template, _, most, left, right in self.ranked(have, i, low, high):
+            if (a := self.aligned(*left, before, most)) and (b := self.aligned(*right, behind, most - a[0])):
                 first, end, different = i - a[1], i + 1 + b[1], a[0] + b[0]
-                saved = self.saved(have[first:end], template)
-                # a wording that stands there whole may be too short to save bytes
-                if saved >= LEAST_SAVING or not different:
+                if (saved := self.saved(have[first:end], template)) >= LEAST_SAVING:
                     out.append((different / self.entries[template][1], first - end, -saved, template, first, end, different))
         return min(out, default=None)
 

@@ -210,6 +210,20 @@ def test_licenses_wrapped_in_long_lines_and_side_by_side(spark):
     assert dict(found) == dict(enumerate(names))
 
 
+def test_license_candidates_come_from_compression(monkeypatch):
+    """Every wording saves bytes beside its template, and what saves none is no statement, also if it stands there whole."""
+    scanner, wordings = licenses.Scanner(), [[w for w, _, _ in licenses._words(x)] for _, _, x in licenses.templates()]
+    assert min(scanner.saved(w, i) for i, w in enumerate(wordings)) >= licenses.LEAST_SAVING
+    for i, w in enumerate(wordings):
+        text = prose(30).split() + w + prose(30).split()
+        cue = 30 + w.index(licenses.templates()[i][1].split()[0])
+        assert i in [entry[0] for entry in scanner.ranked(text, cue, 0, len(text))]
+    text = "Licensed under CC BY 4.0. All rights reserved."
+    assert [x[0] for x in scanner.statements(text)] == ["CC-BY-4.0", "all-rights-reserved"]
+    monkeypatch.setattr(scanner, "saved", lambda words, template: 0)
+    assert scanner.statements(text) == []
+
+
 def test_bpe(docs, none):
     import public_tokenizers as P
     import tiktoken
