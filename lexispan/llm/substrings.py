@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,54 +35,71 @@ from .suffixes import same_prefix, suffix_array
 PIECE = 40
 #: Bytes of contexts in one suffix array; places between sampled common prefixes; parts of the contexts of crowded anchors.
 SHARD_BYTES, SAMPLE, LEVELS = 1 << 20, 16, (4, 1 << 30)
-#: Bytes of a text whose anchors are found at once.
-SEGMENT = 1 << 20
+#: Bytes of texts whose anchors are found at once, and of their places handled in the cache of a core.
+SEGMENT, STEP = 1 << 20, 1 << 14
+#: Low bits of a hash that give way to its place when hashes are compared.
+PLACE_BITS = np.uint64(20)
 #: log2 bits of the filter of repeated anchors, and contexts a task keeps to collapse at once.
 ANCHOR_BITS, CORPUS_BYTES = 26, 6 << 20
 
 
+#: Powers for a step's bytes and pieces, made once.
+_powers = lru_cache(8)(powers)
+
+
 def piece_hashes(data: np.ndarray) -> np.ndarray:
     """Hash of the ``PIECE`` bytes from each place on (shorter data: none)."""
     if len(data) < PIECE:
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_P, len(data)), out=sums[1:])
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_P, len(data)), out=sums[1:])
     n = len(data) - PIECE + 1
-    return mix64((sums[PIECE:] - sums[:n]) * powers(_INVERSE, n))
+    return mix64((sums[PIECE:] - sums[:n]) * _powers(_INVERSE, n))
 
 
 def _least(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost least hash in each window of ``width``."""
-    n = len(hashes)
-    blocks = -(-n // width)
-    padded = np.full(blocks * width, np.iinfo(np.uint64).max, np.uint64)
-    padded[:n] = hashes
-    grid = padded.reshape(blocks, width)
-    before = np.minimum.accumulate(grid, axis=1).ravel()
-    after = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    left, right = after[: n - width + 1], before[width - 1 : n]
-    # the place of a running minimum: where it was first reached (forwards), or last (backwards)
-    place = np.arange(blocks * width).reshape(blocks, width)
-    newer = np.ones((blocks, width), bool)
-    newer[:, 1:] = grid[:, 1:] < before.reshape(blocks, width)[:, :-1]
-    first = np.maximum.accumulate(np.where(newer, place, 0), axis=1).ravel()
-    back = after.reshape(blocks, width)
-    older = np.ones((blocks, width), bool)
-    older[:, :-1] = grid[:, :-1] <= back[:, 1:]
-    last = np.minimum.accumulate(np.where(older, place, blocks * width)[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.where(left <= right, last[: n - width + 1], first[width - 1 : n])
+    """Place of the leftmost least hash (but for its low bits) in each window of ``width``."""
+    least = hashes >> PLACE_BITS << PLACE_BITS
+    least |= np.arange(len(hashes), dtype=np.uint64)
+    done = 1
+    while done < width:  # minima of windows twice as wide
+        more = min(done, width - done)
+        least = np.minimum(least[:-more], least[more:])
+        done += more
+    return (least & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int32)
+
+
+def contexts_of(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, anchor place, first string, last string) of each run of strings with one anchor, text by text; ``bounds`` of the texts in ``data``."""
+    found = [np.zeros((5, 0), np.int64)]
+    k = 0
+    while k < len(bounds) - 1:
+        # texts that fill a segment, or one text in several segments
+        end = max(k + 1, int(np.searchsorted(bounds, bounds[k] + SEGMENT, side="right")) - 1)
+        for start in range(int(bounds[k]), int(bounds[end]) - length + 1, SEGMENT):
+            part = data[start : min(int(bounds[end]), start + SEGMENT + length - 1)]
+            n = len(part) - length + 1
+            hashes, at = np.empty(len(part) - PIECE + 1, np.uint64), np.empty(n, np.int32)
+            for i in range(0, n, STEP):
+                own = piece_hashes(part[i : i + STEP + length - 1])
+                hashes[i : i + len(own)] = own
+                at[i : i + STEP] = _least(own, length - PIECE + 1) + i
+            # strings that would cross texts have none
+            for a, b in zip(bounds[k:end].tolist(), bounds[k + 1 : end + 1].tolist()):
+                at[max(a, b - length + 1, start) - start : max(b, start) - start] = -1
+            firsts, lasts = runs(at)
+            own = at[firsts] >= 0
+            first, last = firsts[own], lasts[own] - 1
+            text = np.searchsorted(bounds, first + start, side="right") - 1
+            shift = start - bounds[text]
+            found.append(np.stack((text, hashes[at[first]].view(np.int64), at[first] + shift, first + shift, last + shift)))
+        k = end
+    return tuple(np.concatenate(found, axis=1))
 
 
 def contexts(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, anchor place, first string, last string) of each run of strings with one anchor."""
-    found = [np.zeros((4, 0), np.int64)]
-    for start in range(0, len(data) - length + 1, SEGMENT):
-        part = data[start : start + SEGMENT + length - 1]
-        hashes = piece_hashes(part)
-        at = _least(hashes, length - PIECE + 1)
-        firsts, lasts = runs(at)
-        found.append(np.stack((hashes[at[firsts]].view(np.int64), at[firsts] + start, firsts + start, lasts - 1 + start)))
-    return tuple(np.concatenate(found, axis=1))
+    """``contexts_of`` for one text, without its number."""
+    return contexts_of(data, np.array([0, len(data)]), length)[1:]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
@@ -93,9 +111,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, np.ndarray
 def _anchors(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, data, bounds in _texts(batches):
-            found = [np.zeros(0, np.int64), *(contexts(data[a:b], length)[0] for a, b in zip(bounds[:-1], bounds[1:]))]
             # two of a kind tell as much as many
-            values, counts = np.unique(np.concatenate(found), return_counts=True)
+            values, counts = np.unique(contexts_of(data, bounds, length)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.minimum(counts, 2))], names=["anchor", "n"])
 
     return run
@@ -232,11 +249,9 @@ def _rest(data: np.ndarray, spans: list | None, length: int) -> tuple[int, int,
     """n_bytes, n_removed, n_spans and the bytes left of one text."""
     if not spans:
         return len(data), 0, 0, data.tobytes()
-    steps = np.zeros(len(data) + 1, np.int32)
-    for span in spans:
-        ranges = np.frombuffer(span["ranges"], "<i4").reshape(-1, 2).astype(np.int64) + span["first"]
-        np.add.at(steps, ranges[:, 0], 1)
-        np.add.at(steps, ranges[:, 1] + length - 1, -1)
+    ranges = [np.frombuffer(span["ranges"], "<i4") for span in spans]
+    both = np.concatenate(ranges) + np.repeat(np.array([span["first"] for span in spans], np.int64), [len(x) for x in ranges])
+    steps = np.bincount(both[::2], minlength=len(data) + 1) - np.bincount(both[1::2] + length - 1, minlength=len(data) + 1)
     gone = np.cumsum(steps)[:-1] > 0
     return len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()
 
@@ -282,18 +297,17 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             blobs: dict[bytes, list] = {}
             for block in corpus:
                 data, bounds = utf8(block.column("text"))
-                for row, twin, a, b in zip(block.column("row").to_pylist(), block.column("twin").to_pylist(), bounds[:-1].tolist(), bounds[1:].tolist()):
-                    anchors, at, firsts, lasts = contexts(data[a:b], length)
-                    keep = filters.test(known.value, anchors)
-                    own = data[a:b].tobytes()
-                    for anchor, at, first, last in zip(*(x[keep].tolist() for x in (anchors, at, firsts, lasts))):
-                        blob = own[first : last + length]
-                        digest = hashlib.md5(blob).digest()
-                        places.append((digest, row, twin, first))
-                        if digest in blobs:
-                            blobs[digest][3] += 1
-                        else:
-                            blobs[digest] = [anchor, at - first, blob, 1, len(blob)]
+                whole, rows, twins, begins = data.tobytes(), block.column("row").to_pylist(), block.column("twin").to_pylist(), bounds.tolist()
+                found = contexts_of(data, bounds, length)
+                keep = filters.test(known.value, found[1])
+                for text, anchor, at, first, last in zip(*(x[keep].tolist() for x in found)):
+                    blob = whole[begins[text] + first : begins[text] + last + length]
+                    digest = hashlib.md5(blob).digest()
+                    places.append((digest, rows[text], twins[text], first))
+                    if digest in blobs:
+                        blobs[digest][3] += 1
+                    else:
+                        blobs[digest] = [anchor, at - first, blob, 1, len(blob)]
             n, m = len(places), len(blobs)
             left, right = list(zip(*places)) or [()] * 4, list(zip(*blobs.values())) or [()] * 5
             none_m, none_n = [None] * m, [None] * n

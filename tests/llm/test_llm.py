@@ -380,6 +380,33 @@ def test_suffix_array_of_large_alphabets():
         assert suffixes.suffix_array(t, 4001).tolist() == sorted(range(len(t)), key=lambda i: raw[2 * i :])
 
 
+def test_anchors_of_many_texts_at_once(monkeypatch):
+    """Runs of a block of texts by brute force, in few steps however many texts there are."""
+    texts = [prose(random.choice([3, 30, 60, 300])).encode() for _ in range(150)] + [b"", b"ab" * 300, b"x" * 199, b"x" * 200]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    steps, hashed = [], substrings.piece_hashes
+    monkeypatch.setattr(substrings, "piece_hashes", lambda x: steps.append(len(x)) or hashed(x))
+    block = pa.RecordBatch.from_pydict({"text": [x.decode() for x in texts]})
+    list(substrings._anchors(200)(iter([block])))
+    assert len(steps) <= len(data) // substrings.STEP + 2
+    whole = [x.tolist() for x in substrings.contexts_of(data, bounds, 200)]
+    wanted = []
+    for k, x in enumerate(texts):
+        hashes = hashed(np.frombuffer(x, np.uint8)).view(np.int64)
+        order = hashes.view(np.uint64) >> substrings.PLACE_BITS
+        at = [i + int(order[i : i + 161].argmin()) for i in range(len(x) - 199)]
+        for a, run in itertools.groupby(range(len(at)), at.__getitem__):
+            run = list(run)
+            wanted.append((k, int(hashes[a]), a, run[0], run[-1]))
+    assert list(zip(*whole)) == wanted
+    monkeypatch.setattr(substrings, "STEP", 100)
+    assert [x.tolist() for x in substrings.contexts_of(data, bounds, 200)] == whole
+    monkeypatch.setattr(substrings, "SEGMENT", 3000)
+    found = list(zip(*(x.tolist() for x in substrings.contexts_of(data, bounds, 200))))
+    places = lambda runs: [(k, i, a, h) for k, h, a, first, last in runs for i in range(first, last + 1)]
+    assert places(found) == places(wanted)
+
+
 def brute_repeats(texts, length=200):
     """(n_bytes, n_removed, n_spans, bytes left) of each text."""
     data = [(t or "").encode() for t in texts]
