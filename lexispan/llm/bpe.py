@@ -31,8 +31,6 @@ CORPUS_BYTES = 2 << 20
 #: From so many places on, a merge is applied to all of them at once.
 MANY = 24
 
-_LOADED: dict[tuple[str, str], "MergeReplay"] = {}
-
 
 def load_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -233,10 +231,8 @@ class MergeReplay:
 
 
 def replayer(path: str, pattern: str) -> MergeReplay:
-    """One replayer for each worker process and rank file."""
-    if (path, pattern) not in _LOADED:
-        _LOADED[path, pattern] = MergeReplay(load_ranks(path), pattern)
-    return _LOADED[path, pattern]
+    """A replayer of a rank file; each task has its own, so that idle workers hold neither ranks nor parts."""
+    return MergeReplay(load_ranks(path), pattern)
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -249,18 +245,21 @@ def encode_column(docs: DataFrame, path: str, pattern: str, id_column: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = replayer(path, pattern)
-        for corpus in gathered(text_blocks(batches), CORPUS_BYTES):
-            for block, ids in zip(corpus, coder.parts.encode([Texts(x.column("text")) for x in corpus])):
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        block.column("doc_id"),
-                        pa.array([len(x) // 4 for x in ids], pa.int64()),
-                        pa.array(ids if keep_ids else [None] * len(ids), pa.binary()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
-                        pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string()),
-                    ],
-                    names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
-                )
+        try:
+            for corpus in gathered(text_blocks(batches), CORPUS_BYTES):
+                for block, ids in zip(corpus, coder.parts.encode([Texts(x.column("text")) for x in corpus])):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            block.column("doc_id"),
+                            pa.array([len(x) // 4 for x in ids], pa.int64()),
+                            pa.array(ids if keep_ids else [None] * len(ids), pa.binary()),
+                            pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                            pa.array([hashlib.sha256(coder.decode(x)).hexdigest() for x in ids], pa.string()),
+                        ],
+                        names=["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"],
+                    )
+        finally:
+            del coder.parts  # it refers back to the replayer, which would stay until a collection
 
     kind = docs.schema[id_column].dataType.simpleString()
     slim = docs.select(docs[id_column].alias("doc_id"), docs[text_column].alias("text"))

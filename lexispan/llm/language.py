@@ -31,7 +31,7 @@ WORDS = 20_000
 GRAMS = 8_000
 LENGTHS = (5, 4, 3, 2, 1)
 #: Scores (words times languages) that a worker keeps.
-CACHE_SCORES = 1 << 21
+CACHE_SCORES = 1 << 20
 #: Cost of an unknown word or n-gram, as a count.
 SMOOTH = 0.5
 

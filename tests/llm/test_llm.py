@@ -242,6 +242,23 @@ def test_bpe(docs, none):
     assert coder.encode_texts(odd) == [np.array(library.encode_ordinary(s), "<u4").tobytes() for s in odd]
 
 
+def test_idle_workers_hold_no_replayer(spark, docs):
+    """After a task a worker process keeps neither ranks nor encoded parts."""
+    import public_tokenizers as P
+
+    path = P.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.encode_column(docs, path, P.PATTERN).count() == len(TEXTS)
+    bpe.encode_column(docs, path, P.PATTERN).write.format("noop").mode("overwrite").save()
+
+    def left(batches):
+        import gc
+
+        list(batches)
+        yield pa.RecordBatch.from_pydict({"n": [sum(type(x).__name__ in ("MergeReplay", "PartEncoder") for x in gc.get_objects())]})
+
+    assert {r.n for r in docs.select("doc_id").repartition(8).mapInArrow(left, "n long").collect()} == {0}
+
+
 def test_token_files(spark, docs, none, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer
