@@ -5,23 +5,18 @@ Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kep
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from lexispan.llm import bpe, jaccard, language, mixing, substrings
 from lexispan.llm.common import stage
+from lexispan.llm.filters import member_filter
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
 LEAST_SCORE = 0.5
-
-
-@F.pandas_udf(StringType())
-def _valid(kept: pd.Series) -> pd.Series:
-    """Text of UTF-8 bytes, without those of characters that are not whole."""
-    return kept.map(lambda x: x.decode("utf-8", "ignore"))
+#: What a text with words holds.
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,18 +33,23 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows are judged one by one, whether their id is null (last in its group) or repeated;
     of rows equal in all columns one stays.
     """
-    docs = stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "copies-input")
+    docs = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()).withColumn("hash", F.xxhash64("text"))
+    docs = stage(docs.withColumn("worded", F.coalesce(F.col("text").rlike(WORD), F.lit(False))), "copies-input")
     parts = jaccard.jaccard_components(docs.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64("text"), "row")
-    first = docs.join(parts, "row").groupBy("component_id").agg(F.min(rank).alias("x")).select("x.row")
-    return docs.join(first, "row", "left_semi").select(*COLUMNS).dropDuplicates()
+    # ids alone meet in the joins; texts are shuffled only where the filter says that they may go
+    ids = docs.where("worded").select("row", "doc_id", "hash")
+    first = ids.join(parts, "row").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash", "row")).alias("x")).select("x.row")
+    gone = stage(ids.select("row").join(first, "row", "left_anti"), "copies-gone")
+    may_go = member_filter(gone)(F.col("row"))
+    worded = docs.where("worded")
+    kept = worded.where(~may_go).unionByName(worded.where(may_go).join(gone, "row", "left_anti")).select(*COLUMNS)
+    return kept.unionByName(docs.where("not worded").select(*COLUMNS).dropDuplicates())
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 200-byte strings that occur more than once; bytes of characters cut in two go too, and texts left without words."""
-    left = substrings.remove_repeats(docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text"))
-    text = _valid("kept")
-    return left.select("key.doc_id", text.alias("text"), "key.lang", "key.source").withColumn("n_chars", F.length("text").cast("long")).where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+    left = substrings.remove_repeats(docs.select(F.struct("doc_id", "lang", "source").alias("key"), "text"), whole_chars=True)
+    return left.select("key.doc_id", F.col("kept").alias("text"), "key.lang", "key.source", F.length("kept").cast("long").alias("n_chars")).where(F.col("text").rlike(WORD)).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -256,7 +256,7 @@ def _rest(data: np.ndarray, spans: list | None, length: int) -> tuple[int, int,
     return len(data), int(gone.sum()), int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()), data[~gone].tobytes()
 
 
-def _pruned(length: int, clean=None):
+def _pruned(length: int, clean=None, whole_chars: bool = False):
     """Rows (key, text, spans) to what is left of each text; or, with a packed filter, those of (key, text, row, twin) that lose nothing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,19 +271,22 @@ def _pruned(length: int, clean=None):
             data, bounds = utf8(block.column("text"))
             rows = [_rest(data[a:b], own, length) for a, b, own in zip(bounds[:-1].tolist(), bounds[1:].tolist(), spans)]
             columns = list(zip(*rows))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            if whole_chars:
+                columns[3] = [x.decode("utf-8", "ignore") for x in columns[3]]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string() if whole_chars else pa.binary())
             yield pa.RecordBatch.from_arrays([block.column("key"), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=["key", "n_bytes", "n_removed", "n_spans", "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, whole_chars: bool = False) -> DataFrame:
     """key, n_bytes, n_removed, n_spans and kept (bytes left) of every row of (key, text).
 
     Removed is each byte covered by a string of ``length`` bytes that begins anywhere else
     too, the same text included; strings never cross texts and are judged on the input.
     A null text is empty; other columns are ignored.  Keys may be null or repeat: each row
-    is returned, and rows equal in key and text are copies of one another.
+    is returned, and rows equal in key and text are copies of one another.  With
+    ``whole_chars`` kept is a string, without the bytes of characters cut in two.
     """
     spark = docs.sparkSession
     # 128 bits stand for a row
@@ -330,9 +333,9 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield batch.filter(pa.array(filters.test(may.value, np.asarray(batch.column("row")))))
 
     key = docs.schema["key"].dataType.simpleString()
-    out = f"key {key}, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = f"key {key}, n_bytes long, n_removed long, n_spans long, kept {'string' if whole_chars else 'binary'}"
     dirty = texts.mapInArrow(tidy(hit), f"key {key}, text string, row long, twin long").join(spans, ["row", "twin"], "left").select("key", "text", "spans")
-    return texts.mapInArrow(tidy(_pruned(length, may)), out).union(dirty.mapInArrow(tidy(_pruned(length)), out))
+    return texts.mapInArrow(tidy(_pruned(length, may, whole_chars)), out).union(dirty.mapInArrow(tidy(_pruned(length, None, whole_chars)), out))
 
 
 def op7_suffix_dedup(spark, sf_dir: str) -> DataFrame:

@@ -657,3 +657,41 @@ def test_library_encoder_equals_library():
     texts = [None, "", *("".join(draw.choices(atoms, k=draw.randint(1, 25))) for _ in range(3000))]
     found = next(token_files.library_encoder(path).encode([texts]))
     assert found == [np.array(library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_near_copies_shuffle_few_texts_and_keep_wordless_rows_once(spark):
+    import corpus_pipeline as pipeline
+
+    def shuffled():
+        context = spark.sparkContext._jsc.sc()
+        context.listenerBus().waitUntilEmpty(30_000)
+        return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    own = [" ".join(random.randbytes(40).hex() for _ in range(20)) for _ in range(400)]
+    rows = [(i, t, "en", "a", len(t)) for i, t in enumerate(own)]
+    rows += [(1000 + i, own[i], "en", "b", len(own[i])) for i in range(20)] + rows[30:33]
+    rows += [(2000, None, "en", "a", 0), (2000, None, "en", "a", 0), (2001, None, "en", "a", 0), (2002, " \n", "en", "a", 2), (2002, " \n", "en", "a", 2), (2002, " ", "en", "a", 1), (None, None, None, None, None), (None, None, None, None, None)]
+    docs = pipeline.stage(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "t")
+    before = shuffled()
+    left = pipeline.stage(pipeline.near_copies(spark, docs, ""), "t")
+    assert shuffled() - before < 0.5 * sum(len(t) for t in own)
+    wanted = rows[:400] + [rows[i] for i in (423, 425, 426, 428, 429)]
+    assert collections.Counter(map(tuple, left.collect())) == collections.Counter(wanted)
+
+
+def test_texts_left_by_the_pipeline_pass_one_python_worker(spark):
+    import corpus_pipeline as pipeline
+
+    passage = "\u00e9" * 150
+    texts = ["a" + passage + " end", "bb" + passage + "\u00fc more", passage[:40] + " short", None]
+    docs = pipeline.stage(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long"), "t")
+    left = pipeline.repeated_strings(spark, docs, "")
+    assert "ArrowEvalPython" not in left._jdf.queryExecution().toString()
+    data = [(t or "").encode() for t in texts]
+    seen = collections.Counter(d[i : i + 200] for d in data for i in range(len(d) - 199))
+    wanted = []
+    for i, d in enumerate(data):
+        gone = {k for j in range(len(d) - 199) if seen[d[j : j + 200]] > 1 for k in range(j, j + 200)}
+        text = bytes(c for k, c in enumerate(d) if k not in gone).decode("utf-8", "ignore")
+        wanted += [(i, text, "en", "a", len(text))] if text.split() else []
+    assert sorted(map(tuple, left.collect())) == wanted
