@@ -187,7 +187,7 @@ TEXTS: dict[str, str] = {
     "changepoint": _W + _segmented("@range_bps@", SERIES, 6) + " SELECT b.metric, b.bp AS breakpoint, n_years, b.r2, slope_before, slope_after, linear_slope, linear_r2, CAST(round(b.r2 - linear_r2, 4) AS DOUBLE) AS r2_improvement FROM ranked b JOIN line ON b.metric = line.metric WHERE b.r = 1",
     "widened_changepoint": _W + _segmented("@range_wide@", CORPORA, 6) + _WIDENED,
     "ols_trend": _W + SERIES + " SELECT metric, count(*) AS n_years, CAST(round(@slope@, 9) AS DOUBLE) AS slope, CAST(round(@intercept@, 4) AS DOUBLE) AS intercept, CAST(round(@r2@, 6) AS DOUBLE) AS r2 FROM series GROUP BY metric",
-    "spearman_trend": _W + SERIES + ", r AS (SELECT metric, 2 * rank() OVER (PARTITION BY metric ORDER BY year) + count(*) OVER (PARTITION BY metric, year) - 1 AS rx, 2 * rank() OVER (PARTITION BY metric ORDER BY y) + count(*) OVER (PARTITION BY metric, y) - 1 AS ry FROM series), s AS (SELECT metric, count(*) AS n, CAST(sum(rx) AS BIGINT) AS x, CAST(sum(ry) AS BIGINT) AS y, CAST(sum(rx * ry) AS BIGINT) AS xy, CAST(sum(rx * rx) AS BIGINT) AS xx, CAST(sum(ry * ry) AS BIGINT) AS yy FROM r GROUP BY metric) SELECT metric, n AS n_years, CAST(n * xy - x * y AS DOUBLE) / sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE)) AS rho FROM s WHERE n >= 4",
+    "spearman_trend": _W + SERIES + ", r AS (SELECT metric, 2 * rank() OVER (PARTITION BY metric ORDER BY year) + count(*) OVER (PARTITION BY metric, year) - 1 AS rx, 2 * rank() OVER (PARTITION BY metric ORDER BY y) + count(*) OVER (PARTITION BY metric, y) - 1 AS ry FROM series), s AS (SELECT metric, count(*) AS n, CAST(sum(rx) AS BIGINT) AS x, CAST(sum(ry) AS BIGINT) AS y, CAST(sum(rx * ry) AS BIGINT) AS xy, CAST(sum(rx * rx) AS BIGINT) AS xx, CAST(sum(ry * ry) AS BIGINT) AS yy FROM r GROUP BY metric) SELECT metric, n AS n_years, @rho@ AS rho FROM s WHERE n >= 4",
     "kendall_trend": _W + SERIES + " SELECT a.metric, CAST(sum(sign(b.y - a.y)) AS BIGINT) AS concordance, count(*) AS n_pairs FROM series a JOIN series b ON a.metric = b.metric AND a.year < b.year GROUP BY a.metric",
     "length_bins": _W + "v AS (SELECT l.quality AS g, CAST(n_chars AS DOUBLE) AS x FROM $documents d JOIN $labels l ON d.doc_id = l.doc_id), e AS (SELECT @edges@ AS q FROM v WHERE g = 0), b AS (SELECT g, 1 + CASE WHEN x > @edge[0]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[1]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[2]@ THEN 1 ELSE 0 END + CASE WHEN x > @edge[3]@ THEN 1 ELSE 0 END AS bin FROM v CROSS JOIN e) SELECT CAST(bin AS INT) AS length_bin, CAST(sum(1 - g) AS BIGINT) AS n_pre, CAST(sum(g) AS BIGINT) AS n_post FROM b GROUP BY bin",
     "within_group_similarity": _W + _VECTORS + ", r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', CAST(vec_id AS STRING))), vec_id) AS r FROM v), s AS (SELECT * FROM r WHERE r <= 300), p AS (SELECT a.label, @dot_int@ AS d FROM s a JOIN s b ON a.label = b.label AND a.r < b.r) SELECT label, count(*) AS n_pairs, CAST(sum(d) AS BIGINT) AS total, CAST(@median[d]@ AS DOUBLE) AS median_sim FROM p GROUP BY label",

@@ -33,7 +33,7 @@ SPARK = _COMMON | {
     "by_type": "array_sort(transform(k, (x, i) -> struct(x AS t, CAST(i AS BIGINT) AS p)))",
     "places": "transform(s0, (e, j) -> struct(e.t AS t, e.p AS p, get(s0, j - 1).t AS b, get(s0, j - 1).p AS bp, get(s0, j + 1).t AS a))", "sum_a": "aggregate", "sum_b": ", 0L, (a, y) -> a + y)",
     "list_median": "(element_at(array_sort(sl), CAST((size(sl) - 1) div 2 AS INT) + 1) + element_at(array_sort(sl), CAST(size(sl) div 2 AS INT) + 1)) / 2e0",
-    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
+    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "rho": "coalesce(CAST(n * xy - x * y AS DOUBLE) / nullif(sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE)), 0e0), CAST('NaN' AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
     "url_found": r"u rlike '/(\\d{4})/(\\d{2})/(\\d{2})/'", "labels": "transform(array(source, lang, CASE doc_id % 8 WHEN 0 THEN 'Letters' WHEN 1 THEN 'Op-Ed' WHEN 2 THEN 'Columnists' WHEN 3 THEN 'OPINION' WHEN 4 THEN 'Editorial' WHEN 5 THEN 'World' END, CASE WHEN doc_id % 16 = 3 THEN 'community' END), x -> lower(x))",
     "has": "coalesce(array_contains(labels, '{x}'), FALSE)", "part": "split_part(metric, ':', {x})", "edges_words": "percentile(CAST(word_count AS DOUBLE), array(0.2, 0.4, 0.6, 0.8))",
     "try_date": "try_to_date({x}, 'yyyy-MM-dd')", "tenth": "percentile({x}, 0.1)", "ninetieth": "percentile({x}, 0.9)", "norm": "sqrt(aggregate(embedding, 0e0, (a, x) -> a + CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))",
@@ -62,7 +62,7 @@ DUCK = _COMMON | {
     "by_type": "list_sort(list_transform(k, lambda x, i: {'t': x, 'p': i - 1}))",
     "places": "list_transform(list_filter(list_zip(s0, list_concat([NULL], s0[1:len(s0) - 1]), list_concat(s0[2:], [NULL])), lambda z: z[1] IS NOT NULL), lambda z: {'t': z[1].t, 'p': z[1].p, 'b': z[2].t, 'bp': z[2].p, 'a': z[3].t})", "sum_a": "coalesce(CAST(list_sum", "sum_b": ") AS BIGINT), 0)",
     "list_median": "list_aggregate(sl, 'median')",
-    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
+    "slope": "regr_slope(y, CAST(year AS DOUBLE))", "rho": "CAST(n * xy - x * y AS DOUBLE) / sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
     "url_found": r"regexp_matches(u, '/(\d{4})/(\d{2})/(\d{2})/')", "labels": "list_transform([source, lang, CASE doc_id % 8 WHEN 0 THEN 'Letters' WHEN 1 THEN 'Op-Ed' WHEN 2 THEN 'Columnists' WHEN 3 THEN 'OPINION' WHEN 4 THEN 'Editorial' WHEN 5 THEN 'World' END, CASE WHEN doc_id % 16 = 3 THEN 'community' END], lambda x: lower(x))",
     "has": "coalesce(list_contains(labels, '{x}'), FALSE)", "part": "split_part(metric, ':', {x})", "edges_words": "quantile_cont(CAST(word_count AS DOUBLE), [0.2, 0.4, 0.6, 0.8])",
     "try_date": "TRY_CAST({x} AS DATE)", "tenth": "quantile_cont({x}, 0.1)", "ninetieth": "quantile_cont({x}, 0.9)", "norm": "sqrt(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))))",
