@@ -80,6 +80,22 @@ def spell(text: str, words: dict[str, str]) -> str:
 
     while "@" in text:
         text = re.sub(r"@(\w+)(?:\[([^@]*?)\])?@", one, text)
+    return _rounded(text) if words is SPARK else text
+
+
+def _rounded(text: str) -> str:
+    """``round(x, n)`` as DuckDB works it out: to the whole number of units nearest to the double x * 10^n.
+
+    Spark rounds the shortest decimal that tells the double, which differs next to a half.
+    """
+    while m := re.search(r"\bround\(", text):
+        depth, i, comma = 1, m.end(), 0
+        while depth:
+            depth += {"(": 1, ")": -1}.get(text[i], 0)
+            comma = i if depth == 1 and text[i] == "," else comma
+            i += 1
+        unit = f"1e{int(text[comma + 1 : i - 1])}"
+        text = f"{text[: m.start()]}(ROUND(({text[m.end() : comma]}) * {unit}, 0) / {unit}){text[i:]}"
     return text
 
 

@@ -24,3 +24,12 @@ def both(spark, folder, name, texts, ids=None, lang=None):
 def test_rank_correlation_of_a_constant_series(spark, tmp_path):
     mine, other = both(spark, tmp_path, "spearman_trend", ["one and the same text. Again."] * 300)
     assert mine == other and len(mine) == 14 and {r[2] for r in mine} == {"nan"}
+
+
+def test_metrics_next_to_a_half_are_rounded_alike(spark, tmp_path):
+    words = ["baba"] * 237 + ["ba"] * 147  # 32 sentences, 621 syllables: a grade level of 8.1728125
+    texts = [" ".join(" ".join(words[i : i + 12]) + "." for i in range(0, 384, 12))] * 40
+    mine, other = both(spark, tmp_path, "article_metrics", texts)
+    assert mine == other and len(mine) == 40
+    mine, other = both(spark, tmp_path, "period_medians", texts + [t.replace("baba", "ba", i) for i, t in enumerate(texts)])
+    assert mine == other
