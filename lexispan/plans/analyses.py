@@ -57,16 +57,7 @@ GRAMS = ARTICLES + """, lists AS (SELECT article_id, date, year, @tokens@ AS k F
 )"""
 # Metrics of each article, made within its row: alphabetic tokens of any script, sorted with their places, tell
 # types, hapaxes and the windows of 100 tokens in which a place is the first of its type.
-_FIRST, _SYLLABLES = "x.b IS NULL OR x.b <> x.t", "CAST(greatest(1, @vowel_groups@ - CASE WHEN x LIKE '%e' AND @vowel_groups@ > 1 THEN 1 ELSE 0 END) AS BIGINT)"
-METRICS = ARTICLES + f""", words AS (SELECT article_id, year, corpus, article_type, word_count, @alpha@ AS k, @sentences@ AS ss FROM a WHERE length(trim(text)) >= 10
-), by_type AS (SELECT *, @by_type@ AS s0 FROM words
-), sorted AS (SELECT article_id, year, corpus, article_type, word_count, k, CAST(@len@(k) AS BIGINT) AS n, @places@ AS s, @transform@(ss, @arrow@ CAST(@runs_in_x@ AS BIGINT)) AS sl, @transform@(k, @arrow@ {_SYLLABLES}) AS sy FROM by_type
-), counted AS (
-  SELECT article_id, year, corpus, article_type, word_count, n, CAST(@len@(sl) AS BIGINT) AS sents, @sum_a@(sl@sum_b@ AS sent_tokens, CASE WHEN @len@(sl) > 0 THEN @list_median@ ELSE 0e0 END AS sent_median,
-    CAST(@len@(@filter@(s, @arrow@ {_FIRST})) AS BIGINT) AS types, CAST(@len@(@filter@(s, @arrow@ ({_FIRST}) AND (x.a IS NULL OR x.a <> x.t))) AS BIGINT) AS hapaxes,
-    @sum_a@(@transform@(s, @arrow@ CAST(CASE WHEN n < 100 THEN CASE WHEN {_FIRST} THEN 1 ELSE 0 END ELSE greatest(0, least(x.p, n - 100) - greatest(CASE WHEN {_FIRST} THEN 0 ELSE x.bp + 1 END, x.p - 99, 0) + 1) END AS BIGINT))@sum_b@ AS windowed,
-    CAST(@len@(@filter@(k, @arrow@ x IN (@function_words@))) AS BIGINT) AS functions, @sum_a@(@transform@(k, @arrow@ CAST(length(x) AS BIGINT))@sum_b@ AS letters, @sum_a@(sy@sum_b@ AS syllables, CAST(@len@(@filter@(sy, @arrow@ x >= 3)) AS BIGINT) AS polysyllables
-  FROM sorted
+METRICS = ARTICLES + """, @counted@
 ), metrics AS (
   SELECT article_id, year, corpus, article_type, word_count, n AS token_count, sents AS sentence_count, coalesce(CAST(sent_tokens AS DOUBLE) / nullif(sents, 0), 0e0) AS avg_sentence_len, sent_median AS med_sentence_len, types AS unique_word_count,
     coalesce(CAST(types AS DOUBLE) / nullif(n, 0), 0e0) AS ttr, coalesce(types / nullif(sqrt(CAST(n AS DOUBLE)), 0e0), 0e0) AS root_ttr, coalesce(CAST(windowed AS DOUBLE) / CASE WHEN n >= 100 THEN 100 * (n - 99) ELSE nullif(n, 0) END, 0e0) AS mattr,
@@ -77,11 +68,11 @@ METRICS = ARTICLES + f""", words AS (SELECT article_id, year, corpus, article_ty
 )"""
 LONG = METRICS + ", long AS (SELECT article_id, year, corpus, article_type, word_count, metric, v FROM metrics @unpivot@ WHERE v IS NOT NULL)"
 # numeric series by year: medians of the article metrics
-SERIES = LONG + """, series AS (SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY metric, year
+SERIES = LONG + """, series AS (@held[SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY metric, year]@
 )"""
-STUDENTS = LONG + """, series AS (SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long WHERE article_type <> 'letter' GROUP BY metric, year
+STUDENTS = LONG + """, series AS (@held[SELECT metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long WHERE article_type <> 'letter' GROUP BY metric, year]@
 )"""
-CORPORA = LONG + """, series AS (SELECT concat(corpus, ':', metric) AS metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY corpus, metric, year
+CORPORA = LONG + """, series AS (@held[SELECT concat(corpus, ':', metric) AS metric, year, CAST(round(@median[v]@, 9) AS DOUBLE) AS y FROM long GROUP BY corpus, metric, year]@
 )"""
 
 

@@ -7,18 +7,27 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions import lists
+from ..operators import words as word_counts
 
 _quoted = lambda words: ", ".join(f"'{w}'" for w in words)
+# article metrics in lists: a sorted word is the first of its type where the one before it differs
+_FIRST, _SYLLABLES = "x.b IS NULL OR x.b <> x.t", "CAST(greatest(1, @vowel_groups@ - CASE WHEN x LIKE '%e' AND @vowel_groups@ > 1 THEN 1 ELSE 0 END) AS BIGINT)"
+_COUNTED = f"""words AS (SELECT article_id, year, corpus, article_type, word_count, @alpha@ AS k, @sentences@ AS ss FROM a WHERE length(trim(text)) >= 10
+), by_type AS (SELECT *, @by_type@ AS s0 FROM words
+), sorted AS (SELECT article_id, year, corpus, article_type, word_count, k, CAST(@len@(k) AS BIGINT) AS n, @places@ AS s, @transform@(ss, @arrow@ CAST(@runs_in_x@ AS BIGINT)) AS sl, @transform@(k, @arrow@ {_SYLLABLES}) AS sy FROM by_type
+), counted AS (
+  SELECT article_id, year, corpus, article_type, word_count, n, CAST(@len@(sl) AS BIGINT) AS sents, @sum_a@(sl@sum_b@ AS sent_tokens, CASE WHEN @len@(sl) > 0 THEN @list_median@ ELSE 0e0 END AS sent_median,
+    CAST(@len@(@filter@(s, @arrow@ {_FIRST})) AS BIGINT) AS types, CAST(@len@(@filter@(s, @arrow@ ({_FIRST}) AND (x.a IS NULL OR x.a <> x.t))) AS BIGINT) AS hapaxes,
+    @sum_a@(@transform@(s, @arrow@ CAST(CASE WHEN n < 100 THEN CASE WHEN {_FIRST} THEN 1 ELSE 0 END ELSE greatest(0, least(x.p, n - 100) - greatest(CASE WHEN {_FIRST} THEN 0 ELSE x.bp + 1 END, x.p - 99, 0) + 1) END AS BIGINT))@sum_b@ AS windowed,
+    CAST(@len@(@filter@(k, @arrow@ x IN (@function_words@))) AS BIGINT) AS functions, @sum_a@(@transform@(k, @arrow@ CAST(length(x) AS BIGINT))@sum_b@ AS letters, @sum_a@(sy@sum_b@ AS syllables, CAST(@len@(@filter@(sy, @arrow@ x >= 3)) AS BIGINT) AS polysyllables
+  FROM sorted"""
 _COMMON = {"stopwords": _quoted(lists.STOPWORDS), "function_words": _quoted(lists.FUNCTION_WORDS), "tracked": _quoted(lists.TRACKED_VOCABULARY)}
 
 SPARK = _COMMON | {
+    "counted": "counted AS (\n  SELECT article_id, year, corpus, article_type, word_count, c.* FROM (SELECT article_id, year, corpus, article_type, word_count, article_counts(text) AS c FROM a WHERE length(trim(text)) >= 10) x",
     "tokens": r"filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+', 0), x -> x rlike '^[a-z]{2,}$')",
-    "alpha": r"regexp_extract_all(lower(text), '\\p{L}+', 0)",
-    "sentences": r"filter(regexp_extract_all(text, '[^.!?]+[.!?]*', 0), x -> x rlike '\\p{L}')",
-    "runs_in_x": r"size(regexp_extract_all(x, '\\p{L}+|[^\\p{L}\\s]', 0))",
-    "vowel_groups": r"size(regexp_extract_all(x, '[aeiouy]+', 0))",
     "wide_tokens": r"filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}', 0), x -> NOT x IN (@stopwords@))",
-    "word_count": r"size(filter(split(text, '[ \\t\\n\\r\\f\\u000B]+'), x -> x <> ''))",
+    "word_count": r"regexp_count(text, '[^ \\t\\n\\r\\f\\u000B]+')",
     "sha256": "sha2(text, 256)", "len": "size", "date0": "date_add(DATE '2015-01-01', CAST(({n}) AS INT))",
     "unnest": "LATERAL VIEW posexplode(k) u AS pos, tok", "pos": "CAST(pos AS BIGINT)",
     "median": "percentile({x}, 0.5)", "transform": "transform", "filter": "filter", "arrow": "x ->",
@@ -27,12 +36,11 @@ SPARK = _COMMON | {
     "edges": "percentile(x, array(0.2, 0.4, 0.6, 0.8))", "edge": "q[{i}]", 
     "ints": "transform(embedding, x -> CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT))", "unnest_e": "LATERAL VIEW posexplode(e) u AS pos, x",
     "dot_int": "aggregate(zip_with(a.e, b.e, (x, y) -> x * y), 0L, (s, x) -> s + x)", "json": "get_json_object(props, '$.{k}')",
+    # the years of a metric in one row: all that refer to the series then need the same columns, and share its exchange
+    "held": "SELECT metric, p.year, p.y FROM (SELECT metric, collect_list(struct(year, y)) AS ys FROM ({x}) GROUP BY metric) LATERAL VIEW explode(ys) e AS p",
     "anti": "LEFT ANTI JOIN",
     "grams": "array_compact(concat(zip_with(k, slice(k, 2, size(k) + 1), (x, y) -> concat(x, ' ', y)), zip_with(zip_with(k, slice(k, 2, size(k) + 1), (x, y) -> concat(x, ' ', y)), slice(k, 3, size(k) + 1), (x, y) -> concat(x, ' ', y))))",
     "edge_tokens": "CASE WHEN size(k) <= 4 THEN k ELSE concat(slice(k, 1, 2), slice(k, -2, 2)) END",
-    "by_type": "array_sort(transform(k, (x, i) -> struct(x AS t, CAST(i AS BIGINT) AS p)))",
-    "places": "transform(s0, (e, j) -> struct(e.t AS t, e.p AS p, get(s0, j - 1).t AS b, get(s0, j - 1).p AS bp, get(s0, j + 1).t AS a))", "sum_a": "aggregate", "sum_b": ", 0L, (a, y) -> a + y)",
-    "list_median": "(element_at(array_sort(sl), CAST((size(sl) - 1) div 2 AS INT) + 1) + element_at(array_sort(sl), CAST(size(sl) div 2 AS INT) + 1)) / 2e0",
     "slope": "regr_slope(y, CAST(year AS DOUBLE))", "rho": "coalesce(CAST(n * xy - x * y AS DOUBLE) / nullif(sqrt(CAST(n * xx - x * x AS DOUBLE) * CAST(n * yy - y * y AS DOUBLE)), 0e0), CAST('NaN' AS DOUBLE))", "intercept": "regr_intercept(y, CAST(year AS DOUBLE))", "r2": "regr_r2(y, CAST(year AS DOUBLE))",
     "url_found": r"u rlike '/(\\d{4})/(\\d{2})/(\\d{2})/'", "labels": "transform(array(source, lang, CASE doc_id % 8 WHEN 0 THEN 'Letters' WHEN 1 THEN 'Op-Ed' WHEN 2 THEN 'Columnists' WHEN 3 THEN 'OPINION' WHEN 4 THEN 'Editorial' WHEN 5 THEN 'World' END, CASE WHEN doc_id % 16 = 3 THEN 'community' END), x -> lower(x))",
     "has": "coalesce(array_contains(labels, '{x}'), FALSE)", "part": "split_part(metric, ':', {x})", "edges_words": "percentile(CAST(word_count AS DOUBLE), array(0.2, 0.4, 0.6, 0.8))",
@@ -41,6 +49,7 @@ SPARK = _COMMON | {
     "three": "format_string('%.3f', {x})",
 }
 DUCK = _COMMON | {
+    "counted": _COUNTED,
     "tokens": r"list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[a-z]{2,}'))",
     "alpha": r"regexp_extract_all(lower(text), '\p{L}+')",
     "sentences": r"list_filter(regexp_extract_all(text, '[^.!?]+[.!?]*'), lambda x: regexp_matches(x, '\p{L}'))",
@@ -56,7 +65,7 @@ DUCK = _COMMON | {
     "edges": "quantile_cont(x, [0.2, 0.4, 0.6, 0.8])", "edge": "q[{i} + 1]", 
     "ints": "list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT))", "unnest_e": ", (SELECT unnest(e) AS x, generate_subscripts(e, 1) - 1 AS pos) u",
     "dot_int": "CAST(list_inner_product(CAST(a.e AS DOUBLE[]), CAST(b.e AS DOUBLE[])) AS BIGINT)", "json": "json_extract_string(props, '$.{k}')",
-    "anti": "ANTI JOIN",
+    "held": "{x}", "anti": "ANTI JOIN",
     "grams": "list_concat(list_transform(list_filter(list_zip(k, k[2:]), lambda z: z[2] IS NOT NULL), lambda z: concat(z[1], ' ', z[2])), list_transform(list_filter(list_zip(k, k[2:], k[3:]), lambda z: z[3] IS NOT NULL), lambda z: concat(z[1], ' ', z[2], ' ', z[3])))",
     "edge_tokens": "CASE WHEN len(k) <= 4 THEN k ELSE list_concat(k[1:2], k[-2:]) END",
     "by_type": "list_sort(list_transform(k, lambda x, i: {'t': x, 'p': i - 1}))",
@@ -80,7 +89,11 @@ def spell(text: str, words: dict[str, str]) -> str:
 
     while "@" in text:
         text = re.sub(r"@(\w+)(?:\[([^@]*?)\])?@", one, text)
-    return _rounded(text) if words is SPARK else text
+    if words is SPARK:
+        text = _rounded(text)
+        if "article_counts(" in text and (spark := SparkSession.getActiveSession()):
+            word_counts.register(spark)
+    return text
 
 
 def _rounded(text: str) -> str:

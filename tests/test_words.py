@@ -33,3 +33,18 @@ def test_metrics_next_to_a_half_are_rounded_alike(spark, tmp_path):
     assert mine == other and len(mine) == 40
     mine, other = both(spark, tmp_path, "period_medians", texts + [t.replace("baba", "ba", i) for i, t in enumerate(texts)])
     assert mine == other
+
+
+def test_counts_of_odd_texts(spark, tmp_path):
+    odd = ["... !?", "a\u000bb c d. 1 2 3 x", "İstanbul ΟΔΟΣ Ǆ éte ﬁn. Ⅳ ⓐ _x_ 9a", "\U00010400\U00020000 straße K Å", "e ee me the able queue. yyy!" * 9, None, " " * 30, "", "⺿\U0002ebf0\U0002ee5d 漢字 かな", "x" * 3000 + " é" * 120 + ". " + "ab cd " * 99]
+    long = [" ".join(f"{'abcdefghij'[(i * i + j) % 10]}{'klm'[j % 3]}" + (".", "", " !?")[j % 3] for j in range(i * 7)) for i in range(60)]
+    mine, other = both(spark, tmp_path, "article_metrics", odd + long)
+    assert mine == other and len(mine) > 60
+
+
+def test_texts_are_counted_once(spark, tmp_path):
+    both(spark, tmp_path, "changepoint", ["some words. Of a text, a few"] * 30)
+    frame = QUERIES["changepoint"](spark, str(tmp_path))
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("article_counts") == 1, plan
