@@ -158,3 +158,121 @@ def register(spark: SparkSession) -> None:
         return article_counts(texts)
 
     spark.udf.register("article_counts", arrow_udf(counts, "struct<" + ", ".join(f"{c}: {'double' if c == 'sent_median' else 'bigint'}" for c in COUNTS) + ">"))
+
+
+#: Bytes of text whose words or n-grams are counted together before they leave a task.
+COUNT_BLOCK = 8 << 20
+#: Most that a year and three words make as one number.
+WIDE = 1 << 62
+
+
+def _plain(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of two letters a to z or more, which are whole runs of letters, numbers and underscores in lower case.
+
+    Their codes, the distinct ones, and where each text's begin.
+    """
+    points, begins = _points(texts)
+    kinds, lower = _tables()
+    inside = (kinds.take(points, mode="clip") & (LETTER | NUMBER)) > 0
+    starts, ends = _runs(inside, begins)
+    chars, sizes = lower[points[inside]], ends - starts
+    kept = (sizes >= 2) & (_sums((chars >= ord("a")) & (chars <= ord("z")), np.concatenate(([0], np.cumsum(sizes)))) == sizes)
+    codes, words, _ = _lexicon(chars[np.repeat(kept, sizes)].astype(np.uint8), sizes[kept])
+    return codes, words.cast(pa.large_string()), np.concatenate(([0], np.cumsum(kept)))[np.searchsorted(starts, begins)]
+
+
+def _stops(words: pa.Array) -> np.ndarray:
+    return pc.is_in(words, value_set=pa.array(STOPWORDS, pa.large_string())).to_numpy(zero_copy_only=False)
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(key, return_counts=True)
+
+
+def _words_of(block: pa.RecordBatch) -> Iterator[dict]:
+    codes, words, at = _plain(block.column("text"))
+    years, y = np.unique(block.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
+    y, content = np.repeat(y, np.diff(at)), ~_stops(words)[codes]
+    key, n = _counted(y[content] * len(words) + codes[content])
+    if len(key):
+        yield {"year": years[key // len(words)], "word": words.take(pa.array(key % len(words))), "n": n}
+        total = np.bincount(y[content], minlength=len(years))
+        yield {"year": years[total > 0], "word": [None] * int((total > 0).sum()), "n": total[total > 0]}
+
+
+def _grams_of(block: pa.RecordBatch) -> Iterator[dict]:
+    codes, words, at = _plain(block.column("text"))
+    years, y = np.unique(block.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
+    row, d = np.repeat(np.arange(block.num_rows), np.diff(at)), len(words)
+    y, c = y[row], codes.astype(np.int64)
+    stop, long = _stops(words)[codes], (pc.binary_length(words).to_numpy(zero_copy_only=False) > 3)[codes]
+    for n in (2, 3):
+        first = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
+        last = first + n - 1
+        total = np.bincount(y[first], minlength=len(years))
+        yield {"year": years[total > 0], "n": np.full((total > 0).sum(), n), "ngram": [None] * int((total > 0).sum()), "c": total[total > 0]}
+        middle = first + 1
+        good = ~stop[first] & ~stop[last] & (long[first] | long[last] | (~stop[middle] & long[middle]))
+        first, middle, last = first[good], middle[good], last[good]
+        pair, names = y[first] * d + c[first], None
+        if n == 3:
+            pair = pair * d + c[middle]
+            if len(years) * d**3 >= WIDE:  # too many words for one number: pairs by rank
+                names, pair = np.unique(pair, return_inverse=True)
+        key, count = _counted(pair * d + c[last])
+        if not len(key):
+            continue
+        head, parts = key // d, [words.take(pa.array(key % d))]
+        head = head if names is None else names[head]
+        for _ in range(n - 1):
+            head, code = np.divmod(head, d)
+            parts.insert(0, words.take(pa.array(code)))
+        yield {"year": years[head], "n": np.full(len(key), n), "ngram": pc.binary_join_element_wise(*parts, pa.scalar(" ", pa.large_string())), "c": count}
+
+
+def _edges_of(block: pa.RecordBatch) -> Iterator[dict]:
+    codes, words, at = _plain(block.column("text"))
+    n = np.diff(at)
+    some = np.minimum(n, 4)
+    row = np.repeat(np.arange(len(n)), some)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(some) - some, some)
+    place += np.where((n[row] > 4) & (place >= 2), n[row] - 4, 0)
+    if len(row):
+        yield {k: block.column(k).take(pa.array(row)) for k in ("article_id", "date", "year")} | {"pos": place, "tok": words.take(pa.array(codes[at[row] + place]))}
+
+
+def _mapped(articles: DataFrame, of, schema: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    target = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in text_blocks(batches, most=COUNT_BLOCK):
+            for found in of(block):
+                arrays = [x if isinstance(x := found[f.name], pa.Array) else pa.array(x) for f in target]
+                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
+
+    return articles.mapInArrow(run, schema)
+
+
+def word_counts(articles: DataFrame) -> DataFrame:
+    """Words (year, text) that are no stopwords, counted by year a block at a time; a row without word has their sum."""
+    return _mapped(articles, _words_of, "year int, word string, n long")
+
+
+def gram_counts(articles: DataFrame) -> DataFrame:
+    """Pairs and triples of words within the texts (year, text), counted by year a block at a time.
+
+    Only those that can be ranked have rows of their own; rows without ngram have the sums of all.
+    """
+    return _mapped(articles, _grams_of, "year int, n int, ngram string, c long")
+
+
+def edge_words(articles: DataFrame) -> DataFrame:
+    """The first and last two words of each text (article_id, date, year, text), with their places."""
+    return _mapped(articles, _edges_of, "article_id long, date date, year int, pos long, tok string")
+
+
+#: Tables that texts for Spark name, and the columns of the articles that they are made of.
+TABLES = {"word_counts": (word_counts, "year, text"), "gram_counts": (gram_counts, "year, text"), "edge_words": (edge_words, "article_id, date, year, text")}

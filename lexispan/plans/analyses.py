@@ -24,36 +24,11 @@ DEDUP = ARTICLES + """, h AS (SELECT article_id, date, year, corpus, article_typ
 ), d3 AS (SELECT *, row_number() OVER (PARTITION BY text_hash ORDER BY date, article_id) AS r3 FROM d2 WHERE r2 = 1
 )"""
 # word frequencies without stopwords; the 600 commonest of each year
-FREQ = TOKENS + """, content AS (SELECT year, tok FROM tokens WHERE tok NOT IN (@stopwords@)
-), per AS (SELECT year, tok AS word, count(*) AS n FROM content GROUP BY year, tok
-), totals AS (SELECT year, sum(n) AS total FROM per GROUP BY year
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY n DESC, word) AS r FROM per
-), freq AS (SELECT ranked.year, word, CAST(n AS BIGINT) AS n, CAST(total AS BIGINT) AS total FROM ranked JOIN totals ON ranked.year = totals.year WHERE r <= 600
+FREQ = TOKENS + """, @freq@
 )"""
 # a year is one stream of tokens: grams straddle articles.  Those within an article are made in its row; for
 # the others the first and last two tokens of each article are put in order.
-GRAMS = ARTICLES + """, lists AS (SELECT article_id, date, year, @tokens@ AS k FROM a
-), inner_lists AS (SELECT year, @grams@ AS k FROM lists
-), edges AS (SELECT article_id, date, year, @edge_tokens@ AS k FROM lists
-), edge_tokens AS (SELECT article_id, date, year, @pos@ AS pos, tok FROM edges @unnest@
-), stream AS (
-  SELECT year, article_id AS a1, tok AS w1, lead(article_id, 1) OVER s AS a2, lead(tok, 1) OVER s AS w2, lead(article_id, 2) OVER s AS a3, lead(tok, 2) OVER s AS w3
-  FROM edge_tokens WINDOW s AS (PARTITION BY year ORDER BY date, article_id, pos)
-), grams AS (
-  SELECT year, tok AS ngram FROM inner_lists @unnest@
-  UNION ALL SELECT year, concat(w1, ' ', w2) AS ngram FROM stream WHERE w2 IS NOT NULL AND a1 <> a2
-  UNION ALL SELECT year, concat(w1, ' ', w2, ' ', w3) AS ngram FROM stream WHERE w3 IS NOT NULL AND a1 <> a3
-), counts AS (SELECT year, ngram, count(*) AS c FROM grams GROUP BY year, ngram
-), counted AS (SELECT year, CASE WHEN split_part(ngram, ' ', 3) = '' THEN 2 ELSE 3 END AS n, ngram, c, split_part(ngram, ' ', 1) AS p, split_part(ngram, ' ', 2) AS q,
-    CASE WHEN split_part(ngram, ' ', 3) = '' THEN split_part(ngram, ' ', 2) ELSE split_part(ngram, ' ', 3) END AS z FROM counts
-), gram_totals AS (SELECT year, n, sum(c) AS total FROM counted GROUP BY year, n
-), sizes AS (SELECT year FROM gram_totals WHERE n = 2 AND total >= 99
-), good AS (
-  SELECT *, row_number() OVER (PARTITION BY year, n ORDER BY c DESC, ngram) AS r FROM counted
-  WHERE p NOT IN (@stopwords@) AND z NOT IN (@stopwords@) AND (length(p) > 3 OR length(z) > 3 OR (q NOT IN (@stopwords@) AND length(q) > 3))
-), ng AS (
-  SELECT good.year, CAST(good.n AS INT) AS n, ngram, CAST(c AS BIGINT) AS c, CAST(total AS BIGINT) AS total
-  FROM good JOIN gram_totals t ON good.year = t.year AND good.n = t.n JOIN sizes ON good.year = sizes.year WHERE r <= 100
+GRAMS = ARTICLES + """, @ng@
 )"""
 # Metrics of each article, made within its row: alphabetic tokens of any script, sorted with their places, tell
 # types, hapaxes and the windows of 100 tokens in which a place is the first of its type.
@@ -139,11 +114,11 @@ TEXTS: dict[str, str] = {
     "author_stats": _W + ARTICLES + ", s AS (SELECT author_id, count(*) AS n_articles, CAST(sum(word_count) AS DOUBLE) / count(*) AS mean_words, concat(CAST(min(year) AS STRING), '–', CAST(max(year) AS STRING)) AS years_active FROM a WHERE author_id IS NOT NULL GROUP BY author_id) SELECT * FROM s ORDER BY n_articles DESC, author_id LIMIT 50",
     "tokens_per_doc": _W + TOKENS + ", c AS (SELECT article_id, CAST(@len@(k) AS BIGINT) AS n_tokens, CAST(@len@(@filter@(k, @arrow@ x NOT IN (@stopwords@))) AS BIGINT) AS n_content_tokens FROM lists) SELECT * FROM c",
     "word_freq_by_year": _W + FREQ + " SELECT year, word, n AS count, total AS total_words FROM freq",
-    "vocab_changes": _W + FREQ + ", pre AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2015 AND 2019 GROUP BY word), post AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2023 AND 2026 GROUP BY word) SELECT pre.word, CAST(round(pre.m, 3) AS DOUBLE) AS pre_freq, CAST(round(post.m, 3) AS DOUBLE) AS post_freq FROM pre JOIN post ON pre.word = post.word",
+    "vocab_changes": _W + FREQ + ", @word_means@ SELECT pre.word, CAST(round(pre.m, 3) AS DOUBLE) AS pre_freq, CAST(round(post.m, 3) AS DOUBLE) AS post_freq FROM @word_periods@",
     "ai_vocab_by_year": _W + TOKENS + ", terms AS (SELECT @terms@ AS word), years AS (SELECT year, count(*) AS total FROM tokens GROUP BY year), hits AS (SELECT year, tok AS word, count(*) AS n FROM tokens JOIN terms ON tok = word GROUP BY year, tok) SELECT years.year, terms.word, CAST(coalesce(n, 0) AS BIGINT) AS count, CAST(total AS BIGINT) AS total_words, 1000000.0 * coalesce(n, 0) / CAST(total AS DOUBLE) AS freq_per_million FROM years CROSS JOIN terms LEFT JOIN hits ON hits.year = years.year AND hits.word = terms.word",
     "ai_vocab_by_corpus": _W + TOKENS + ", terms AS (SELECT @terms@ AS word) SELECT corpus, year, count(DISTINCT article_id) AS n_articles, count(*) AS total_words, count(word) AS hits FROM tokens LEFT JOIN terms ON tok = word GROUP BY corpus, year",
     "ngrams_by_year": _W + GRAMS + " SELECT year, n, ngram, c AS count, total AS total_ngrams FROM ng",
-    "ngram_changes": _W + GRAMS + ", pre AS (SELECT n, ngram, sum(1000000.0 * c / total) / count(*) AS m FROM ng WHERE year BETWEEN 2015 AND 2019 GROUP BY n, ngram), post AS (SELECT n, ngram, sum(1000000.0 * c / total) / count(*) AS m FROM ng WHERE year BETWEEN 2023 AND 2026 GROUP BY n, ngram) SELECT coalesce(pre.n, post.n) AS n, coalesce(pre.ngram, post.ngram) AS ngram, CAST(round(coalesce(pre.m, 0), 3) AS DOUBLE) AS pre_freq, CAST(round(coalesce(post.m, 0), 3) AS DOUBLE) AS post_freq FROM pre FULL OUTER JOIN post ON pre.n = post.n AND pre.ngram = post.ngram",
+    "ngram_changes": _W + GRAMS + ", @gram_means@ SELECT coalesce(pre.n, post.n) AS n, coalesce(pre.ngram, post.ngram) AS ngram, CAST(round(coalesce(pre.m, 0), 3) AS DOUBLE) AS pre_freq, CAST(round(coalesce(post.m, 0), 3) AS DOUBLE) AS post_freq FROM @gram_periods@",
     "tfidf_by_year": _W + ARTICLES + """, lists AS (SELECT year, @wide_tokens@ AS k FROM a), t AS (SELECT year, tok AS term FROM lists @unnest@), tf AS (SELECT year, term, count(*) AS n FROM t GROUP BY year, term
 ), terms AS (SELECT term, sum(n) AS total, count(*) AS df FROM tf GROUP BY term), vocab AS (SELECT term, df FROM terms ORDER BY total DESC, term LIMIT 1000), docs AS (SELECT count(DISTINCT year) AS nd FROM a
 ), w AS (SELECT year, tf.term, (1 + ln(n)) * (ln((1.0 + nd) / (1.0 + df)) + 1) AS w FROM tf JOIN vocab ON tf.term = vocab.term CROSS JOIN docs), norms AS (SELECT year, sqrt(sum(w * w)) AS nm FROM w GROUP BY year
@@ -210,7 +185,7 @@ TEXTS: dict[str, str] = {
     "chart_vocabulary_total": _W + TOKENS + " SELECT year, CAST(sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) AS BIGINT) AS hits, 1000000.0e0 * sum(CASE WHEN tok IN (@tracked@) THEN 1 ELSE 0 END) / count(*) AS per_million FROM tokens GROUP BY year",
     "chart_top_words": _W + FREQ + ", m AS (SELECT word, round(sum(1000000.0e0 * n / total), 6) AS f FROM freq GROUP BY word), top AS (SELECT word FROM m ORDER BY f DESC, word LIMIT 8) SELECT freq.year, freq.word, n AS count, total AS total_words FROM freq JOIN top ON freq.word = top.word",
     "chart_composition_change": _W + ARTICLES + ", c AS (SELECT year, CAST(sum(CASE WHEN corpus = 'opinions' THEN 1 ELSE 0 END) AS DOUBLE) / count(*) AS share FROM a GROUP BY year), r AS (SELECT *, row_number() OVER (ORDER BY year) AS f, row_number() OVER (ORDER BY year DESC) AS l FROM c) SELECT max(CASE WHEN f = 1 THEN share END) AS first_share, max(CASE WHEN l = 1 THEN share END) AS last_share, max(CASE WHEN l = 1 THEN share END) - max(CASE WHEN f = 1 THEN share END) AS change FROM r",
-    "chart_vocabulary_ends": _W + FREQ + ", pre AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2015 AND 2019 GROUP BY word), post AS (SELECT word, sum(1000000.0 * n / total) / count(*) AS m FROM freq WHERE year BETWEEN 2023 AND 2026 GROUP BY word), d AS (SELECT pre.word, CAST(round(post.m - pre.m, 3) AS DOUBLE) AS change, CAST(round(100 * (post.m - pre.m) / pre.m, 1) AS DOUBLE) AS percent FROM pre JOIN post ON pre.word = post.word), r AS (SELECT *, row_number() OVER (ORDER BY change DESC, word) AS t, row_number() OVER (ORDER BY change, word) AS b FROM d) SELECT word, change, percent FROM r WHERE t <= 15 OR b <= 15",
+    "chart_vocabulary_ends": _W + FREQ + ", @word_means@, d AS (SELECT pre.word, CAST(round(post.m - pre.m, 3) AS DOUBLE) AS change, CAST(round(100 * (post.m - pre.m) / pre.m, 1) AS DOUBLE) AS percent FROM @word_periods@), r AS (SELECT *, row_number() OVER (ORDER BY change DESC, word) AS t, row_number() OVER (ORDER BY change, word) AS b FROM d) SELECT word, change, percent FROM r WHERE t <= 15 OR b <= 15",
     "peak_year": _W + SERIES + ", r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY y DESC, year) AS r, row_number() OVER (PARTITION BY metric ORDER BY y, year) AS l FROM series) SELECT metric, max(CASE WHEN r = 1 THEN year END) AS peak_year, max(CASE WHEN l = 1 THEN year END) AS trough_year FROM r GROUP BY metric",
     "p_labels": _W + "p AS (SELECT s_suppkey AS id, CASE s_suppkey % 4 WHEN 0 THEN 1e-20 WHEN 1 THEN 0.0004e0 WHEN 2 THEN 0.25e0 END AS p FROM $supplier) SELECT id, CASE WHEN p IS NULL THEN '' WHEN p < 1e-16 THEN '<1e-16' WHEN p < 0.001e0 THEN '<0.001' ELSE @three[p]@ END AS label FROM p",
 }

@@ -1,11 +1,14 @@
 """Queries over made-up documents, by Spark and by DuckDB."""
 
 import math
+import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from lexispan.operators import words
 from lexispan.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -48,3 +51,38 @@ def test_texts_are_counted_once(spark, tmp_path):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("article_counts") == 1, plan
+
+
+def gram_texts():
+    draw = random.Random(5)
+    pool = ["ab", "cd", "efgh", "ijkl", "the", "of", "mnop", "a", "é", "x9", "İo", "_"]
+    return [None, "", "...", "the", *(" ".join(draw.choices(pool, k=draw.choice([0, 1, 1, 2, 3, 4, 5, 9, 40]))) for _ in range(600))]
+
+
+@pytest.mark.parametrize("name", ["ngrams_by_year", "ngram_changes", "word_freq_by_year", "vocab_changes", "chart_vocabulary_ends", "chart_top_words"])
+def test_words_and_grams_by_year(spark, tmp_path, name):
+    ids = [*range(604)]
+    ids[-1] = 4239 + 4240 * 37  # a late day of its own
+    mine, other = both(spark, tmp_path, name, gram_texts(), ids)
+    assert mine == other and len(mine) > 5
+
+
+def test_years_of_few_words_have_no_grams(spark, tmp_path):
+    mine, other = both(spark, tmp_path, "ngrams_by_year", ["efgh ijkl mnop"] * 100, [i // 3 for i in range(100)][:-1] + [2000])
+    assert mine == other
+
+
+def test_grams_of_many_words(monkeypatch):
+    block = pa.RecordBatch.from_pydict({"year": [2015 + i % 3 for i in range(604)], "text": gram_texts()})
+    found = lambda: sorted(map(str, (r for part in words._grams_of(block) for r in zip(*(pa.array(part[k]).to_pylist() for k in ("year", "n", "ngram", "c"))))))
+    plain = found()
+    monkeypatch.setattr(words, "WIDE", 0)
+    assert found() == plain and len(plain) > 100
+
+
+def test_grams_are_made_once(spark, tmp_path):
+    both(spark, tmp_path, "ngram_changes", gram_texts())
+    frame = QUERIES["ngram_changes"](spark, str(tmp_path))
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("MapInArrow") == 2, plan
