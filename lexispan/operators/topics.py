@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lists import STOPWORDS
 from ..functions.blocks import text_blocks
-
+from .words import WIDE, mapped, stops, words_of
 
 #: A round that lowers the squared error by less than this share of the first one is the last.
 TOLERANCE = 1e-5
@@ -21,49 +20,115 @@ TOLERANCE = 1e-5
 POWER, SPARE = 7, 10
 
 
-def words(docs: DataFrame) -> DataFrame:
-    """One row a document: its words without stopwords, in order, lower case, as an array."""
-    found = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0)), lambda x: ~x.isin(STOPWORDS))
-    return docs.select(F.coalesce(found, F.array().cast("array<string>")).alias("words"))
+def _content(block: pa.RecordBatch) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words without stopwords in order, of two letters or numbers at least and in lower case: codes, distinct words, text of each."""
+    codes, words, at = words_of(block.column("text"))
+    content = ~stops(words)[codes]
+    return codes[content].astype(np.int64), words, np.repeat(np.arange(block.num_rows), np.diff(at))[content]
+
+
+def _counts(key: np.ndarray, row: np.ndarray, rows: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys, all below ``most``, the rows that have each and how often it stands."""
+    names = None
+    if most * rows >= WIDE:
+        names, key = np.unique(key, return_inverse=True)
+    own, n = np.unique(key * rows + row, return_counts=True)
+    key = own // rows
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    key = key[begins]
+    return key if names is None else names[key], np.diff(np.concatenate((begins, [len(own)]))), np.add.reduceat(n, begins)
+
+
+def _words_of(block: pa.RecordBatch) -> Iterator[dict]:
+    codes, words, row = _content(block)
+    if len(codes):
+        key, df, total = _counts(codes, row, block.num_rows, len(words))
+        yield {"term": words.take(pa.array(key)), "df": df, "total": total}
+
+
+def _pairs_of(block: pa.RecordBatch, common: pa.Array) -> Iterator[dict]:
+    codes, words, row = _content(block)
+    own, d = pc.fill_null(pc.index_in(words, value_set=common), -1).to_numpy().astype(np.int64)[codes], len(common)
+    first = np.flatnonzero((row[:-1] == row[1:]) & (own[:-1] >= 0) & (own[1:] >= 0))
+    if len(first):
+        key, df, total = _counts(own[first] * d + own[first + 1], row[first], block.num_rows, d * d)
+        yield {"term": pc.binary_join_element_wise(common.take(pa.array(key // d)), common.take(pa.array(key % d)), pa.scalar(" ", pa.large_string())), "df": df, "total": total}
 
 
-def vocabulary(held: DataFrame, features: int, least_df: int, most_df: float) -> tuple[list[str], np.ndarray]:
-    """The commonest words and pairs of neighbouring words within the document frequencies, sorted, and their idf."""
-    n_docs = held.count()
-    rest = F.greatest(F.size("words") - 1, F.lit(0))
-    pairs = F.zip_with(F.slice("words", F.lit(1), rest), F.slice("words", F.lit(2), rest), lambda x, y: F.concat(x, F.lit(" "), y))
-    ordered = held.select(F.sort_array(F.concat("words", pairs)).alias("terms"))
-    first = F.transform("terms", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("terms", i - 1) == x), 0).otherwise(1).alias("first")))
-    counts = ordered.select(F.inline(first)).groupBy("term").agg(F.sum("first").alias("df"), F.count(F.lit(1)).alias("total"))
-    rows = counts.where((F.col("df") >= least_df) & (F.col("df") <= most_df * n_docs)).orderBy(F.desc("total"), "term").limit(features).collect()
-    found = sorted((r["term"], r["df"]) for r in rows)
+def vocabulary(docs: DataFrame, features: int, least_df: int, most_df: float) -> tuple[list[str], np.ndarray]:
+    """The commonest words and pairs of neighbouring words within the document frequencies, sorted, and their idf.
+
+    A pair stands no oftener than its rarer word: one with a word below the last place that words alone
+    would fill has no place, and is not counted.
+    """
+    n_docs = docs.count()
+
+    def counted(of) -> DataFrame:
+        found = mapped(docs.select("text"), of, "term string, df long, total long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+        return found.withColumn("fits", (F.col("df") >= least_df) & (F.col("df") <= most_df * n_docs))
+
+    def top(counts: DataFrame) -> list:
+        return counts.where("fits").orderBy(F.desc("total"), "term").limit(features).collect()
+
+    words = counted(_words_of).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = top(words)
+        last = max(least_df, rows[-1]["total"]) if len(rows) == features else least_df
+        common = pa.array(sorted(r["term"] for r in words.where(F.col("total") >= last).select("term").collect()), pa.large_string())
+    finally:
+        words.unpersist()
+    sent = docs.sparkSession.sparkContext.broadcast(common)
+    rows += top(counted(lambda block: _pairs_of(block, sent.value)))
+    sent.unpersist()
+    found = sorted((r["term"], r["df"]) for r in sorted(rows, key=lambda r: (-r["total"], r["term"]))[:features])
     return [t for t, _ in found], np.log((1 + n_docs) / (1 + np.array([n for _, n in found], float))) + 1
 
 
-def weights(held: DataFrame, terms: list[str], idf: np.ndarray) -> DataFrame:
+class Places:
+    """Places of words and pairs of words among the terms."""
+
+    def __init__(self, terms: list[str]):
+        split = [t.split(" ") for t in terms]
+        self.words = pa.array(sorted({w for t in split for w in t}), pa.large_string())
+        at = {w: i for i, w in enumerate(self.words.to_pylist())}
+        self.size = len(at)
+        self.single, pairs = np.full(self.size + 1, -1), {}
+        for i, t in enumerate(split):
+            if len(t) == 1:
+                self.single[at[t[0]]] = i
+            else:
+                pairs[at[t[0]] * self.size + at[t[1]]] = i
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.pairs = np.array([pairs[k] for k in self.keys.tolist()], np.int64)
+
+    def of(self, codes: np.ndarray, words: pa.Array, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Text and place of all words and pairs that are terms."""
+        own = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)[codes]
+        place = self.single[own]
+        first = np.flatnonzero((row[:-1] == row[1:]) & (own[:-1] >= 0) & (own[1:] >= 0)) if len(self.keys) else np.zeros(0, np.int64)
+        key = own[first] * self.size + own[first + 1]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        hit = self.keys[at] == key if len(self.keys) else np.zeros(0, bool)
+        return np.concatenate((row[place >= 0], row[first[hit]])), np.concatenate((place[place >= 0], self.pairs[at[hit]]))
+
+
+def weights(docs: DataFrame, terms: list[str], idf: np.ndarray) -> DataFrame:
     """Blocks of documents: sizes (terms of each), terms and w (their places and sublinear tf-idf, rows of norm 1), as bytes."""
-    given = held.sparkSession.sparkContext.broadcast(({t: i for i, t in enumerate(terms)}, idf))
+    given = docs.sparkSession.sparkContext.broadcast((terms, idf))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, scale = given.value
-        get = place.get
-        for block in text_blocks(batches, "words"):
-            sizes, at, tf = [], [], []
-            for text in block.column("words").to_pylist():
-                own = text.split(" ")
-                counts = Counter(map(get, own))
-                counts.update(map(get, map(" ".join, zip(own, own[1:]))))
-                counts.pop(None, None)
-                sizes.append(len(counts))
-                at += counts.keys()
-                tf += counts.values()
-            sizes, at = np.array(sizes, np.int32), np.array(at, np.int32)
-            w = (1 + np.log(np.array(tf, float))) * scale[at]
-            row = np.repeat(np.arange(len(sizes)), sizes)
+        terms, scale = given.value
+        places = Places(terms)
+        for block in text_blocks(batches):
+            row, place = places.of(*_content(block))
+            key, tf = np.unique(row * len(terms) + place, return_counts=True)
+            row, at = key // len(terms), (key % len(terms)).astype(np.int32)
+            sizes = np.bincount(row, minlength=block.num_rows).astype(np.int32)
+            w = (1 + np.log(tf.astype(float))) * scale[at]
             w /= np.sqrt(np.bincount(row, w * w, len(sizes)))[row]
             yield pa.RecordBatch.from_pydict({"sizes": [sizes.tobytes()], "terms": [at.tobytes()], "w": [w.astype(np.float32).tobytes()]}, pa.schema([(c, pa.binary()) for c in ("sizes", "terms", "w")]))
 
-    return held.select(F.array_join("words", " ").alias("words")).mapInArrow(run, "sizes binary, terms binary, w binary")
+    return docs.select("text").mapInArrow(run, "sizes binary, terms binary, w binary")
 
 
 class Rows:
@@ -103,13 +168,12 @@ def factorise(docs: DataFrame, topics: int = 15, features: int = 5000, rounds: i
     H on the executors and H for the weights on the driver, until the error falls no
     further; only sums of size (topics + SPARE) * features reach the driver.
     """
-    held = words(docs)
-    terms, idf = vocabulary(held, features, 5, 0.95)
+    terms, idf = vocabulary(docs, features, 5, 0.95)
     n = len(terms)
     if not n:
         return terms, np.zeros((topics, 0))
     # few tasks, as each sends its sums to the driver
-    rows = weights(held, terms, idf).coalesce(max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = weights(docs, terms, idf).coalesce(max(8, 2 * docs.sparkSession.sparkContext.defaultParallelism)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def summed(of, *given: np.ndarray) -> list[np.ndarray]:
         """Sums over all blocks of the arrays that ``of(block, *given)`` has."""

@@ -166,6 +166,24 @@ COUNT_BLOCK = 8 << 20
 WIDE = 1 << 62
 
 
+def words_of(texts: pa.Array, least: int = 2) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Runs of ``least`` letters, numbers and underscores or more, in lower case: codes, the distinct ones, and where each text's begin."""
+    points, begins = _points(texts)
+    kinds, lower = _tables()
+    inside = (kinds.take(points, mode="clip") & (LETTER | NUMBER)) > 0
+    starts, ends = _runs(inside, begins)
+    chars, sizes = lower[points[inside]], ends - starts
+    kept = sizes >= least
+    chars, sizes = chars[np.repeat(kept, sizes)], sizes[kept]
+    at = np.concatenate(([0], np.cumsum(kept)))[np.searchsorted(starts, begins)]
+    codes, words, own = _lexicon(chars, sizes)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint32)[: own[-1]]
+    text = data.tobytes().decode("utf-32-le", "surrogatepass").encode(errors="surrogatepass")
+    if len(text) > len(data):
+        own = np.concatenate(([0], np.cumsum(1 + (data > 0x7F) + (data > 0x7FF) + (data > 0xFFFF), dtype=np.int64)))[own]
+    return codes, pa.Array.from_buffers(pa.large_string(), len(words), [None, pa.py_buffer(own), pa.py_buffer(text)]), at
+
+
 def _plain(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Words of two letters a to z or more, which are whole runs of letters, numbers and underscores in lower case.
 
@@ -181,7 +199,7 @@ def _plain(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return codes, words.cast(pa.large_string()), np.concatenate(([0], np.cumsum(kept)))[np.searchsorted(starts, begins)]
 
 
-def _stops(words: pa.Array) -> np.ndarray:
+def stops(words: pa.Array) -> np.ndarray:
     return pc.is_in(words, value_set=pa.array(STOPWORDS, pa.large_string())).to_numpy(zero_copy_only=False)
 
 
@@ -192,7 +210,7 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _words_of(block: pa.RecordBatch) -> Iterator[dict]:
     codes, words, at = _plain(block.column("text"))
     years, y = np.unique(block.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
-    y, content = np.repeat(y, np.diff(at)), ~_stops(words)[codes]
+    y, content = np.repeat(y, np.diff(at)), ~stops(words)[codes]
     key, n = _counted(y[content] * len(words) + codes[content])
     if len(key):
         yield {"year": years[key // len(words)], "word": words.take(pa.array(key % len(words))), "n": n}
@@ -205,7 +223,7 @@ def _grams_of(block: pa.RecordBatch) -> Iterator[dict]:
     years, y = np.unique(block.column("year").to_numpy(zero_copy_only=False), return_inverse=True)
     row, d = np.repeat(np.arange(block.num_rows), np.diff(at)), len(words)
     y, c = y[row], codes.astype(np.int64)
-    stop, long = _stops(words)[codes], (pc.binary_length(words).to_numpy(zero_copy_only=False) > 3)[codes]
+    stop, long = stops(words)[codes], (pc.binary_length(words).to_numpy(zero_copy_only=False) > 3)[codes]
     for n in (2, 3):
         first = np.flatnonzero(row[: max(0, len(row) - n + 1)] == row[n - 1 :])
         last = first + n - 1
@@ -241,7 +259,7 @@ def _edges_of(block: pa.RecordBatch) -> Iterator[dict]:
         yield {k: block.column(k).take(pa.array(row)) for k in ("article_id", "date", "year")} | {"pos": place, "tok": words.take(pa.array(codes[at[row] + place]))}
 
 
-def _mapped(articles: DataFrame, of, schema: str) -> DataFrame:
+def mapped(articles: DataFrame, of, schema: str) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -258,7 +276,7 @@ def _mapped(articles: DataFrame, of, schema: str) -> DataFrame:
 
 def word_counts(articles: DataFrame) -> DataFrame:
     """Words (year, text) that are no stopwords, counted by year a block at a time; a row without word has their sum."""
-    return _mapped(articles, _words_of, "year int, word string, n long")
+    return mapped(articles, _words_of, "year int, word string, n long")
 
 
 def gram_counts(articles: DataFrame) -> DataFrame:
@@ -266,12 +284,12 @@ def gram_counts(articles: DataFrame) -> DataFrame:
 
     Only those that can be ranked have rows of their own; rows without ngram have the sums of all.
     """
-    return _mapped(articles, _grams_of, "year int, n int, ngram string, c long")
+    return mapped(articles, _grams_of, "year int, n int, ngram string, c long")
 
 
 def edge_words(articles: DataFrame) -> DataFrame:
     """The first and last two words of each text (article_id, date, year, text), with their places."""
-    return _mapped(articles, _edges_of, "article_id long, date date, year int, pos long, tok string")
+    return mapped(articles, _edges_of, "article_id long, date date, year int, pos long, tok string")
 
 
 #: Tables that texts for Spark name, and the columns of the articles that they are made of.

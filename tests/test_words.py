@@ -1,5 +1,6 @@
 """Queries over made-up documents, by Spark and by DuckDB."""
 
+import collections
 import math
 import random
 
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from lexispan.operators import words
+from lexispan.operators import topics, words
 from lexispan.plans.registry import ORACLE_SQL, QUERIES
 
 
@@ -86,3 +87,24 @@ def test_grams_are_made_once(spark, tmp_path):
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
     assert plan.count("MapInArrow") == 2, plan
+
+
+@pytest.mark.parametrize("features", [3, 12, 60, 5000])
+def test_vocabulary_by_brute_force(spark, features):
+    draw = random.Random(9)
+    pool = ["ab", "Cd", "efgh", "ijkl", "the", "é1", "x", "straße", *(f"rare{i}" for i in range(30))]
+    texts = [" ".join(draw.choices(pool, [9, 8, 7, 6, 9, 5, 5, 4, *[0.4] * 30], k=draw.choice([0, 1, 3, 9, 30]))) for _ in range(200)] + [None, "only once"]
+    split = [[w for w in (t or "").lower().split() if w not in ("the", "x", "only", "once")] for t in texts]
+    split[-1] = ["once"]
+    grams = [w + [" ".join(p) for p in zip(w, w[1:])] for w in split]
+    df = collections.Counter(t for g in grams for t in set(g))
+    total = collections.Counter(t for g in grams for t in g)
+    fit = sorted((t for t in df if 5 <= df[t] <= 0.5 * len(texts)), key=lambda t: (-total[t], t))[:features]
+    terms, idf = topics.vocabulary(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3), features, 5, 0.5)
+    assert terms == sorted(fit) and idf == pytest.approx([math.log((1 + len(texts)) / (1 + df[t])) + 1 for t in sorted(fit)])
+
+
+def test_pairs_of_rare_words_are_not_counted():
+    block = pa.RecordBatch.from_pydict({"text": ["aa bb cc aa bb", None, "bb aa the bb"]})
+    found = [dict(zip(part, r)) for part in topics._pairs_of(block, pa.array(["aa", "bb"], pa.large_string())) for r in zip(*(pa.array(v).to_pylist() for v in part.values()))]
+    assert found == [{"term": "aa bb", "df": 2, "total": 3}, {"term": "bb aa", "df": 1, "total": 1}]
