@@ -259,17 +259,25 @@ def _edges_of(block: pa.RecordBatch) -> Iterator[dict]:
         yield {k: block.column(k).take(pa.array(row)) for k in ("article_id", "date", "year")} | {"pos": place, "tok": words.take(pa.array(codes[at[row] + place]))}
 
 
-def mapped(articles: DataFrame, of, schema: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
+@cache
+def _schema(text: str) -> pa.Schema:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "date": pa.date32()}
+    return pa.schema([(name, kinds[kind]) for name, kind in map(str.split, text.split(", "))])
+
+
+def _batch(found: dict, schema: str) -> pa.RecordBatch:
+    target = _schema(schema)
+    arrays = [x if isinstance(x := found[f.name], pa.Array) else pa.array(x) for f in target]
+    return pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
 
-    target = to_arrow_schema(_parse_datatype_string(schema))
+
+def mapped(articles: DataFrame, of, schema: str) -> DataFrame:
+    """What ``of`` tells of blocks of texts, as arrays by the names of the schema."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in text_blocks(batches, most=COUNT_BLOCK):
             for found in of(block):
-                arrays = [x if isinstance(x := found[f.name], pa.Array) else pa.array(x) for f in target]
-                yield pa.RecordBatch.from_arrays([a.cast(f.type) for a, f in zip(arrays, target)], schema=target)
+                yield _batch(found, schema)
 
     return articles.mapInArrow(run, schema)
 
@@ -279,18 +287,100 @@ def word_counts(articles: DataFrame) -> DataFrame:
     return mapped(articles, _words_of, "year int, word string, n long")
 
 
-def gram_counts(articles: DataFrame) -> DataFrame:
-    """Pairs and triples of words within the texts (year, text), counted by year a block at a time.
-
-    Only those that can be ranked have rows of their own; rows without ngram have the sums of all.
+#: N-grams are dealt by their bytes to so many parts, which are counted one after another.
+PARTS = 2048
+_PACKED = "part int, keys binary, sizes binary, counts binary, grams binary"
+
+
+def _packed(found: dict) -> Iterator[dict]:
+    """Counted n-grams as one row a part of theirs, so that few rows are shuffled; sums of all are empty n-grams of part 0."""
+    grams = pc.fill_null(pa.array(found["ngram"], pa.large_string()) if isinstance(found["ngram"], list) else found["ngram"].cast(pa.large_string()), "")
+    if not len(grams):
+        return
+    at = np.frombuffer(grams.buffers()[1], np.int64)[grams.offset : grams.offset + len(grams) + 1]
+    data = np.frombuffer(grams.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].astype(np.uint64)
+    sizes, at = np.diff(at), at - at[0]
+    with np.errstate(over="ignore"):
+        place = np.arange(len(data)) - np.repeat(at[:-1], sizes)
+        powers = np.cumprod(np.full(int(sizes.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+        mixed = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data + np.uint64(1)) * powers[place])))
+        mixed = (mixed[at[1:]] - mixed[at[:-1]]) * np.uint64(0xD6E8FEB86659FD93)
+    part = (mixed >> np.uint64(40)).astype(np.int64) % PARTS
+    part[sizes == 0] = 0
+    order = np.argsort(part.astype(np.int16), kind="stable")
+    key = (np.asarray(found["year"], np.int32) * 4 + np.asarray(found["n"], np.int32))[order]
+    grams = grams.take(pa.array(order))
+    parts, begins = np.unique(part[order], return_index=True)
+    begins = np.concatenate((begins, [len(order)]))
+    text_at = np.frombuffer(grams.buffers()[1], np.int64)[: len(grams) + 1]
+
+    def cut(values: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(begins * values.itemsize), pa.py_buffer(values)])
+
+    text = pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(text_at[begins]), grams.buffers()[2] or pa.py_buffer(b"")])
+    yield {"part": parts, "keys": cut(key), "sizes": cut(sizes[order].astype(np.int32)), "counts": cut(np.asarray(found["c"], np.int64)[order]), "grams": text}
+
+
+def _raise(best: dict[int, list], rows: list[list], most: int) -> None:
+    """Takes the n-grams of a part into the ``most`` commonest of each year and size, ties by n-gram, after the sums of all."""
+    keys, sizes, counts = (np.frombuffer(b"".join(r[i] for r in rows), t) for i, t in ((0, np.int32), (1, np.int32), (2, np.int64)))
+    at = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+    grams = pa.Array.from_buffers(pa.large_string(), len(keys), [None, pa.py_buffer(at), pa.py_buffer(b"".join(r[3] for r in rows))]).dictionary_encode()
+    names, d = grams.dictionary, len(grams.dictionary)
+    key = keys.astype(np.int64) * d + grams.indices.to_numpy()
+    order = np.argsort(key)
+    key = key[order]
+    begins = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    total, key = np.add.reduceat(counts[order], begins), key[begins]
+    kind = key // d
+    cuts = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1], [True])))
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        held = best.setdefault(int(kind[a]), [])
+        least = -held[most][1] if len(held) > most else 0
+        if b - a > most + 1:
+            least = max(least, np.partition(total[a:b], -most - 1)[-most - 1])
+        own = a + np.flatnonzero(total[a:b] >= least)
+        if len(own):
+            held += [(g != "", -c, g) for c, g in zip(total[own].tolist(), names.take(pa.array(key[own] % d)).to_pylist())]
+            held.sort()
+            del held[most + 1 :]
+
+
+def gram_top(articles: DataFrame, across: DataFrame, most: int = 100) -> DataFrame:
+    """Candidates for the ``most`` commonest pairs and triples of words of each year: those of each task's parts, with their counts.
+
+    They are those within the texts (year, text) and those ``across`` texts (year, n, ngram, c).  Only those that can be
+    ranked are told; rows without ngram have the sums of all.
     """
-    return mapped(articles, _grams_of, "year int, n int, ngram string, c long")
+
+    def within(block: pa.RecordBatch) -> Iterator[dict]:
+        for found in _grams_of(block):
+            yield from _packed(found)
+
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in _packed({k: batch.column(k) for k in ("year", "n", "ngram", "c")}):
+                yield _batch(found, _PACKED)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, now, held = {}, None, []
+        for batch in batches:
+            for part, *row in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if part != now and held:
+                    _raise(best, held, most)
+                    held = []
+                now = part
+                held.append(row)
+        if held:
+            _raise(best, held, most)
+        for kind, found in best.items():
+            n = len(found)
+            yield _batch({"year": np.full(n, kind // 4), "n": np.full(n, kind % 4), "ngram": [g or None for _, _, g in found], "c": [-c for _, c, _ in found]}, "year int, n int, ngram string, c long")
+
+    dealt = mapped(articles, within, _PACKED).unionByName(across.mapInArrow(beside, _PACKED)).repartition("part").sortWithinPartitions("part")
+    return dealt.mapInArrow(run, "year int, n int, ngram string, c long")
 
 
 def edge_words(articles: DataFrame) -> DataFrame:
     """The first and last two words of each text (article_id, date, year, text), with their places."""
     return mapped(articles, _edges_of, "article_id long, date date, year int, pos long, tok string")
-
-
-#: Tables that texts for Spark name, and the columns of the articles that they are made of.
-TABLES = {"word_counts": (word_counts, "year, text"), "gram_counts": (gram_counts, "year, text"), "edge_words": (edge_words, "article_id, date, year, text")}

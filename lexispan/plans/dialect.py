@@ -55,7 +55,7 @@ _SPARK_FREQ = """per AS (SELECT year, word, sum(n) AS n FROM $word_counts GROUP
 ), ranked AS (SELECT *, row_number() OVER (PARTITION BY year ORDER BY CASE WHEN word IS NULL THEN 0 ELSE 1 END, n DESC, word) AS r FROM per
 ), summed AS (SELECT year, word, n, max(CASE WHEN word IS NULL THEN n END) OVER (PARTITION BY year) AS total FROM ranked WHERE r <= 601
 ), freq AS (SELECT year, word, n, total FROM summed WHERE word IS NOT NULL"""
-_SPARK_GRAMS = """stream AS (
+_ACROSS = """WITH stream AS (
   SELECT year, article_id AS a1, tok AS w1, lead(article_id, 1) OVER s AS a2, lead(tok, 1) OVER s AS w2, lead(article_id, 2) OVER s AS a3, lead(tok, 2) OVER s AS w3
   FROM $edge_words WINDOW s AS (PARTITION BY year ORDER BY date, article_id, pos)
 ), across AS (
@@ -63,12 +63,8 @@ _SPARK_GRAMS = """stream AS (
     struct(2 AS n, CASE WHEN w2 IS NOT NULL AND a1 <> a2 THEN concat(w1, ' ', w2) END AS ngram, w1 NOT IN (@stopwords@) AND w2 NOT IN (@stopwords@) AND (length(w1) > 3 OR length(w2) > 3) AS good),
     struct(3 AS n, CASE WHEN w3 IS NOT NULL AND a1 <> a3 THEN concat(w1, ' ', w2, ' ', w3) END AS ngram, w1 NOT IN (@stopwords@) AND w3 NOT IN (@stopwords@) AND (length(w1) > 3 OR length(w3) > 3 OR (w2 NOT IN (@stopwords@) AND length(w2) > 3)) AS good))) g AS n, ngram, good
   WHERE ngram IS NOT NULL
-), counts AS (
-  SELECT year, n, ngram, sum(c) AS c FROM (
-    SELECT year, n, ngram, c FROM $gram_counts
-    UNION ALL SELECT year, n, own AS ngram, 1L AS c FROM across LATERAL VIEW explode(CASE WHEN good THEN array(ngram, NULL) ELSE array(CAST(NULL AS STRING)) END) o AS own) x
-  GROUP BY year, n, ngram
-), ranked AS (SELECT *, row_number() OVER (PARTITION BY year, n ORDER BY CASE WHEN ngram IS NULL THEN 0 ELSE 1 END, c DESC, ngram) AS r FROM counts
+) SELECT year, n, own AS ngram, count(*) AS c FROM across LATERAL VIEW explode(CASE WHEN good THEN array(ngram, NULL) ELSE array(CAST(NULL AS STRING)) END) o AS own GROUP BY year, n, own"""
+_SPARK_GRAMS = """ranked AS (SELECT *, row_number() OVER (PARTITION BY year, n ORDER BY CASE WHEN ngram IS NULL THEN 0 ELSE 1 END, c DESC, ngram) AS r FROM $gram_top
 ), summed AS (SELECT year, n, ngram, c, max(CASE WHEN ngram IS NULL THEN c END) OVER (PARTITION BY year, n) AS total, max(CASE WHEN ngram IS NULL AND n = 2 THEN c END) OVER (PARTITION BY year) AS pairs FROM ranked WHERE r <= 101
 ), ng AS (SELECT year, n, ngram, c, total FROM summed WHERE ngram IS NOT NULL AND pairs >= 99"""
 _PRE, _POST = "year BETWEEN 2015 AND 2019", "year BETWEEN 2023 AND 2026"
@@ -184,9 +180,12 @@ def plan(text: str, tables: tuple[str, ...]):
         views = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables}
         words.register(spark)
         own = spell(text, SPARK)
-        for name, (make, columns) in words.TABLES.items():
-            if f"${name}" in own:
-                views[name] = make(_sql(spark, spell(f"WITH {ARTICLES} SELECT {columns} FROM a WHERE year IS NOT NULL", SPARK), documents=views["documents"]))
+        articles = lambda columns: _sql(spark, spell(f"WITH {ARTICLES} SELECT {columns} FROM a WHERE year IS NOT NULL", SPARK), documents=views["documents"])
+        if "$word_counts" in own:
+            views["word_counts"] = words.word_counts(articles("year, text"))
+        if "$gram_top" in own:
+            across = _sql(spark, spell(_ACROSS, SPARK), edge_words=words.edge_words(articles("article_id, date, year, text")))
+            views["gram_top"] = words.gram_top(articles("year, text"), across)
         return _sql(spark, own, **views)
 
     return run

@@ -86,7 +86,7 @@ def test_grams_are_made_once(spark, tmp_path):
     frame = QUERIES["ngram_changes"](spark, str(tmp_path))
     frame.collect()
     plan = frame._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert plan.count("MapInArrow") == 2, plan
+    assert plan.count("FileScan parquet") == 2, plan
 
 
 @pytest.mark.parametrize("features", [3, 12, 60, 5000])
@@ -108,3 +108,18 @@ def test_pairs_of_rare_words_are_not_counted():
     block = pa.RecordBatch.from_pydict({"text": ["aa bb cc aa bb", None, "bb aa the bb"]})
     found = [dict(zip(part, r)) for part in topics._pairs_of(block, pa.array(["aa", "bb"], pa.large_string())) for r in zip(*(pa.array(v).to_pylist() for v in part.values()))]
     assert found == [{"term": "aa bb", "df": 2, "total": 3}, {"term": "bb aa", "df": 1, "total": 1}]
+
+
+@pytest.mark.parametrize("most", [1, 2, 7, 100])
+def test_commonest_grams_of_parts(most):
+    draw, wanted, best = random.Random(4), collections.Counter(), {}
+    rows = []
+    for _ in range(40):
+        counts = collections.Counter((draw.choice([2015, 2016]), draw.choice([2, 3]), draw.choice([None, "a b", *(f"g{i} h" for i in range(60))])) for _ in range(50))
+        wanted.update(counts)
+        rows += [r for found in words._packed({"year": [k[0] for k in counts], "n": [k[1] for k in counts], "ngram": [k[2] for k in counts], "c": [*counts.values()]}) for r in zip(found["part"].tolist(), *(found[k].to_pylist() for k in ("keys", "sizes", "counts", "grams")))]
+    for part in sorted({r[0] for r in rows}):
+        words._raise(best, [r[1:] for r in rows if r[0] == part], most)
+    for kind, held in best.items():
+        own = sorted(((k[2] is not None, -c, k[2] or "") for k, c in wanted.items() if (k[0], k[1]) == (kind // 4, kind % 4)))
+        assert [x for x in held if x[0]][:most] == [x for x in own if x[0]][:most] and held[0] == own[0] and not held[0][0]
