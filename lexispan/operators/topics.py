@@ -135,16 +135,21 @@ class Rows:
     """A block's matrix, documents by terms."""
 
     def __init__(self, sizes: bytes, terms: bytes, w: bytes, n_terms: int):
-        self.sizes, self.terms, self.w, self.n_terms = np.frombuffer(sizes, np.int32), np.frombuffer(terms, np.int32), np.frombuffer(w, np.float32).astype(float), n_terms
-        self.row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.sizes, self.terms, self.w, self.n_terms = np.frombuffer(sizes, np.int32), np.frombuffer(terms, np.int32).astype(np.intp), np.frombuffer(w, np.float32).astype(float), n_terms
+        self.some = np.flatnonzero(self.sizes)
+        self.begins = (np.cumsum(self.sizes) - self.sizes)[self.some]
 
     def times(self, m: np.ndarray) -> np.ndarray:
         """Transposed product with (vectors, terms): (vectors, documents)."""
-        return np.array([np.bincount(self.row, v[self.terms] * self.w, len(self.sizes)) for v in m])
+        out = np.zeros((len(m), len(self.sizes)))
+        for own, v in zip(out, m):
+            if len(self.some):
+                own[self.some] = np.add.reduceat(v.take(self.terms) * self.w, self.begins)
+        return out
 
     def across(self, m: np.ndarray) -> np.ndarray:
         """(vectors, documents) times the block: (vectors, terms)."""
-        return np.array([np.bincount(self.terms, v[self.row] * self.w, self.n_terms) for v in m])
+        return np.array([np.bincount(self.terms, np.repeat(v, self.sizes) * self.w, self.n_terms) for v in m])
 
 
 def shares(a: np.ndarray, gram: np.ndarray, sweeps: int = 200) -> np.ndarray:
